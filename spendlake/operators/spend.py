@@ -145,8 +145,10 @@ def top_services_rollup(rollup: DataFrame, as_of, days: int = 30, provider=None,
 
 
 def cost_by_tag(b: DataFrame, key: str, start=None, end=None, provider=None) -> DataFrame:
+    """Cost per value of any tag; untagged charges are left out."""
     return (
         filter_billing(b, start, end, provider)
+        .filter(tag(key) != "")
         .groupBy(tag(key).alias("tag_value"))
         .agg(sum_dollars("effective_cost").alias("total_cost"), F.count(F.lit(1)).alias("record_count"))
         .orderBy(F.desc("total_cost"), "tag_value")

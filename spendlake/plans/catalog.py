@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from spendlake.plans import catalog_spend, catalog_staging  # noqa: F401
+from spendlake.plans import (  # noqa: F401
+    catalog_detectors, catalog_recommend, catalog_series, catalog_spend, catalog_staging,
+)
 from spendlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -89,8 +89,8 @@ def _(t: Tables):
 
 
 @query("q8_cost_by_tag", f"""
-SELECT coalesce(tag_project, '') AS tag_value, {S('effective_cost')} AS total_cost, count(*) AS record_count
-FROM b GROUP BY ALL""")
+SELECT tag_project AS tag_value, {S('effective_cost')} AS total_cost, count(*) AS record_count
+FROM b WHERE tag_project IS NOT NULL GROUP BY ALL""")
 def _(t: Tables):
     return spend.cost_by_tag(t.staged, "project", START, END)
 

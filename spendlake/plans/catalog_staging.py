@@ -302,7 +302,7 @@ def _(t: Tables):
 @query("s10_bi_semantic_view", f"""
 SELECT provider_name AS provider, service_name, strftime(billing_period_start, '%Y-%m') AS MonthYear,
   {S('effective_cost')} AS total_effective_cost, {S('list_cost')} AS total_list_cost,
-  round(CAST(sum(effective_cost) AS DOUBLE) / count(effective_cost), 4) AS avg_effective_cost, sum(usage_quantity) AS total_usage_quantity,
+  CAST(sum(effective_cost) AS DOUBLE) / count(effective_cost) AS avg_effective_cost, sum(usage_quantity) AS total_usage_quantity,
   count(DISTINCT resource_id) AS resource_count FROM b GROUP BY ALL""")
 def _(t: Tables):
     return exports.bi_measures(exports.bi_semantic_view(t.staged), ["provider", "service_name", "MonthYear"])

@@ -109,8 +109,7 @@ def bi_measures(view: DataFrame, dimensions: list[str]) -> DataFrame:
     return view.groupBy(*dimensions).agg(
         sum_dollars("effective_cost").alias("total_effective_cost"),
         sum_dollars("list_cost").alias("total_list_cost"),
-        F.round(F.try_divide(F.sum("effective_cost").cast("double"), F.count("effective_cost")), 4)
-        .alias("avg_effective_cost"),
+        F.try_divide(F.sum("effective_cost").cast("double"), F.count("effective_cost")).alias("avg_effective_cost"),
         F.sum("usage_quantity").alias("total_usage_quantity"),
         F.count_distinct("resource_id").alias("resource_count"),
     )
