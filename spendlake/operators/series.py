@@ -70,7 +70,7 @@ def _x(ds: Column | str = "ds") -> Column:
     return F.datediff(ds, F.lit("1970-01-01").cast("date")).cast("double")
 
 
-def _fit(series: DataFrame, used: Column | None = None) -> DataFrame:
+def fit(series: DataFrame, used: Column | None = None) -> DataFrame:
     """Add slope, intercept, weekday effect, fitted value and spread to every point.
 
     ``used`` marks the points the fit may look at; the others are only
@@ -97,7 +97,7 @@ def forecast(series: DataFrame, horizon: int = 90, confidence: float = 0.95) ->
     """Daily prediction with its band for the ``horizon`` days after each series ends."""
     z = Z_VALUES[confidence]
     effects = [F.coalesce(F.max(F.when(F.col("dow") == d, F.col("effect"))), F.lit(0.0)) for d in range(7)]
-    models = _fit(series).groupBy("key").agg(
+    models = fit(series).groupBy("key").agg(
         F.max("slope").alias("slope"), F.max("intercept").alias("intercept"),
         F.coalesce(F.max("sigma"), F.lit(0.0)).alias("sigma"),
         F.max("ds").alias("last"), F.array(*effects).alias("effects"))
@@ -150,7 +150,7 @@ def with_band(series: DataFrame, sensitivity: float = 0.95) -> DataFrame:
     z = Z_VALUES[sensitivity]
     half = z * F.coalesce(F.col("sigma"), F.lit(0.0))
     return (
-        _fit(series)
+        fit(series)
         .withColumns({"lower": F.col("yhat") - half, "upper": F.col("yhat") + half})
         .withColumns({
             "outside": (F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper")),
@@ -327,7 +327,7 @@ def backtest(series: DataFrame, ratio: float = 0.8, min_points: int = MIN_BACKTE
         })
         .withColumn("train", F.col("_i") <= F.floor(F.col("_n") * ratio))
     )
-    fitted = _fit(split, F.col("train"))
+    fitted = fit(split, F.col("train"))
     metrics = _errors()
     tested = {name: F.round(m, 2) for name, m in metrics.items()}
     return fitted.groupBy("key").agg(
