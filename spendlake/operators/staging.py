@@ -174,18 +174,18 @@ def violations(columns: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]))
 
 
-def with_violations(df: DataFrame) -> DataFrame:
-    return df.withColumn("violations", violations(df.columns))
+def accepted(valid: DataFrame) -> DataFrame:
+    """Valid rows in their stored form: FOCUS columns, provider in lower and currency in upper case."""
+    return schema.conform(valid.withColumns({
+        "provider_name": F.lower("provider_name"),
+        "billing_currency": F.upper("billing_currency"),
+    }))
 
 
 def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that keep every rule, and the rest with the rules they break."""
-    marked = with_violations(df)
-    good = marked.filter(F.size("violations") == 0).drop("violations").withColumns({
-        "provider_name": F.lower("provider_name"),
-        "billing_currency": F.upper("billing_currency"),
-    })
-    return good, marked.filter(F.size("violations") > 0)
+    marked = df.withColumn("violations", violations(df.columns))
+    return accepted(marked.filter(F.size("violations") == 0)), marked.filter(F.size("violations") > 0)
 
 
 def normalise_tags(df: DataFrame, column: str = "tags") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from spendlake.operators import budgets, detectors, spend
+from spendlake.plans.analysis import find_insights
 from spendlake.plans.catalog_spend import DAYS, END, PCT, RECENT, S
 from spendlake.plans.registry import query
 from spendlake.sinks import metrics
@@ -79,8 +82,10 @@ INSIGHTS_CTE = (f"ins AS ({IDLE_SQL} UNION ALL {GAP_SQL} UNION ALL {HYBRID_SQL}
                 f"UNION ALL {TAG_INSIGHT_SQL})")
 
 
+@lru_cache(maxsize=8)
 def all_insights(t: Tables):
-    return detectors.resource_insights(t.staged, END, DAYS, thresholds=LIMITS)
+    """Stored once per set of tables, as an analysis run does before it ranks them."""
+    return find_insights(t.staged, END, DAYS, limit=None, thresholds=LIMITS)
 
 
 @query("d1_idle_resources", f"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spendlake.operators import recommend
-from spendlake.plans.catalog_detectors import INSIGHTS_CTE, all_insights, flat
+from spendlake.plans.analysis import analyse
+from spendlake.plans.catalog_detectors import INSIGHTS_CTE, LIMITS, all_insights, flat
+from spendlake.plans.catalog_spend import DAYS, END
 from spendlake.plans.catalog_staging import ACTIONS_CTE, actions
 from spendlake.plans.registry import query
 from spendlake.sources.driver_tables import Tables
@@ -202,3 +204,12 @@ UNION ALL SELECT 'provider', 0, upper(provider), CAST(count(*) AS DOUBLE) FROM i
 def _(t: Tables):
     rows = all_insights(t)
     return recommend.report_sections(rows, recommend.recommend(rows))
+
+
+@query("e3_analysis_run", f"""
+WITH {IN}, du AS ({DEDUP}), {recs_cte('category', 'du')}
+SELECT category, title, total_projected_monthly_savings, risk_level, round(least(total_projected_monthly_savings, 100000)
+  * CASE risk_level WHEN 'low' THEN 1.0 WHEN 'medium' THEN 0.7 WHEN 'high' THEN 0.4 ELSE 0.1 END, 2) AS priority_score FROM rc""")
+def _(t: Tables):
+    run = analyse(t.staged, END, DAYS, limit=None, thresholds=LIMITS)
+    return run.recommendations.select("category", "title", "total_projected_monthly_savings", "risk_level", "priority_score")

@@ -67,7 +67,7 @@ def connector_source(name: str, make: Callable[[dict], Connector], layout: str)
         def schema(self) -> str:
             return layout
 
-        def reader(self, _schema) -> DataSourceReader:
+        def reader(self, schema) -> DataSourceReader:  # noqa: F811
             accounts = [a for a in self.options.get("accounts", "").split(",") if a]
             return _Reader(make(dict(self.options)), date.fromisoformat(self.options["start"]),
                            date.fromisoformat(self.options["end"]), accounts)
@@ -94,7 +94,7 @@ class JsonLinesExporter(DataSource):
     def name(cls) -> str:
         return "focus_jsonl"
 
-    def writer(self, _schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: F811
         return _JsonLinesWriter(self.options["path"])
 
 
