@@ -151,27 +151,45 @@ LENGTH_LIMITS = {
 }
 
 
-def violations(columns: list[str]) -> Column:
-    """The names of the rules a row breaks, as an array."""
-    rules: list[tuple[str, Column]] = [
-        ("billing_period_order", ~F.coalesce(F.col("billing_period_start") < F.col("billing_period_end"), F.lit(False))),
-        ("charge_period_order", ~F.coalesce(F.col("charge_period_start") < F.col("charge_period_end"), F.lit(False))),
-        ("provider", ~F.coalesce(F.lower("provider_name").isin(schema.PROVIDERS), F.lit(False))),
-        ("charge_category", ~F.coalesce(F.col("charge_category").isin(schema.CHARGE_CATEGORIES), F.lit(False))),
+def rules(columns: list[str]) -> list[tuple[str, Column]]:
+    """(name, broken) per rule; ``broken`` is never NULL."""
+    def never_null(test: Column) -> Column:
+        return F.coalesce(test, F.lit(False))
+
+    tests = [
+        ("billing_period_order", ~never_null(F.col("billing_period_start") < F.col("billing_period_end"))),
+        ("charge_period_order", ~never_null(F.col("charge_period_start") < F.col("charge_period_end"))),
+        ("provider", ~never_null(F.lower("provider_name").isin(schema.PROVIDERS))),
+        ("charge_category", ~never_null(F.col("charge_category").isin(schema.CHARGE_CATEGORIES))),
         ("account_missing", ~present("billing_account_id")),
         ("service_missing", ~present("service_name")),
         ("cost_missing", F.col("effective_cost").isNull() | F.col("list_cost").isNull() | F.col("billed_cost").isNull()),
-        ("negative_list_cost", F.col("list_cost") < 0),
-        ("negative_usage", F.col("usage_quantity") < 0),
+        ("negative_list_cost", never_null(F.col("list_cost") < 0)),
+        ("negative_usage", never_null(F.col("usage_quantity") < 0)),
         ("negative_effective_cost",
-         (F.col("effective_cost") < 0) & ~F.coalesce(F.col("charge_category"), F.lit("")).isin("Credit", "Adjustment")),
+         never_null(F.col("effective_cost") < 0) & ~never_null(F.col("charge_category").isin("Credit", "Adjustment"))),
         ("currency", F.length(F.coalesce("billing_currency", F.lit(""))) != 3),
     ]
-    rules += [
-        (f"{name}_length", F.length(name) > limit)
+    return tests + [
+        (f"{name}_length", never_null(F.length(name) > limit))
         for name, limit in LENGTH_LIMITS.items() if name in columns
     ]
-    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]))
+
+
+def violation_text(columns: list[str]) -> Column:
+    """The names of the rules a row breaks, comma separated; empty for a valid row."""
+    return F.concat_ws(",", *[F.when(broken, F.lit(name)) for name, broken in rules(columns)])
+
+
+def violations(columns: list[str]) -> Column:
+    """The same as an array."""
+    text = violation_text(columns)
+    return F.when(text != "", F.split(text, ",")).otherwise(F.array().cast("array<string>"))
+
+
+def is_valid(columns: list[str]) -> Column:
+    """One boolean over all rules: stays in generated code and stops at the first broken rule."""
+    return ~reduce(lambda x, y: x | y, [broken for _, broken in rules(columns)])
 
 
 def accepted(valid: DataFrame) -> DataFrame:
@@ -184,8 +202,8 @@ def accepted(valid: DataFrame) -> DataFrame:
 
 def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that keep every rule, and the rest with the rules they break."""
-    marked = df.withColumn("violations", violations(df.columns))
-    return accepted(marked.filter(F.size("violations") == 0)), marked.filter(F.size("violations") > 0)
+    valid = is_valid(df.columns)
+    return accepted(df.filter(valid)), df.filter(~valid).withColumn("violations", violations(df.columns))
 
 
 def normalise_tags(df: DataFrame, column: str = "tags") -> DataFrame:

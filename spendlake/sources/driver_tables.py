@@ -96,6 +96,16 @@ def billing_view(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
     return schema.conform(rows.withColumn("tags", tags_from_columns()))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the files are too few to be read by all of them.
+
+    A small Parquet file with one row group is one task. Tables of many files
+    are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The driver tables at one scale, and the billing tables derived from them."""
 
@@ -108,7 +118,9 @@ class Tables:
 
     @cached_property
     def billing(self) -> DataFrame:
-        return billing_view(self.spark, {n: self.table(n) for n in BILLING_TABLES})
+        tables = {n: self.table(n) for n in BILLING_TABLES}
+        tables["lineitem"] = spread(tables["lineitem"], "l_orderkey")
+        return billing_view(self.spark, tables)
 
     @cached_property
     def staged(self) -> DataFrame:
