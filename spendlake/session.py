@@ -17,6 +17,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Beyond this many rows a top-k is a distributed sort with a limit, not a heap per task.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # Stream state on local disk of the executors rather than on their heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
