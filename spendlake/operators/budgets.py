@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.columns import as_date, day_of, dollars, present, sum_dollars
+from spendlake.operators.spend import recent_periods
+from spendlake.operators.staging import filter_billing
 
 # Utilisation at which an alert of each level starts.
 LEVELS = {"breach": 1.00, "critical": 0.90, "warning": 0.75}
@@ -15,9 +19,11 @@ WARNING_SHARE = 0.8
 def budget_alerts(b: DataFrame, budgets: DataFrame, as_of, levels: dict[str, float] | None = None) -> DataFrame:
     """Budgets per service (budget_name, monthly_limit) that the current month uses up."""
     levels = {**LEVELS, **(levels or {})}
-    month = as_date(as_of)
+    first = as_date(as_of).replace(day=1)
+    following = (first + timedelta(days=32)).replace(day=1)
     spend = (
-        b.filter((F.year("billing_period_start") == month.year) & (F.month("billing_period_start") == month.month))
+        recent_periods(b, first, 0)
+        .filter(F.col("billing_period_start") < F.lit(following).cast("timestamp"))
         .groupBy(F.col("service_name").alias("budget_name"))
         .agg(F.sum("effective_cost").cast("double").alias("spend"))
     )
@@ -45,9 +51,8 @@ def scoped_spend(b: DataFrame, as_of) -> DataFrame:
     today = F.lit(as_date(as_of))
     week, month = F.date_trunc("week", today).cast("date"), F.trunc(today, "month")
     day = day_of("charge_period_start")
-    running = b.filter(
-        (F.col("charge_period_start") >= F.least(week, month).cast("timestamp"))
-        & (F.col("charge_period_start") < F.date_add(today, 1).cast("timestamp")))
+    first = min(as_date(as_of) - timedelta(days=as_date(as_of).weekday()), as_date(as_of).replace(day=1))
+    running = filter_billing(b, first, as_of)
 
     def scope(kind: str, value):
         return F.struct(F.lit(kind).alias("scope_type"), value.alias("scope_value"))

@@ -43,26 +43,36 @@ def provider_label(provider: str = "provider") -> Column:
     return F.coalesce(_per_provider(PROVIDER_LABELS, provider), F.col(provider))
 
 
-def insight_id() -> Column:
-    """An id from what the insight is about, so that a rerun finds the same one."""
-    parts = ["agent", "provider", "category", "title", F.concat_ws(",", "resource_ids"), "service_name", "region"]
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts]), 256)
+ID_PARTS = ["agent", "provider", "category", "title", "resource_ids", "service_name", "region"]
 
 
-def as_insights(df: DataFrame, **columns: Column | str | float | bool) -> DataFrame:
-    """Rows in the insight layout; keyword values are columns or literals."""
-    shown = df.select(*[
-        (v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in columns.items()
+def insight_id(columns: dict[str, Column] | None = None) -> Column:
+    """An id from what the insight is about, so that a rerun finds the same one."""
+    columns = columns if columns is not None else {p: F.col(p) for p in ID_PARTS}
+
+    def text(part: str) -> Column:
+        if part not in columns:
+            return F.lit("")
+        return F.concat_ws(",", columns[part]) if part == "resource_ids" else F.coalesce(
+            columns[part].cast("string"), F.lit(""))
+
+    parts = [text(p) for p in ID_PARTS]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def as_insights(df: DataFrame, **values: Column | str | float | bool) -> DataFrame:
+    """Rows in the insight layout; keyword values are columns or literals.
+
+    All of it is one projection, so that a top-k below stays a top-k in the plan.
+    """
+    columns = {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
+    columns.setdefault("status", F.lit("open"))
+    columns.setdefault("projected_monthly_savings", F.lit(0.0))
+    columns["projected_annual_savings"] = columns["projected_monthly_savings"] * 12
+    columns["insight_id"] = insight_id(columns)
+    return df.select(*[
+        columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.INSIGHT_SCHEMA.fields
     ])
-    if "status" not in columns:
-        shown = shown.withColumn("status", F.lit("open"))
-    if "projected_monthly_savings" not in columns:
-        shown = shown.withColumn("projected_monthly_savings", F.lit(0.0))
-    shown = schema.conform_insights(shown)
-    return shown.withColumns({
-        "insight_id": insight_id(),
-        "projected_annual_savings": F.col("projected_monthly_savings") * 12,
-    })
 
 
 def _limited(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.functions.columns import day_of, days_before
+from spendlake.operators.staging import filter_billing
 
 # The shortest series that is fitted or back-tested.
 MIN_DAYS = 14
@@ -45,7 +46,7 @@ def cost_series(b: DataFrame, granularity: str, as_of: date | str, days: int = 1
     """
     key = F.coalesce(F.col(SERIES_KEYS[granularity]), F.lit(""))
     daily = (
-        b.filter(F.col("charge_period_start") >= F.lit(days_before(as_of, days)).cast("timestamp"))
+        filter_billing(b, start=days_before(as_of, days))
         .groupBy(key.alias("key"), day_of("charge_period_start").alias("ds"))
         .agg(F.sum("effective_cost").cast("double").alias("y"))
     )

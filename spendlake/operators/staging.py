@@ -36,7 +36,9 @@ def stage_billing(raw: DataFrame) -> DataFrame:
             "region_name": F.nullif(F.lower(F.trim("region_name")), F.lit("")),
             "commitment_discount_id": F.nullif("commitment_discount_id", F.lit("")),
             "charge_date": day_of("charge_period_start"),
-            "charge_month": month_number("charge_period_start"),
+            # The stored table's partition column is kept, so that filters on it still prune.
+            "charge_month": F.col("charge_month") if "charge_month" in raw.columns
+            else month_number("charge_period_start"),
             "effective_cost": clipped.cast(schema.MONEY),
             "tag_team": F.col("tags")["team"],
             "tag_env": F.col("tags")["env"],

@@ -193,8 +193,8 @@ def _drain(started) -> None:
 NEVER_LATE = "4000 days"
 
 
-def stream_rows(t: Tables):
-    good, _bad = messages.decode_billing(messages.read_message_files(t.spark, message_folder(t), 2))
+def stream_rows(t: Tables, columns: list[str]):
+    good, _bad = messages.decode_billing(messages.read_message_files(t.spark, message_folder(t), 2), columns)
     return good
 
 
@@ -243,7 +243,7 @@ SELECT CAST(charge_period_start AS DATE) AS charge_date, provider_name, billing_
 FROM billing WHERE {_DECODABLE} GROUP BY ALL""")
 def _(t: Tables):
     path = run_dir(t.spark, "daily-cost")
-    updates = jobs.daily_cost_updates(stream_rows(t), NEVER_LATE)
+    updates = jobs.daily_cost_updates(stream_rows(t, jobs.DAILY_COLUMNS), NEVER_LATE)
     _drain(jobs.write_updates(updates, path, f"{path}-checkpoint", once=True))
     return jobs.read_latest(t.spark, path, jobs.DAILY_KEYS).withColumns(
         {c: dollars(c) for c in ("total_effective", "total_list", "total_billed")})
@@ -254,7 +254,7 @@ SELECT CAST(charge_period_start AS DATE) AS charge_date, provider_name, tag_team
   {S('effective_cost')} AS total_effective FROM billing WHERE {_DECODABLE} GROUP BY ALL""")
 def _(t: Tables):
     path = run_dir(t.spark, "team-cost")
-    updates = jobs.team_cost_updates(stream_rows(t), NEVER_LATE)
+    updates = jobs.team_cost_updates(stream_rows(t, jobs.TEAM_COLUMNS), NEVER_LATE)
     _drain(jobs.write_updates(updates, path, f"{path}-checkpoint", once=True))
     return jobs.read_latest(t.spark, path, jobs.TEAM_KEYS).withColumn("total_effective", dollars("total_effective"))
 
@@ -274,7 +274,7 @@ def _(t: Tables):
     base_path = f"{path}/baseline"
     jobs.baseline(series.fit(service_series(t))).write.parquet(base_path)
     base = t.spark.read.parquet(base_path)
-    _drain(jobs.anomaly_stream(stream_rows(t), base, path, f"{path}/checkpoint", lateness=NEVER_LATE, once=True))
+    _drain(jobs.anomaly_stream(stream_rows(t, ["charge_period_start", "service_name", "effective_cost"]), base, path, f"{path}/checkpoint", lateness=NEVER_LATE, once=True))
     newest = jobs.read_latest(t.spark, f"{path}/points", ["key", "ds"])
     return jobs.score(newest, base).select(
         "key", "ds", *[F.round(c, 2).alias(c) for c in ("actual_cost", "expected_cost", "deviation_percent")])
