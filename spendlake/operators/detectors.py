@@ -26,6 +26,54 @@ TAG_TARGET_PCT = 80
 STOPPED_SAVINGS = 50.0
 OLD_GENERATION_SAVINGS = 30.0
 
+# Texts of insights; %s and %d stand for figures.
+IDLE_FOUND = "Found %d potentially idle resources ($%s)"
+IDLE_OTHERS = "%d potentially idle %s resources"
+IDLE_ADVICE = {
+    "aws": "Review and stop/terminate idle resources after confirmation",
+    "azure": "Review idle VMs and disks, consider deallocation",
+    "gcp": "Review and stop idle GCE instances",
+}
+IDLE_VM_TITLE = "Potentially idle EC2: %s"
+IDLE_VM_TEXT = "EC2 %s in %s has low usage (%.2f hrs/day) but costs $%.2f/month."
+GAP_TITLE = "Commitment gap: %s"
+GAP_TEXT = "$%s/month on %s with no RIs/SPs. Potential 30-40%% savings."
+HYBRID_TITLE = "AHUB opportunity: %s"
+HYBRID_TEXT = "Azure VM %s costs $%s/month. Enable Azure Hybrid Benefit for ~40%% savings."
+CUD_TITLE = "CUD gap: %s"
+CUD_TEXT = "GCE %s in %s costs $%s/month with no CUD. 1-year CUD saves ~28-37%%."
+COVERAGE_TITLE = {
+    "aws": "Commitment coverage only ",
+    "azure": "Azure reservation coverage: ",
+    "gcp": "CUD coverage: ",
+}
+COVERAGE_ADVICE = {
+    "aws": "Purchase Reserved Instances or Savings Plans for stable workloads",
+    "azure": "Purchase Azure Reservations for stable VM workloads",
+    "gcp": "Purchase 1-year or 3-year CUDs for stable workloads",
+}
+TAG_TITLE = {
+    "aws": "Tag compliance: ",
+    "azure": "Azure tag compliance: ",
+    "gcp": "GCP label compliance: ",
+}
+TAG_ADVICE = {
+    "aws": "Enforce tagging policy via AWS Organizations or OPA",
+    "azure": "Enforce Azure Policy for mandatory tags",
+    "gcp": "Enforce labels via Organization Policy",
+}
+VIOLATION_TITLE = "Tag violation: %s"
+VIOLATION_TEXT = "Resource %s in account %s is missing tags: %s."
+SPEND_TITLE = "%s Monthly Spend: $%s"
+TOP_SERVICE_TITLE = "Top %s Service: %s ($%s)"
+REGIONS_TITLE = "Resources spread across %d regions"
+STOPPED_TITLE = "%d stopped EC2 instances may incur storage charges"
+STOPPED_ADVICE = "Snapshot and terminate stopped instances after validation"
+OLD_TITLE = "%d EC2 instances using older generation types"
+OLD_ADVICE = "Plan migration to current generation instance families"
+ADVISOR_TITLE = "Azure Advisor: %s"
+RECOMMENDER_TITLE = "GCP Recommender: %s"
+
 # How a provider is named in texts.
 PROVIDER_LABELS = {"aws": "AWS", "azure": "Azure", "gcp": "GCP"}
 
@@ -105,21 +153,17 @@ def idle_insights(idle: DataFrame) -> DataFrame:
     """One insight per provider over its idle resources."""
     totals = idle.groupBy("provider").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("total_cost"), 4).alias("cost"))
-    n, cost = F.col("n").cast("string"), F.col("cost")
+    cost = F.col("cost")
     return as_insights(
         totals,
         agent=F.concat("provider", F.lit("_cost_agent")), provider=F.col("provider"),
         category="idle_resource", severity="medium",
-        title=F.when(F.col("provider") == "aws",
-                     F.concat(F.lit("Found "), n, F.lit(" potentially idle resources ($"), amount(cost), F.lit(")")))
-        .otherwise(F.concat(n, F.lit(" potentially idle "), provider_label(), F.lit(" resources"))),
-        description=F.concat(n, F.lit(" resources cost $"), amount(cost), F.lit(" with minimal usage.")),
+        title=F.when(F.col("provider") == "aws", F.format_string(IDLE_FOUND, "n", amount(cost)))
+        .otherwise(F.format_string(IDLE_OTHERS, "n", provider_label())),
+        description=F.format_string("%d resources cost $%s with minimal usage.", "n", amount(cost)),
         current_monthly_cost=cost, projected_monthly_savings=cost * IDLE_SAVINGS,
         confidence_score=0.75, risk_level="medium", action_required=True,
-        recommendation=_per_provider({
-            "aws": "Review and stop/terminate idle resources after confirmation",
-            "azure": "Review idle VMs and disks, consider deallocation",
-            "gcp": "Review and stop idle GCE instances"}),
+        recommendation=_per_provider(IDLE_ADVICE),
         action_type="stop",
     )
 
@@ -149,9 +193,8 @@ def idle_vms(b: DataFrame, as_of, min_cost: float = 50, max_usage: float = 2, ma
     return as_insights(
         _dearest(rows, limit),
         agent="aws_cost_agent", provider="aws", category="idle_resource", severity="high",
-        title=F.concat(F.lit("Potentially idle EC2: "), F.coalesce("resource_id", F.lit("unknown"))),
-        description=F.format_string("EC2 %s in %s has low usage (%.2f hrs/day) but costs $%.2f/month.",
-                                    "resource_name", "region_id", "avg_usage", "monthly_cost"),
+        title=F.format_string(IDLE_VM_TITLE, F.coalesce("resource_id", F.lit("unknown"))),
+        description=F.format_string(IDLE_VM_TEXT, "resource_name", "region_id", "avg_usage", "monthly_cost"),
         resource_ids=F.array(F.coalesce("resource_id", F.lit(""))), service_name="Virtual Machine",
         region=F.col("region_id"), current_monthly_cost=cost,
         projected_monthly_savings=F.round(cost * IDLE_SAVINGS, 4), confidence_score=0.75,
@@ -175,9 +218,8 @@ def aws_commitment_gap(b: DataFrame, as_of, min_cost: float = 500, days: int = 3
     return as_insights(
         rows,
         agent="aws_cost_agent", provider="aws", category="commitment_gap", severity="medium",
-        title=F.concat(F.lit("Commitment gap: "), F.col("service_name")),
-        description=F.concat(F.lit("$"), amount(cost), F.lit("/month on "), F.col("service_name"),
-                             F.lit(" with no RIs/SPs. Potential 30-40% savings.")),
+        title=F.format_string(GAP_TITLE, "service_name"),
+        description=F.format_string(GAP_TEXT, amount(cost), "service_name"),
         service_name=F.col("service_name"), current_monthly_cost=cost,
         projected_monthly_savings=F.round(cost * COMMITMENT_SAVINGS, 4), confidence_score=0.85,
         recommendation="Buy convertible reservations for the baseline.",
@@ -201,9 +243,8 @@ def azure_hybrid_benefit(b: DataFrame, as_of, min_cost: float = 100, days: int =
     return as_insights(
         _vm_savings(b, as_of, "azure", min_cost, days, limit),
         agent="azure_cost_agent", provider="azure", category="right_size", severity="medium",
-        title=F.concat(F.lit("AHUB opportunity: "), F.coalesce("resource_name", F.lit("unknown"))),
-        description=F.concat(F.lit("Azure VM "), F.col("resource_name"), F.lit(" costs $"), amount(cost),
-                             F.lit("/month. Enable Azure Hybrid Benefit for ~40% savings.")),
+        title=F.format_string(HYBRID_TITLE, F.coalesce("resource_name", F.lit("unknown"))),
+        description=F.format_string(HYBRID_TEXT, "resource_name", amount(cost)),
         resource_ids=F.array(F.coalesce("resource_id", F.lit(""))), service_name="Virtual Machine",
         region=F.col("region_id"), current_monthly_cost=cost,
         projected_monthly_savings=F.round(cost * HYBRID_SAVINGS, 4), confidence_score=0.80,
@@ -217,9 +258,8 @@ def gcp_cud_gap(b: DataFrame, as_of, min_cost: float = 200, days: int = 30, limi
     return as_insights(
         _vm_savings(b, as_of, "gcp", min_cost, days, limit, uncommitted=True),
         agent="gcp_cost_agent", provider="gcp", category="commitment_gap", severity="medium",
-        title=F.concat(F.lit("CUD gap: "), F.coalesce("resource_name", F.lit("unknown"))),
-        description=F.concat(F.lit("GCE "), F.col("resource_name"), F.lit(" in "), F.col("region_id"),
-                             F.lit(" costs $"), amount(cost), F.lit("/month with no CUD. 1-year CUD saves ~28-37%.")),
+        title=F.format_string(CUD_TITLE, F.coalesce("resource_name", F.lit("unknown"))),
+        description=F.format_string(CUD_TEXT, "resource_name", "region_id", amount(cost)),
         resource_ids=F.array(F.coalesce("resource_id", F.lit(""))), service_name="Virtual Machine",
         region=F.col("region_id"), current_monthly_cost=cost,
         projected_monthly_savings=F.round(cost * CUD_SAVINGS, 4), confidence_score=0.82,
@@ -253,16 +293,12 @@ def coverage_insights(coverage: DataFrame) -> DataFrame:
         low,
         agent=F.concat("provider", F.lit("_cost_agent")), provider=F.col("provider"),
         category="commitment_gap", severity="medium",
-        title=F.concat(_per_provider({"aws": "Commitment coverage only ", "azure": "Azure reservation coverage: ",
-                                      "gcp": "CUD coverage: "}), pct, F.lit("%")),
+        title=F.concat(_per_provider(COVERAGE_TITLE), pct, F.lit("%")),
         description=F.concat(pct, F.lit("% of spend is committed. Opportunity: $"), amount("opportunity")),
         current_monthly_cost=F.col("total_effective_cost"),
         projected_monthly_savings=F.round(F.col("opportunity") * _per_provider(COVERAGE_SAVINGS), 4),
         confidence_score=0.8, risk_level="low", action_required=True,
-        recommendation=_per_provider({
-            "aws": "Purchase Reserved Instances or Savings Plans for stable workloads",
-            "azure": "Purchase Azure Reservations for stable VM workloads",
-            "gcp": "Purchase 1-year or 3-year CUDs for stable workloads"}),
+        recommendation=_per_provider(COVERAGE_ADVICE),
         action_type="purchase-commitment", coverage_pct=F.col("commitment_coverage_pct"),
     )
 
@@ -292,15 +328,11 @@ def tag_coverage_insights(coverage: DataFrame) -> DataFrame:
         coverage.filter(F.col("team_tag_coverage_pct") < TAG_TARGET_PCT),
         agent=F.concat("provider", F.lit("_cost_agent")), provider=F.col("provider"),
         category="tag_compliance", severity="low",
-        title=F.concat(_per_provider({"aws": "Tag compliance: ", "azure": "Azure tag compliance: ",
-                                      "gcp": "GCP label compliance: "}), pct,
+        title=F.concat(_per_provider(TAG_TITLE), pct,
                        F.when(F.col("provider") == "aws", "% have team tags").otherwise("%")),
         description=F.concat(F.col("untagged_records").cast("string"), F.lit(" records carry no tag at all.")),
         confidence_score=0.85, risk_level="low", action_required=True,
-        recommendation=_per_provider({
-            "aws": "Enforce tagging policy via AWS Organizations or OPA",
-            "azure": "Enforce Azure Policy for mandatory tags",
-            "gcp": "Enforce labels via Organization Policy"}),
+        recommendation=_per_provider(TAG_ADVICE),
         action_type="tag", coverage_pct=F.col("team_tag_coverage_pct"),
     )
 
@@ -348,9 +380,8 @@ def violation_insights(violations: DataFrame) -> DataFrame:
         violations,
         agent="tagging_agent", provider=F.col("provider_name"), category="tag_compliance",
         severity=F.when(F.col("severity") == "none", "info").otherwise(F.col("severity")),
-        title=F.concat(F.lit("Tag violation: "), F.col("resource_id")),
-        description=F.concat(F.lit("Resource "), F.col("resource_id"), F.lit(" in account "),
-                             F.col("billing_account_id"), F.lit(" is missing tags: "), missing, F.lit(".")),
+        title=F.format_string(VIOLATION_TITLE, "resource_id"),
+        description=F.format_string(VIOLATION_TEXT, "resource_id", "billing_account_id", missing),
         resource_ids=F.array("resource_id"), service_name=F.col("resource_type"),
         current_monthly_cost=F.col("monthly_cost"), projected_monthly_savings=0.0, confidence_score=0.95,
         recommendation=F.concat(F.lit("Apply tags: "), F.concat_ws(", ", "missing_tags"), F.lit(".")),
@@ -385,7 +416,7 @@ def spend_insights(b: DataFrame, as_of, days: int = 30, many_regions: int = 3) -
               "risk_level": "low", "action_type": "report", "action_required": False}
     headline = as_insights(
         spend, **common,
-        title=F.concat(provider_label(), F.lit(" Monthly Spend: $"), amount("total_cost")),
+        title=F.format_string(SPEND_TITLE, provider_label(), amount("total_cost")),
         description=F.concat(provider_label(), F.lit(f" spend for last {days} days: $"), amount("total_cost"),
                              F.lit(" across "), F.col("service_count").cast("string"), F.lit(" services.")),
         current_monthly_cost=F.col("total_cost"), projected_monthly_savings=F.col("total_savings"),
@@ -393,15 +424,14 @@ def spend_insights(b: DataFrame, as_of, days: int = 30, many_regions: int = 3) -
     top = service_breakdown(b, as_of, days, 1).withColumnRenamed("provider_name", "provider")
     service = as_insights(
         top, **common,
-        title=F.concat(F.lit("Top "), provider_label(), F.lit(" Service: "), F.col("service_name"),
-                       F.lit(" ($"), amount("cost"), F.lit(")")),
+        title=F.format_string(TOP_SERVICE_TITLE, provider_label(), "service_name", amount("cost")),
         description=F.concat(F.lit("Highest spend: "), F.col("service_name"), F.lit(" at $"), amount("cost")),
         service_name=F.col("service_name"), current_monthly_cost=F.col("cost"), confidence_score=0.9)
     spread = cost_by_region(b, as_of, days).groupBy(F.col("provider_name").alias("provider")).agg(
         F.count(F.lit(1)).alias("regions")).filter(F.col("regions") > many_regions)
     regional = as_insights(
         spread, **common,
-        title=F.concat(F.lit("Resources spread across "), F.col("regions").cast("string"), F.lit(" regions")),
+        title=F.format_string(REGIONS_TITLE, "regions"),
         description=F.concat(F.lit("Costs distributed across "), F.col("regions").cast("string"), F.lit(" regions.")),
         confidence_score=0.9)
     return union_insights(headline, service, regional)
@@ -418,16 +448,16 @@ def inventory_insights(inventory: DataFrame) -> DataFrame:
     common = {"agent": "aws_cost_agent", "provider": "aws", "action_required": True}
     halted = as_insights(
         machines.filter(stopped > 0), **common, category="idle_resource", severity="low",
-        title=F.concat(stopped.cast("string"), F.lit(" stopped EC2 instances may incur storage charges")),
+        title=F.format_string(STOPPED_TITLE, stopped),
         description=F.concat(stopped.cast("string"), F.lit(" stopped instances still pay for their volumes.")),
         projected_monthly_savings=stopped * STOPPED_SAVINGS, confidence_score=0.7, risk_level="low",
-        recommendation="Snapshot and terminate stopped instances after validation", action_type="stop")
+        recommendation=STOPPED_ADVICE, action_type="stop")
     outdated = as_insights(
         machines.filter(old > 0), **common, category="right_size", severity="medium",
-        title=F.concat(old.cast("string"), F.lit(" EC2 instances using older generation types")),
+        title=F.format_string(OLD_TITLE, old),
         description=F.concat(old.cast("string"), F.lit(" instances on older types: "), F.col("types")),
         projected_monthly_savings=old * OLD_GENERATION_SAVINGS, confidence_score=0.75, risk_level="medium",
-        recommendation="Plan migration to current generation instance families", action_type="right-size")
+        recommendation=OLD_ADVICE, action_type="right-size")
     return union_insights(halted, outdated)
 
 
@@ -439,8 +469,8 @@ def native_recommendations(recs: DataFrame, per_provider: int = 5) -> DataFrame:
         first,
         agent=F.concat("provider", F.lit("_cost_agent")), provider=F.col("provider"),
         category=F.when(azure, "general").otherwise("idle_resource"), severity="low",
-        title=F.when(azure, F.concat(F.lit("Azure Advisor: "), F.coalesce("title", F.lit("Recommendation"))))
-        .otherwise(F.concat(F.lit("GCP Recommender: "), F.substring("description", 1, 80))),
+        title=F.when(azure, F.format_string(ADVISOR_TITLE, F.coalesce("title", F.lit("Recommendation"))))
+        .otherwise(F.format_string(RECOMMENDER_TITLE, F.substring("description", 1, 80))),
         description=F.col("description"),
         projected_monthly_savings=F.when(azure, F.coalesce(F.col("potential_savings").try_cast("double"), F.lit(0.0)) / 12)
         .otherwise(F.coalesce(F.col("units").try_cast("double"), F.lit(0.0))),
