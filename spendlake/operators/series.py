@@ -13,7 +13,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlake.functions.columns import day_of, days_before
+from spendlake.functions.columns import amount, day_of, days_before
+from spendlake.operators.detectors import as_insights
 from spendlake.operators.staging import filter_billing
 
 # The shortest series that is fitted or back-tested.
@@ -26,6 +27,10 @@ Z_VALUES = {0.80: 1.2816, 0.90: 1.6449, 0.95: 1.9600, 0.99: 2.5758}
 # Deviation (percent) from which an anomaly or overrun is critical.
 CRITICAL_PCT = 50
 
+# Titles of insights.
+ANOMALY_TITLE = "Cost anomaly detected: %s"
+BREACH_TITLE = "Budget breach forecast: %s"
+
 SERIES_KEYS = {
     "service": "service_name",
     "team": "tag_team",
@@ -238,13 +243,10 @@ def anomaly_metrics(anomalies: DataFrame) -> DataFrame:
 
 
 def anomaly_insights(anomalies: DataFrame) -> DataFrame:
-    from spendlake.functions.columns import amount
-    from spendlake.operators.detectors import as_insights
-
     return as_insights(
         anomalies,
         agent="anomaly_agent", provider=F.col("key"), category="general", severity=F.col("severity"),
-        title=F.concat(F.lit("Cost anomaly detected: "), F.upper("key")),
+        title=F.format_string(ANOMALY_TITLE, F.upper("key")),
         description=F.concat(F.lit("Unexpected cost on "), F.date_format("ds", "yyyy-MM-dd"), F.lit(": $"),
                              amount("actual_cost"), F.lit(" (expected $"), amount("expected_cost"), F.lit(").")),
         resource_ids=F.array(F.date_format("ds", "yyyy-MM-dd")),
@@ -255,13 +257,10 @@ def anomaly_insights(anomalies: DataFrame) -> DataFrame:
 
 
 def breach_insights(breaches: DataFrame, horizon: int) -> DataFrame:
-    from spendlake.functions.columns import amount
-    from spendlake.operators.detectors import as_insights
-
     return as_insights(
         breaches,
         agent="forecasting_agent", provider="multi", category="general", severity=F.col("severity"),
-        title=F.concat(F.lit("Budget breach forecast: "), F.col("key")),
+        title=F.format_string(BREACH_TITLE, "key"),
         description=F.concat(F.lit("Projected $"), amount("projected_total_cost"), F.lit(" vs budget $"),
                              amount("budget"), F.lit(f" over next {horizon} days.")),
         service_name=F.col("key"), current_monthly_cost=F.col("projected_total_cost"),

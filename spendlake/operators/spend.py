@@ -256,6 +256,11 @@ def panel_table(b: DataFrame, start, end, group_by: str = "service_name", limit:
     )
 
 
+# Title and text of an annotation.
+SPIKE_TITLE = "Cost spike: %s"
+SPIKE_TEXT = "Provider: %s\nEffective: $%.2f\nDelta vs list: +$%.2f"
+
+
 def spike_annotations(b: DataFrame, start, end, ratio: float = 1.3, min_list: float = 100, limit: int = 100,
                       at: str = "billing_period_start") -> DataFrame:
     """Charges far above their list price, as chart annotations."""
@@ -269,9 +274,8 @@ def spike_annotations(b: DataFrame, start, end, ratio: float = 1.3, min_list: fl
         .limit(limit)
         .select(
             "time",
-            F.concat(F.lit("Cost spike: "), F.coalesce("service_name", F.lit("Unknown"))).alias("title"),
-            F.format_string("Provider: %s\nEffective: $%.2f\nDelta vs list: +$%.2f",
-                            "provider_name", "effective_cost", "delta").alias("text"),
+            F.format_string(SPIKE_TITLE, F.coalesce("service_name", F.lit("Unknown"))).alias("title"),
+            F.format_string(SPIKE_TEXT, "provider_name", "effective_cost", "delta").alias("text"),
             F.concat_ws(",", F.lit("anomaly"), "provider_name", "service_name").alias("tags"),
             "charge_description", "effective_cost", "delta",
         )

@@ -82,6 +82,18 @@ def test_dedup_keeps_the_newest(billing):
     assert sorted(r.effective_cost for r in rows.collect()) == [Decimal("70"), Decimal("80")]
 
 
+def test_dedup_of_a_hot_charge(spark, billing):
+    """A third of the rows are copies of one charge, spread over all tasks."""
+    one = billing({}).drop("cs_ingested_at", "effective_cost", "charge_description")
+    rows = spark.range(0, 3000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("charge_description"),
+        F.col("id").cast("decimal(18,6)").alias("effective_cost"),
+        F.timestamp_seconds(F.col("id")).alias("cs_ingested_at")).crossJoin(one).select(*schema.BILLING_SCHEMA.names)
+    kept = staging.dedup_latest(rows)
+    assert kept.count() == 2001
+    assert only(kept.filter("charge_description = 'hot'")).effective_cost == Decimal("2997")
+
+
 def test_dedup_prunes_before_the_exchange(billing):
     plan = staging.dedup_latest(billing({}))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
@@ -223,6 +235,16 @@ def test_spike_is_an_anomaly(spark):
     assert [str(r.ds) for r in found] == ["2024-02-10"] and found[0].severity == "critical"
 
 
+def test_series_insights(spark):
+    rows = straight(spark, 60).withColumn("y", F.when(F.col("ds") == "2024-02-10", 5000.0).otherwise(F.col("y")))
+    row = only(series.anomaly_insights(series.interval_anomalies(rows)))
+    assert (row.title, row.severity, row.action_type) == ("Cost anomaly detected: K", "critical", "investigate")
+    totals = series.forecast_totals(series.forecast(straight(spark, 30), 30))
+    plan = spark.createDataFrame([("k", 1000.0)], "key string, budget double")
+    breach = only(series.breach_insights(series.forecast_breaches(totals, plan), 30))
+    assert (breach.title, breach.severity, breach.provider) == ("Budget breach forecast: k", "critical", "multi")
+
+
 @pytest.mark.parametrize("expected, actual, score, pct, significant", [
     (100.0, 250.0, 0.9, 150.0, True), (100.0, 150.0, 0.3, 50.0, False), (0.0, 10.0, 0.9, 100.0, True), (100.0, 110.0, 0.9, 10.0, False)])
 def test_anomaly_metrics(spark, expected, actual, score, pct, significant):
