@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import quality
+from spendlake.llm import exact, packing, piece_codec, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,45 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 contiguous shards of near equal bytes."""
+    placed = sharding.assign(_documents(spark, sf_dir), 40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays for each document. The contract wants the digest of every text, so all are hashed."""
+    return exact.decisions(_documents(spark, sf_dir), digest_all=True)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens, each document closed by id 1."""
+    return packing.pack(_documents(spark, sf_dir), packing.default_tokenizer(), capacity=4096, end_id=1)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether it has more than 2048."""
+    counted = token_counts.count_tokens(_documents(spark, sf_dir), packing.default_tokenizer())
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document, and of the text decoded from them."""
+    model = piece_codec.default_model()
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("source_text"))
+    encoded = piece_codec.encode(docs, model, text_col="source_text")
+    return piece_codec.digests(piece_codec.decode(encoded, model))
+
+
 QUERIES = {
+    "op2_shards": op2_shards,
     "op3_quality_rules": op3_quality_rules,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
+    "op9_piece_codec": op9_piece_codec,
 }
 
 ORACLES: dict[str, str] = {}
