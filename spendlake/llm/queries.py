@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import exact, packing, piece_codec, quality, sharding, token_counts
+from spendlake.llm import chat, exact, packing, pii, piece_codec, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
+    found = pii.detect(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda k: F.filter(base, lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document stays for each document. The contract wants the digest of every text, so all are hashed."""
     return exact.decisions(_documents(spark, sf_dir), digest_all=True)
@@ -56,13 +66,23 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.decode(encoded, model))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that speaks in control strings, formatted and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
+    return chat.read_back(chat.format_turns(rows.unionByName(more)))
+
+
 QUERIES = {
     "op2_shards": op2_shards,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op9_piece_codec": op9_piece_codec,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {}
