@@ -42,6 +42,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Bits of a key bitmap: 2048 rows of 4 kB, so never more than 8 MB to broadcast, whatever it is made from.
+BITMAP_BITS = 1 << 26
+_ROW_BITS = 1 << 15
+
+
+def key_bitmap(keys: DataFrame, key: Column) -> DataFrame:
+    """The set of keys (64-bit hashes) as rows (_row, _bits) of a bitmap of fixed size. Other keys may share a bit."""
+    at = F.pmod(key, F.lit(BITMAP_BITS))
+    return keys.select(at.alias("_at")).groupBy((F.col("_at") / _ROW_BITS).cast("int").alias("_row")).agg(
+        F.bitmap_construct_agg(F.col("_at") % _ROW_BITS).alias("_bits")
+    )
+
+
+def flag_keys(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean: may the row's key be in the bitmap? Never false when it is. Moves no row of ``df``."""
+    row, bits, at = (fresh(df.columns, c) for c in ("_row", "_bits", "_at"))
+    keyed = df.withColumn(at, F.pmod(key, F.lit(BITMAP_BITS))).withColumn(row, (F.col(at) / _ROW_BITS).cast("int"))
+    joined = keyed.join(F.broadcast(bitmap.toDF(row, bits)), row, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(at) % _ROW_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = (byte / F.pow(F.lit(2), F.col(at) % 8)).cast("int") % 2
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.coalesce(bit, F.lit(0)) == 1).alias(flag))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

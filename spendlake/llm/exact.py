@@ -19,11 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import SPACE, fresh, stored
-
-#: Bits of the bitmap of contested pairs: 2048 rows of 4 kB, so never more than 8 MB to broadcast.
-BITS = 1 << 26
-_ROW_BITS = 1 << 15
+from spendlake.llm.common import SPACE, flag_keys, fresh, key_bitmap, stored
 
 #: Characters of the prefix that is hashed in the second refinement.
 PREFIX = 256
@@ -44,23 +40,15 @@ def contested_bitmap(docs: DataFrame, text_col: str = "text") -> DataFrame:
     pairs = docs.select(*_keyed(F.col(f"`{text_col}`"))).groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
     by_length = pairs.groupBy("_len").agg(F.sum("_n").alias("_all")).where("_all > 1")
     by_prefix = pairs.where("_n > 1").join(by_length, "_len", "left_semi")
-    at = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(BITS))
-    return by_prefix.select(at.alias("_at")).groupBy((F.col("_at") / _ROW_BITS).cast("int").alias("_row")).agg(
-        F.bitmap_construct_agg((F.col("_at") % _ROW_BITS)).alias("_bits")
-    )
+    return key_bitmap(by_prefix, F.xxhash64("_len", "_prefix"))
 
 
 def flag_contested(docs: DataFrame, text_col: str, flag: str) -> DataFrame:
     """``docs`` with a boolean: may another text have the same length and prefix? Never false when one has."""
-    length, prefix, row, bits, at = (fresh(docs.columns, c) for c in ("_len", "_prefix", "_row", "_bits", "_at"))
+    length, prefix = fresh(docs.columns, "_len"), fresh(docs.columns, "_prefix")
     keys = _keyed(F.col(f"`{text_col}`"))
-    bitmap = contested_bitmap(docs, text_col).toDF(row, bits)
     keyed = docs.withColumns({length: keys[0], prefix: keys[1]})
-    keyed = keyed.withColumn(at, F.pmod(F.xxhash64(length, prefix), F.lit(BITS))).withColumn(row, (F.col(at) / _ROW_BITS).cast("int"))
-    joined = keyed.join(F.broadcast(bitmap), row, "left")
-    byte = F.conv(F.hex(F.substring(F.col(bits), ((F.col(at) % _ROW_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = (byte / F.pow(F.lit(2), F.col(at) % 8)).cast("int") % 2
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], (F.coalesce(bit, F.lit(0)) == 1).alias(flag))
+    return flag_keys(keyed, F.xxhash64(length, prefix), contested_bitmap(docs, text_col), flag).drop(length, prefix)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import chat, exact, packing, pii, piece_codec, quality, sharding, token_counts
+from spendlake.llm import chat, exact, minhash, packing, pii, piece_codec, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, over sets of two-word shingles."""
+    found = minhash.near_components(_documents(spark, sf_dir), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 contiguous shards of near equal bytes."""
     placed = sharding.assign(_documents(spark, sf_dir), 40)
@@ -75,6 +81,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_shards": op2_shards,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
