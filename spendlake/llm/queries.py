@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import chat, exact, minhash, packing, pii, piece_codec, quality, sharding, token_counts
+from spendlake.llm import chat, exact, minhash, packing, pii, piece_codec, quality, recompress, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat 13 words of an earlier one, and what is left."""
+    rest = recompress.remove_repeats(_documents(spark, sf_dir))
+    return rest.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document, and of the text decoded from them."""
     model = piece_codec.default_model()
@@ -88,6 +94,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_repeats": op8_repeats,
     "op9_piece_codec": op9_piece_codec,
     "op10_chat": op10_chat,
 }
