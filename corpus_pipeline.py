@@ -1,13 +1,15 @@
 """The corpus pipeline: raw documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet before the next.
+All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spendlake.llm import quality
+from spendlake.llm import exact, minhash, packing, pii, quality
 from spendlake.session import run_dir
 
 
@@ -16,8 +18,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the first stays."""
+    return exact.deduplicate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, over sets of five-word shingles at 0.8, the first stays."""
+    return minhash.deduplicate(docs, shingle=5, percent=80)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are masked in the text; ``n_chars`` follows."""
+    masked = pii.redact(docs)
+    return masked.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in docs.columns else masked
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of sequences of 4096 tokens, with their ids."""
+    return packing.pack(docs, packing.default_tokenizer(), capacity=4096, end_id=1, with_ids=True)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mask_personal_data", mask_personal_data),
+    ("pack", pack),
 ]
 
 #: Near-duplicate links, trained span classifiers and tokenizers are beyond SQL; tests hold the run against brute force.
