@@ -1,10 +1,11 @@
 """Token counts without token ids: the pieces of each distinct pre-token are counted once, then joined to frequencies.
 
 1. Each task turns its texts into *postings*: for a pre-token and a block of rows, the rows that hold it and how often.
-   A word that every text has is one posting per block, not one row per text.
-2. The distinct pre-tokens of all blocks are counted once each, with the tokenizer's library.
-3. The postings are joined to these counts and summed per row. Spark combines the sums in the tasks, and splits the
-   postings of a very common pre-token, since only the small side has to hold one row for each.
+   A word that every text has is one posting list per block, not one row per text. The lists of a block are dealt by a hash
+   of the pre-token, all lists with one destination in one row.
+2. A pre-token has one destination, where its pieces are counted, once, with the tokenizer's library, and joined to all its
+   postings; a row of postings becomes one sum for each text it speaks of.
+3. The sums of a text are added up.
 
 Defined results:
 * null or empty text, or one whose characters the tokenizer drops: 0 tokens (and 0 bytes for the first two);
@@ -17,7 +18,7 @@ The input must give its rows in the same order when it is read again, as a store
 
 from __future__ import annotations
 
-from collections import defaultdict
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.llm import wordbpe
-from spendlake.llm.common import small_batches, stored
+from spendlake.llm.common import small_batches
 
-#: Postings a task gathers before it hands them on.
-GATHERED = 2_000_000
+#: Postings a task gathers before it hands them on, and rows of a block.
+GATHERED, BLOCK_ROWS = 2_000_000, 1 << 16
+#: Distinct pre-tokens whose count a task remembers; beyond it the memory starts anew, which costs time only.
+REMEMBERED = 500_000
 
 
 class _Codes(dict):
@@ -38,50 +41,87 @@ class _Codes(dict):
         return n
 
 
-def postings(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Rows (token, base, rows, counts) for ``docs`` (_at, _text): row ``base + rows[i]`` has the token ``counts[i]`` times."""
+class _Counts(dict):
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.ids = wordbpe.tokenizer(path).ids
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self.ids(token))
+        return n
+
+
+def postings(docs: DataFrame, tokenizer_path: str, destinations: int) -> DataFrame:
+    """Rows (to, base, tokens, sizes, rows, counts) for ``docs`` (_at, _text).
+
+    ``tokens`` are the pre-tokens, one in a line; the next ``sizes[i]`` entries are of token i: row ``base + rows[j]`` has it
+    ``counts[j]`` times. The numbers are packed.
+    """
     small_batches(docs.sparkSession)
 
     def flush(codes: _Codes, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], base: int) -> pa.RecordBatch:
+        tokens = np.asarray(list(codes), object)
+        to = np.fromiter((zlib.crc32(t.encode()) % destinations for t in codes), np.int64, len(codes))
         code, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(code, kind="stable")
-        bounds = np.searchsorted(code[order], np.arange(len(codes) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[order].astype(np.int32))) for x in (at, n)]
-        tokens = pa.array(list(codes), pa.string())
-        return pa.RecordBatch.from_arrays([tokens, pa.array(np.full(len(codes), base), pa.int64()), *lists], ["token", "base", "rows", "counts"])
+        order = np.lexsort((at, code, to[code]))
+        code, at, n = code[order], at[order], n[order]
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        sizes, own = np.diff(np.r_[starts, len(code)]), code[starts]
+        cuts = np.r_[np.flatnonzero(np.r_[True, to[own][1:] != to[own][:-1]]), len(own)]
+        ends = np.r_[starts, len(code)]
+        out: list[tuple] = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = slice(ends[a], ends[b])
+            out.append((
+                int(to[own[a]]), base, "\n".join(tokens[own[a:b]]), sizes[a:b].astype("<u4").tobytes(),
+                at[part].astype("<u2").tobytes(), n[part].astype("<u4").tobytes(),
+            ))
+        types = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["to", "base", "tokens", "sizes", "rows", "counts"]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = wordbpe.tokenizer(tokenizer_path).split
         codes, found, many, base = _Codes(), [], 0, -1
         for batch in batches:
             for at, text in zip(batch.column("_at").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                if not text:
+                words = split(text) if text else []
+                if not words:
                     continue
-                if found and (many > GATHERED or at - base >= 1 << 31):
+                if found and (many > GATHERED or at - base >= BLOCK_ROWS):
                     yield flush(codes, found, base)
                     codes, found, many = _Codes(), [], 0
                 if not found:
                     base = at
-                words = split(text)
                 code, n = np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), return_counts=True)
                 found.append((code, np.full(len(code), at - base), n))
                 many += len(code)
-        if found and many:
+        if found:
             yield flush(codes, found, base)
 
-    return docs.select("_at", "_text").mapInArrow(gather, "token string, base long, rows array<int>, counts array<int>")
+    schema = "to int, base long, tokens string, sizes binary, rows binary, counts binary"
+    return docs.select("_at", "_text").mapInArrow(gather, schema)
 
 
-def pieces_per_token(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``n_pieces`` of each row of ``tokens`` (token), by the tokenizer's library."""
+def sums_of_postings(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(_at, n): the tokens that each row of postings adds to each text."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = wordbpe.tokenizer(tokenizer_path).ids
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _Counts(tokenizer_path)
         for batch in batches:
-            n = [len(ids(t)) for t in batch.column("token").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(n, pa.int64())], ["token", "n_pieces"])
+            columns = [batch.column(c).to_pylist() for c in ("base", "tokens", "sizes", "rows", "counts")]
+            for base, tokens, sizes, rows, counts in zip(*columns, strict=True):
+                if len(pieces) > REMEMBERED:
+                    pieces.clear()
+                own = tokens.split("\n")
+                each = np.fromiter(map(pieces.__getitem__, own), np.int64, len(own))
+                rows = np.frombuffer(rows, "<u2")
+                n = np.repeat(each, np.frombuffer(sizes, "<u4")) * np.frombuffer(counts, "<u4")
+                sums = np.bincount(rows, n)
+                at = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(sums[at].astype(np.int64))], names=["_at", "n"])
 
-    return tokens.mapInArrow(count, "token string, n_pieces long")
+    return dealt.mapInArrow(join, "_at long, n long")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,10 +129,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     rows = docs.select(
         F.monotonically_increasing_id().alias("_at"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")
     )
-    found = stored(postings(rows, tokenizer_path), "postings")
-    sizes = pieces_per_token(found.select("token").distinct(), tokenizer_path)
-    pairs = found.join(sizes, "token").select("base", "n_pieces", F.explode(F.arrays_zip("rows", "counts")).alias("p"))
-    sums = pairs.groupBy((F.col("base") + F.col("p.rows")).alias("_at")).agg(F.sum(F.col("p.counts") * F.col("n_pieces")).alias("_n"))
+    destinations = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings(rows, tokenizer_path, destinations).repartitionById(destinations, F.col("to"))
+    sums = sums_of_postings(dealt, tokenizer_path).groupBy("_at").agg(F.sum("n").alias("_n"))
     own = rows.select("_at", "_id", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"))
     return own.join(sums, "_at", "left").select(
         F.col("_id").alias(id_col), "n_bytes", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_tokens")
