@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]"
 _BLANKS = "\t\n\x0b\x0c\r"
 
 #: Bytes of one Arrow batch handed to a Python worker. Bounds the memory of a task whatever the length of its texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

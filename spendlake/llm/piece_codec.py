@@ -35,9 +35,9 @@ NONE = np.iinfo(np.int32).max
 CUT = "\U0010ffff"
 
 #: Distinct words a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 400_000
-#: Symbols that are merged in one array.
-TOGETHER = 2_000_000
+REMEMBERED = 250_000
+#: Symbols that are merged in one array, characters that are encoded and ids that are decoded in one.
+TOGETHER = 300_000
 
 
 class PieceModel:
@@ -215,6 +215,7 @@ class WordMemory(dict):
         self.model, self.ids, self.starts = model, np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
+        """Know all of ``words`` afterwards, and perhaps no others."""
         if len(self) > REMEMBERED:
             self.clear()
             self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -250,15 +251,31 @@ def memory(path: str) -> WordMemory:
     return WordMemory(PieceModel(path))
 
 
+def _slices(sizes: list[int]) -> Iterator[slice]:
+    """Rows side by side whose sizes add up to ``TOGETHER`` or a little more; a row is never cut."""
+    begin, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= TOGETHER:
+            yield slice(begin, i + 1)
+            begin, total = i + 1, 0
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
 def encode_texts(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts one after the other, and how many each text has."""
     known = memory(path)
-    words = [split_text(t) if t else [] for t in texts]
-    flat = [w for ws in words for w in ws]
-    # Words that were known before `learn` may start its memory anew, so all words of the batch are learnt together.
-    known.learn(flat) if len(known) <= REMEMBERED else (known.learn([]), known.learn(flat))
-    codes = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-    return gathered(known.ids, known.starts, codes, np.fromiter(map(len, words), np.int64, len(words)))
+    ids, per_text = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for part in _slices([len(t) if t else 0 for t in texts]):
+        words = [split_text(t) if t else [] for t in texts[part]]
+        flat = [w for ws in words for w in ws]
+        known.learn(flat)
+        codes = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        found, lengths = gathered(known.ids, known.starts, codes, np.fromiter(map(len, words), np.int64, len(words)))
+        ids.append(found)
+        per_text.append(lengths)
+    return np.concatenate(ids), np.concatenate(per_text)
 
 
 @lru_cache(maxsize=2)
@@ -290,6 +307,15 @@ def _lenient(raw: bytes) -> str:
 
 def decode_ids(path: str, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
     """The texts of ids that follow each other, ``per_text`` of them for each text."""
+    out: list[str] = []
+    ends = np.cumsum(per_text)
+    for part in _slices(per_text.tolist()):
+        sizes = per_text[part]
+        out += _decode_slice(path, ids[ends[part.start] - sizes[0] : ends[part.stop - 1]], sizes)
+    return out
+
+
+def _decode_slice(path: str, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
     pool, starts, marked, control = _surface_arrays(path)
     raw, n_bytes = gathered(pool, starts, ids.astype(np.int64), per_text)
     raw, out, at, begin = raw.tobytes(), [], 0, 0
