@@ -151,7 +151,7 @@ def votes(text: str, c: Candidate) -> tuple[list[int], int]:
         shape = yes(7 <= len(span) <= 15, len(span) > 15)
     elif kind == "card":
         gazetteer = yes(span[0] in "3456", span[0] in "0789")
-        shape = yes(len(span.replace("-", " ").split(" ")) in (3, 4), len(set(span)) < 4)
+        shape = yes(False, len(set(span)) < 4)
     elif kind == "phone":
         gazetteer = yes(span[0] == "+")
         shape = yes(9 <= digits <= 15 and "(" in span, digits > 15)
