@@ -92,14 +92,14 @@ def scoped_budgets(b: DataFrame, budgets: DataFrame, as_of) -> DataFrame:
     )
 
 
-def monitor_thresholds(b: DataFrame, budgets: DataFrame) -> DataFrame:
+def monitor_thresholds(b: DataFrame, budgets: DataFrame, start=None, end=None) -> DataFrame:
     """Days whose cost passes a budget's daily share: critical above it, warning above 80 % of it.
 
     Budgets name a provider and a service; a NULL stands for all of them.
     """
     keys = [F.col("provider_name"), F.col("service_name")]
     daily = (
-        b.withColumn("day", day_of("charge_period_start"))
+        filter_billing(b, start, end).withColumn("day", day_of("charge_period_start"))
         .groupingSets([["day", "provider_name", "service_name"], ["day", "provider_name"],
                        ["day", "service_name"], ["day"]], "day", *keys)
         .agg(

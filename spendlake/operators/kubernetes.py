@@ -34,8 +34,13 @@ def _scope(b: DataFrame, as_of, days: int, cluster: str | None, namespace: str |
     return filter_billing(recent_periods(b, as_of, days), tags=wanted)
 
 
-def namespaces(b: DataFrame, as_of, cluster: str | None = None, days: int = 7, limit: int = 200) -> DataFrame:
-    return (
+def _first(rows: DataFrame, limit: int | None, *order) -> DataFrame:
+    """The first rows in order, or all of them, unsorted."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
+def namespaces(b: DataFrame, as_of, cluster: str | None = None, days: int = 7, limit: int | None = None) -> DataFrame:
+    rows = (
         _scope(b, as_of, days, cluster)
         .withColumns({"namespace": tag("k8s.namespace"), "cluster": tag("k8s.cluster")})
         .filter((F.col("service_name") == "Kubernetes") | (F.col("namespace") != ""))
@@ -49,14 +54,13 @@ def namespaces(b: DataFrame, as_of, cluster: str | None = None, days: int = 7, l
         )
         .withColumn("daily_cost", F.round(F.col("total_cost") / days, 6))
         .withColumn("monthly_cost", F.round(F.col("total_cost") / days * 30, 4))
-        .orderBy(F.desc("total_cost"), "namespace", "cluster")
-        .limit(limit)
     )
+    return _first(rows, limit, F.desc("total_cost"), "namespace", "cluster")
 
 
 def workloads(b: DataFrame, as_of, namespace: str | None = None, cluster: str | None = None,
-              days: int = 7, limit: int = 500) -> DataFrame:
-    return (
+              days: int = 7, limit: int | None = None) -> DataFrame:
+    rows = (
         _scope(b, as_of, days, cluster, namespace)
         .withColumns({
             "workload": tag("k8s.workload"), "namespace": tag("k8s.namespace"),
@@ -69,13 +73,12 @@ def workloads(b: DataFrame, as_of, namespace: str | None = None, cluster: str |
             F.sum("usage_quantity").alias("cpu_hours"),
             F.count_distinct("resource_id").alias("pod_count"),
         )
-        .orderBy(F.desc("total_cost"), "workload", "namespace", "cluster", "workload_type")
-        .limit(limit)
     )
+    return _first(rows, limit, F.desc("total_cost"), "workload", "namespace", "cluster", "workload_type")
 
 
-def nodes(b: DataFrame, as_of, cluster: str | None = None, days: int = 7, limit: int = 200) -> DataFrame:
-    return (
+def nodes(b: DataFrame, as_of, cluster: str | None = None, days: int = 7, limit: int | None = None) -> DataFrame:
+    rows = (
         _scope(b, as_of, days, cluster)
         .withColumns({"node": tag("k8s.node"), "cluster": tag("k8s.cluster")})
         .filter(F.col("node") != "")
@@ -85,9 +88,8 @@ def nodes(b: DataFrame, as_of, cluster: str | None = None, days: int = 7, limit:
             sum_dollars("list_cost").alias("on_demand_cost"),
             F.count_distinct("resource_id").alias("pod_count"),
         )
-        .orderBy(F.desc("node_cost"), "node", "cluster", "instance_type")
-        .limit(limit)
     )
+    return _first(rows, limit, F.desc("node_cost"), "node", "cluster", "instance_type")
 
 
 def allocation(b: DataFrame, as_of, window: str = "7d", aggregate: str = "namespace",
@@ -112,10 +114,13 @@ def allocation_summary(b: DataFrame, as_of, window: str = "30d", cluster: str |
                        top: int = 5) -> DataFrame:
     """One row: total, number of namespaces and the dearest ones as text."""
     rows = namespaces(b, as_of, cluster, window_days(window))
+    order = [F.desc("total_cost"), F.asc("namespace"), F.asc("cluster")]
+    totals = rows.agg(
+        F.round(F.coalesce(F.sum("total_cost"), F.lit(0.0)), 2).alias("total_cost"), F.count(F.lit(1)).alias("namespace_count"),
+        F.lit(None).cast("string").alias("top_namespaces"))
     best = F.array_sort(F.collect_list(F.struct((-F.col("total_cost")).alias("k"), "namespace", "cluster")))
-    return rows.agg(
-        F.round(F.coalesce(F.sum("total_cost"), F.lit(0.0)), 2).alias("total_cost"),
-        F.count(F.lit(1)).alias("namespace_count"),
-        F.concat_ws(",", F.transform(F.slice(best, 1, top),
-                                     lambda s: F.concat(s["namespace"], F.lit("@"), s["cluster"]))).alias("top_namespaces"),
-    ).withColumns({"window": F.lit(window), "cluster": F.lit(cluster or "all")})
+    dearest = rows.orderBy(*order).limit(top).agg(
+        F.lit(None).cast("double").alias("total_cost"), F.lit(None).cast("long").alias("namespace_count"),
+        F.concat_ws(",", F.transform(best, lambda s: F.concat(s["namespace"], F.lit("@"), s["cluster"]))).alias("top_namespaces"))
+    return totals.unionByName(dearest).agg(*[F.max(c).alias(c) for c in totals.columns]).withColumns(
+        {"window": F.lit(window), "cluster": F.lit(cluster or "all")})

@@ -9,6 +9,7 @@ fitted in one pass and none is held by the driver.
 from __future__ import annotations
 
 from datetime import date
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,14 @@ MIN_BACKTEST_DAYS = 30
 # Width of the normal band in standard deviations, by confidence.
 Z_VALUES = {0.80: 1.2816, 0.90: 1.6449, 0.95: 1.9600, 0.99: 2.5758}
 
+
+def z_value(level: float) -> float:
+    """Half the width of a normal band of this level, in standard deviations."""
+    if not 0 < level < 1:
+        raise ValueError(f"a level lies between 0 and 1, not at {level}")
+    return Z_VALUES.get(level) or NormalDist().inv_cdf((1 + level) / 2)
+
+
 # Deviation (percent) from which an anomaly or overrun is critical.
 CRITICAL_PCT = 50
 
@@ -101,7 +110,7 @@ def fit(series: DataFrame, used: Column | None = None) -> DataFrame:
 
 def forecast(series: DataFrame, horizon: int = 90, confidence: float = 0.95) -> DataFrame:
     """Daily prediction with its band for the ``horizon`` days after each series ends."""
-    z = Z_VALUES[confidence]
+    z = z_value(confidence)
     effects = [F.coalesce(F.max(F.when(F.col("dow") == d, F.col("effect"))), F.lit(0.0)) for d in range(7)]
     models = fit(series).groupBy("key").agg(
         F.max("slope").alias("slope"), F.max("intercept").alias("intercept"),
@@ -153,7 +162,7 @@ def forecast_breaches(totals: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def with_band(series: DataFrame, sensitivity: float = 0.95) -> DataFrame:
     """Every point with its expected value, band, flag and score."""
-    z = Z_VALUES[sensitivity]
+    z = z_value(sensitivity)
     half = z * F.coalesce(F.col("sigma"), F.lit(0.0))
     return (
         fit(series)
@@ -348,7 +357,7 @@ def rolling_origin_eval(series: DataFrame, initial: int = 90, period: int = 30,
     sums of 30-day blocks add up, so no day is repeated per cut-off: block sums
     are spread over the cut-offs after them and added.
     """
-    z = Z_VALUES[confidence]
+    z = z_value(confidence)
     of_key = _of_key()
     age = F.datediff("_last", "ds")
     points = (

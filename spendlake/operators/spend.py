@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendlake.functions.columns import (
     as_date, bucket, day_of, days_before, local_table, present, share_pct, sum_dollars, tag,
 )
-from spendlake.operators.staging import filter_billing
+from spendlake.operators.staging import filter_billing, month_range
 from spendlake import schema
 
 
@@ -22,8 +22,8 @@ def recent(b: DataFrame, as_of: date | str, days: int) -> DataFrame:
     """Charges that begin and end inside the last ``days`` days."""
     start = days_before(as_of, days)
     tests = (F.col("charge_period_start") >= at_midnight(start)) & (F.col("charge_period_end") <= at_midnight(as_of))
-    if "charge_month" in b.columns:
-        tests = tests & (F.col("charge_month") >= start.year * 100 + start.month)
+    for test in month_range(b, start, as_of):
+        tests = tests & test
     return b.filter(tests)
 
 
@@ -106,6 +106,8 @@ def top_services(b: DataFrame, start, end, provider=None, n: int = 10) -> DataFr
 def overview_by_service(b: DataFrame, start=None, end=None, provider=None) -> DataFrame:
     """Per provider, account and service, with a grand total row (``is_total`` = 1)."""
     rows = filter_billing(b, providers=provider)
+    for test in month_range(b, start, end, 1):
+        rows = rows.filter(test)
     if start is not None:
         rows = rows.filter(F.col("billing_period_start") >= at_midnight(start))
     if end is not None:
@@ -285,9 +287,7 @@ def spike_annotations(b: DataFrame, start, end, ratio: float = 1.3, min_list: fl
 def daily_cost_points(b: DataFrame, day, providers=None, limit: int = 1000) -> DataFrame:
     """Cost per provider, service, region and account on one billing day."""
     return (
-        filter_billing(b, providers=providers)
-        .filter((F.col("billing_period_start") >= at_midnight(day))
-                & (F.col("billing_period_start") < at_midnight(as_date(day) + timedelta(days=1))))
+        filter_billing(b, day, day, providers, at="billing_period_start")
         .groupBy("provider_name", "service_name", "region_id", "billing_account_id")
         .agg(sum_dollars("effective_cost").alias("total_cost"))
         .filter(F.col("total_cost") > 0)
@@ -322,9 +322,16 @@ def savings_by_agent(insights: DataFrame) -> DataFrame:
     )
 
 
-def dashboard_widgets(b: DataFrame, top: int = 10) -> DataFrame:
-    """The dashboard's widgets in one long table: (widget, series, day, value)."""
-    rolling = rolling_month(b)
+def dashboard_widgets(b: DataFrame, top: int = 10, start=None, end=None) -> DataFrame:
+    """The dashboard's widgets in one long table: (widget, series, day, value).
+
+    With a range, only its months are read, and those that the first days' rolling sums look back to.
+    """
+    first = None if start is None else as_date(start) - timedelta(days=29)
+    rolling = rolling_month(filter_billing(b, first, end))
+    if start is not None:
+        rolling = rolling.filter(F.col("day") >= F.lit(as_date(start)))
+    b = filter_billing(b, start, end)
     monthly = rolling.select(F.lit("monthly_cost").alias("widget"), F.col("provider_name").alias("series"),
                              "day", F.col("rolling_30d").alias("value"))
     lines = rolling.select(F.lit("provider_line").alias("widget"), F.col("provider_name").alias("series"),

@@ -274,7 +274,35 @@ def dedup_latest(df: DataFrame, key: list[str] | None = None, newest: str = "cs_
 def retain(df: DataFrame, as_of: date | str, months: int = 18, at: str = "charge_period_start") -> DataFrame:
     """Rows younger than the retention time (18 months raw, 36 narrow, 12 anomalies)."""
     cutoff = F.add_months(F.lit(as_date(as_of)), -months).cast("timestamp")
-    return df.filter(F.col(at) >= cutoff)
+    kept = F.col(at) >= cutoff
+    if at == "charge_period_start":
+        for test in month_range(df, _months_before(as_of, months), None):
+            kept = kept & test
+    return df.filter(kept)
+
+
+def _months_before(day: date | str, months: int) -> date:
+    """The first day of the month that lies so many months before."""
+    d = as_date(day)
+    n = d.year * 12 + d.month - 1 - months
+    return date(n // 12, n % 12 + 1, 1)
+
+
+def month_range(b: DataFrame, start: date | str | None, end: date | str | None, slack: int = 0) -> list[Column]:
+    """Tests on the month a stored table is partitioned by, so that other months are not read; none if it has no month.
+
+    With a billing period's dates a ``slack`` of one month is needed: a charge may lie outside of its invoice's month.
+    """
+    if "charge_month" not in b.columns:
+        return []
+    tests = []
+    if start is not None:
+        d = _months_before(start, slack)
+        tests.append(F.col("charge_month") >= d.year * 100 + d.month)
+    if end is not None:
+        d = _months_before(end, -slack)
+        tests.append(F.col("charge_month") <= d.year * 100 + d.month)
+    return tests
 
 
 def filter_billing(
@@ -303,13 +331,7 @@ def filter_billing(
         tests.append(F.col(at) >= F.lit(as_date(start)).cast("timestamp"))
     if end is not None:
         tests.append(F.col(at) < F.lit(as_date(end) + timedelta(days=1)).cast("timestamp"))
-    if at == "charge_period_start" and "charge_month" in b.columns:
-        if start is not None:
-            d = as_date(start)
-            tests.append(F.col("charge_month") >= d.year * 100 + d.month)
-        if end is not None:
-            d = as_date(end)
-            tests.append(F.col("charge_month") <= d.year * 100 + d.month)
+    tests += month_range(b, start, end, 0 if at == "charge_period_start" else 1)
     if providers:
         tests.append(F.col("provider_name").isin([p.lower() for p in listed(providers)]))
     if accounts:

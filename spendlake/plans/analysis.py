@@ -26,7 +26,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def find_insights(b: DataFrame, as_of, days: int = 30, limit: int | None = 500,
+def find_insights(b: DataFrame, as_of, days: int = 30, limit: int | None = None,
                   thresholds: dict[str, float] | None = None) -> DataFrame:
     """All resource-level insights. The detectors share one pruned copy of the window they look at."""
     window = detectors.recent_periods(b, as_of, days).select(*DETECTOR_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
@@ -46,7 +46,7 @@ class Analysis:
     report: DataFrame
 
 
-def analyse(b: DataFrame, as_of, days: int = 30, limit: int | None = 500,
+def analyse(b: DataFrame, as_of, days: int = 30, limit: int | None = None,
             thresholds: dict[str, float] | None = None, extra: list[DataFrame] | None = None) -> Analysis:
     """The whole run over a staged billing table; ``extra`` adds insights of other detectors."""
     found = find_insights(b, as_of, days, limit, thresholds)

@@ -243,9 +243,8 @@ SELECT CAST(charge_period_start AS DATE) AS charge_date, provider_name, billing_
 FROM billing WHERE {_DECODABLE} GROUP BY ALL""")
 def _(t: Tables):
     path = run_dir(t.spark, "daily-cost")
-    updates = jobs.daily_cost_updates(stream_rows(t, jobs.DAILY_COLUMNS), NEVER_LATE)
-    _drain(jobs.write_updates(updates, path, f"{path}-checkpoint", once=True))
-    return jobs.read_latest(t.spark, path, jobs.DAILY_KEYS).withColumns(
+    _drain(jobs.write_parts(stream_rows(t, jobs.DAILY_COLUMNS), jobs.daily_cost_part, path, f"{path}-checkpoint", once=True))
+    return jobs.read_totals(t.spark, path, jobs.DAILY_KEYS).withColumns(
         {c: dollars(c) for c in ("total_effective", "total_list", "total_billed")})
 
 
@@ -254,9 +253,8 @@ SELECT CAST(charge_period_start AS DATE) AS charge_date, provider_name, tag_team
   {S('effective_cost')} AS total_effective FROM billing WHERE {_DECODABLE} GROUP BY ALL""")
 def _(t: Tables):
     path = run_dir(t.spark, "team-cost")
-    updates = jobs.team_cost_updates(stream_rows(t, jobs.TEAM_COLUMNS), NEVER_LATE)
-    _drain(jobs.write_updates(updates, path, f"{path}-checkpoint", once=True))
-    return jobs.read_latest(t.spark, path, jobs.TEAM_KEYS).withColumn("total_effective", dollars("total_effective"))
+    _drain(jobs.write_parts(stream_rows(t, jobs.TEAM_COLUMNS), jobs.team_cost_part, path, f"{path}-checkpoint", once=True))
+    return jobs.read_totals(t.spark, path, jobs.TEAM_KEYS).withColumn("total_effective", dollars("total_effective"))
 
 
 @query("x5_anomaly_stream", f"""
@@ -274,7 +272,7 @@ def _(t: Tables):
     base_path = f"{path}/baseline"
     jobs.baseline(series.fit(service_series(t))).write.parquet(base_path)
     base = t.spark.read.parquet(base_path)
-    _drain(jobs.anomaly_stream(stream_rows(t, ["charge_period_start", "service_name", "effective_cost"]), base, path, f"{path}/checkpoint", lateness=NEVER_LATE, once=True))
+    _drain(jobs.anomaly_stream(stream_rows(t, ["charge_period_start", "service_name", "effective_cost"]), base, path, f"{path}/checkpoint", once=True))
     newest = jobs.read_latest(t.spark, f"{path}/points", ["key", "ds"])
     return jobs.score(newest, base).select(
         "key", "ds", *[F.round(c, 2).alias(c) for c in ("actual_cost", "expected_cost", "deviation_percent")])
@@ -305,11 +303,38 @@ SELECT CAST(year(charge_period_start) * 100 + month(charge_period_start) AS INTE
 def _(t: Tables):
     path = run_dir(t.spark, "ingest")
     _drain(jobs.ingest_stream(messages.read_message_files(t.spark, message_folder(t), 4), path, f"{path}/checkpoint", once=True))
-    jobs.merge_landed(t.spark, jobs.read_landed(t.spark, path), f"{path}/table")
+    landed = jobs.read_landed(t.spark, path)
+    # Two deliveries that share their months and repeat a third of the charges.
+    jobs.merge_landed(t.spark, landed.filter(F.col("usage_quantity") % 3 < 2), f"{path}/table")
+    jobs.merge_landed(t.spark, landed.filter(F.col("usage_quantity") % 3 > 0), f"{path}/table")
     return billing_table.read_billing(t.spark, f"{path}/table").groupBy("charge_month").agg(
         F.count(F.lit(1)).alias("rows"), sum_dollars("effective_cost").alias("cost"))
 
 
+@query("e2_ingest_pipeline", f"""
+SELECT 'daily_cost' AS rollup, CAST(date_trunc('month', charge_period_start) AS DATE) AS month, {S('effective_cost')} AS cost
+FROM billing WHERE {_DECODABLE} GROUP BY ALL
+UNION ALL SELECT 'team_cost', CAST(date_trunc('month', charge_period_start) AS DATE), {S('effective_cost')}
+FROM billing WHERE {_DECODABLE} GROUP BY ALL
+UNION ALL SELECT 'mart_daily_service', CAST(date_trunc('month', charge_period_start) AS DATE), {S('effective_cost')}
+FROM b WHERE {_DECODABLE} GROUP BY ALL""")
+def _(t: Tables):
+    """Two deliveries from messages to the rollups; the second one is older, and repeats a third of the charges."""
+    source, root = run_dir(t.spark, "deliveries"), run_dir(t.spark, "e2")
+    later = F.col("charge_period_start") >= F.lit("1998-06-15").cast("timestamp")
+    good = t.billing.filter(F.expr(_DECODABLE))
+    third = F.col("usage_quantity") % 3 == 0
+    for n, rows in enumerate((good.filter(later | third), good.filter(~later | third))):
+        messages.to_messages(rows).select("value").write.text(f"{source}/delivery={n}")
+        jobs.ingest_pipeline(messages.read_message_files(t.spark, f"{source}/*", 100000), root)
+    out = None
+    for name, cost in (("daily_cost", "total_effective"), ("team_cost", "total_effective"), ("mart_daily_service", "total_effective_cost")):
+        part = t.spark.read.parquet(f"{root}/rollups/{name}").groupBy(F.trunc("charge_date", "month").alias("month")).agg(
+            sum_dollars(cost).alias("cost")).select(F.lit(name).alias("rollup"), "month", "cost")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ── Plug-ins ──────────────────────────────────────────────────────────────
 
 class LineItemConnector(plugins.Connector):

@@ -272,10 +272,9 @@ SELECT billing_account_id AS BillingAccountId, strftime(billing_period_start, '%
   CAST(list_cost AS DOUBLE) AS ListCost, CAST(effective_cost AS DOUBLE) AS EffectiveCost,
   CAST(billed_cost AS DOUBLE) AS BilledCost, usage_quantity AS UsageQuantity, commitment_discount_id AS CommitmentDiscountId
 FROM b WHERE billing_period_start >= TIMESTAMP '1995-01-01' AND billing_period_start < TIMESTAMP '2002-01-01'
-  AND provider_name IN ('aws', 'azure')
-ORDER BY b.billing_period_start DESC, b.effective_cost DESC, charge_description, charge_period_start LIMIT 10000""")
+""")
 def _(t: Tables):
-    rows = exports.typed_cells(exports.export_rows(t.staged, START, END, providers=["aws", "azure"], limit=10000))
+    rows = exports.typed_cells(exports.export_rows(t.staged, START, END))
     return rows.select("BillingAccountId", "BillingPeriodStart", "ChargePeriodEnd", "ChargeDescription", "ServiceName",
                        "RegionId", "Provider", "ListCost", "EffectiveCost", "BilledCost", "UsageQuantity",
                        "CommitmentDiscountId")
@@ -344,7 +343,7 @@ def _(t: Tables):
 @query("q15_k8s_workloads", f"""
 SELECT k8s_workload AS workload, k8s_namespace AS namespace, k8s_cluster AS cluster, '' AS workload_type,
   {S('effective_cost')} AS total_cost, sum(usage_quantity) AS cpu_hours, count(DISTINCT resource_id) AS pod_count
-FROM b WHERE k8s_workload IS NOT NULL GROUP BY ALL ORDER BY total_cost DESC, workload, namespace, cluster LIMIT 500""")
+FROM b WHERE k8s_workload IS NOT NULL GROUP BY ALL""")
 def _(t: Tables):
     return kubernetes.workloads(t.staged, END, days=DAYS)
 
@@ -352,7 +351,7 @@ def _(t: Tables):
 @query("q16_k8s_nodes", f"""
 SELECT k8s_node AS node, k8s_cluster AS cluster, resource_type AS instance_type, {S('effective_cost')} AS node_cost,
   {S('list_cost')} AS on_demand_cost, count(DISTINCT resource_id) AS pod_count
-FROM b WHERE k8s_node IS NOT NULL GROUP BY ALL ORDER BY node_cost DESC, node, cluster, instance_type LIMIT 200""")
+FROM b WHERE k8s_node IS NOT NULL GROUP BY ALL""")
 def _(t: Tables):
     return kubernetes.nodes(t.staged, END, days=DAYS)
 
@@ -360,7 +359,7 @@ def _(t: Tables):
 @query("q17_allocation", f"""
 WITH w AS (SELECT k8s_workload AS name, k8s_cluster AS cluster, k8s_namespace AS namespace,
   sum(usage_quantity) AS "cpuCoreHours", {S('effective_cost')} AS "totalCost"
-  FROM b WHERE k8s_workload IS NOT NULL GROUP BY ALL ORDER BY "totalCost" DESC, name, namespace, cluster LIMIT 500)
+  FROM b WHERE k8s_workload IS NOT NULL GROUP BY ALL)
 SELECT *, round("totalCost" * 0.6, 4) AS "cpuCost", round("totalCost" * 0.3, 4) AS "ramCost",
   round("totalCost" * 0.1, 4) AS "pvCost" FROM w""")
 def _(t: Tables):

@@ -49,7 +49,7 @@ FORMATS = {"csv", "parquet", "jsonl"}
 
 
 def export_rows(b: DataFrame, start, end, accounts=None, providers=None, services=None, regions=None,
-                limit: int | None = 1_000_000) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """The export's rows, latest billing period and highest cost first.
 
     ``limit`` is the export's own row limit; ``None`` exports everything,
@@ -79,7 +79,7 @@ def typed_cells(rows: DataFrame) -> DataFrame:
 
 
 def export_focus(b: DataFrame, fmt: str, path: str, start, end, accounts=None, providers=None,
-                 services=None, regions=None, limit: int | None = 1_000_000) -> None:
+                 services=None, regions=None, limit: int | None = None) -> None:
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}")
     rows = export_rows(b, start, end, accounts, providers, services, regions, limit)
