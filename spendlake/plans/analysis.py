@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.operators import detectors, recommend
+from spendlake.operators import detectors, recommend, series
 from spendlake.session import run_dir
 
 # What the resource-level detectors read.
@@ -36,6 +36,33 @@ def find_insights(b: DataFrame, as_of, days: int = 30, limit: int | None = None,
         window.unpersist()
 
 
+def every_insight(b: DataFrame, as_of, days: int = 30, thresholds: dict[str, float] | None = None,
+                  inventory: DataFrame | None = None, advice: DataFrame | None = None, plans: DataFrame | None = None,
+                  idle_cost: float = 10.0, level: float = 0.95, horizon: int = 90, series_days: int = 180) -> DataFrame:
+    """The findings of every detector as one table, none cut.
+
+    Resource findings, idle resources, commitment and tag coverage, general spend, anomalies of the services' daily cost,
+    and, where their inputs are given, the inventory, the providers' own advice, and forecasts above ``plans`` (key, budget).
+    """
+    daily = series.cost_series(b, "service", as_of, max(days, series_days))
+    parts = [
+        find_insights(b, as_of, days, None, thresholds),
+        detectors.idle_insights(detectors.idle_resources(b, as_of, idle_cost, days=days)),
+        detectors.coverage_insights(detectors.commitment_coverage(b, as_of, days)),
+        detectors.tag_coverage_insights(detectors.tag_coverage(b, as_of, days)),
+        detectors.spend_insights(b, as_of, days),
+        series.anomaly_insights(series.interval_anomalies(daily, level)),
+    ]
+    if inventory is not None:
+        parts.append(detectors.inventory_insights(inventory))
+    if advice is not None:
+        parts.append(detectors.native_recommendations(advice))
+    if plans is not None:
+        totals = series.forecast_totals(series.forecast(daily, horizon, level))
+        parts.append(series.breach_insights(series.forecast_breaches(totals, plans), horizon))
+    return detectors.union_insights(*parts)
+
+
 @dataclass
 class Analysis:
     insights: DataFrame

@@ -85,14 +85,13 @@ INSIGHTS_CTE = (f"ins AS ({IDLE_SQL} UNION ALL {GAP_SQL} UNION ALL {HYBRID_SQL}
 @lru_cache(maxsize=8)
 def all_insights(t: Tables):
     """Stored once per set of tables, as an analysis run does before it ranks them."""
-    return find_insights(t.staged, END, DAYS, limit=None, thresholds=LIMITS)
+    return find_insights(t.staged, END, DAYS, thresholds=LIMITS)
 
 
 @query("d1_idle_resources", f"""
 SELECT * FROM (SELECT provider_name AS provider, resource_id, service_name, region_id AS region,
   {S('effective_cost')} AS total_cost, round(sum(usage_quantity), 4) AS total_usage, count(*) AS billing_days
-  FROM b WHERE {RECENT} GROUP BY ALL HAVING total_cost >= 200000 AND total_usage < 1)
-QUALIFY row_number() OVER (PARTITION BY provider ORDER BY total_cost DESC, resource_id NULLS LAST, service_name, region) <= 50""")
+  FROM b WHERE {RECENT} GROUP BY ALL HAVING total_cost >= 200000 AND total_usage < 1)""")
 def _(t: Tables):
     return detectors.idle_resources(t.staged, END, 200000, days=DAYS)
 
@@ -106,7 +105,7 @@ SELECT {SHOW("concat(provider, '_cost_agent')", "provider", "'idle_resource'", "
   "ELSE concat(n, ' potentially idle ', CASE provider WHEN 'azure' THEN 'Azure' ELSE 'GCP' END, ' resources') END",
   "''", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "cost", "cost * 0.8", 0.75, "'stop'", "'medium'")} FROM n""")
 def _(t: Tables):
-    return flat(detectors.idle_insights(detectors.idle_resources(t.staged, END, 100, days=DAYS, limit=None)))
+    return flat(detectors.idle_insights(detectors.idle_resources(t.staged, END, 100, days=DAYS)))
 
 
 @query("d2_idle_vms", IDLE_SQL + " ORDER BY current_monthly_cost DESC, resource_id, region LIMIT 20")
@@ -181,7 +180,7 @@ def _(t: Tables):
 
 
 def violations(t: Tables):
-    return detectors.tag_violations(t.staged, END, DAYS, LIMITS["tag"], limit=None)
+    return detectors.tag_violations(t.staged, END, DAYS, LIMITS["tag"])
 
 
 @query("d8_tag_violations", f"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spendlake.operators import recommend
-from spendlake.plans.analysis import analyse
-from spendlake.plans.catalog_detectors import INSIGHTS_CTE, LIMITS, all_insights, flat
+from spendlake.plans.analysis import analyse, every_insight
+from spendlake.plans.catalog_detectors import CUD_SQL, HYBRID_SQL, IDLE_SQL, INSIGHTS_CTE, LIMITS, TAG_INSIGHT_SQL, all_insights, flat
+from spendlake.plans.catalog_series import FIT_CTE, series_cte
 from spendlake.plans.catalog_spend import DAYS, END
 from spendlake.plans.catalog_staging import ACTIONS_CTE, actions
-from spendlake.plans.registry import query
+from spendlake.plans.registry import ORACLES, query
 from spendlake.sources.driver_tables import Tables
 
 # The insight id, as SQL, and the table every check starts from.
@@ -211,5 +212,26 @@ WITH {IN}, du AS ({DEDUP}), {recs_cte('category', 'du')}
 SELECT category, title, total_projected_monthly_savings, risk_level, round(least(total_projected_monthly_savings, 100000)
   * CASE risk_level WHEN 'low' THEN 1.0 WHEN 'medium' THEN 0.7 WHEN 'high' THEN 0.4 ELSE 0.1 END, 2) AS priority_score FROM rc""")
 def _(t: Tables):
-    run = analyse(t.staged, END, DAYS, limit=None, thresholds=LIMITS)
+    run = analyse(t.staged, END, DAYS, thresholds=LIMITS)
     return run.recommendations.select("category", "title", "total_projected_monthly_savings", "risk_level", "priority_score")
+
+
+# Each detector's own check, united: what a run over all of them has to find.
+_EVERY = ["d1_idle_insights", "d3_aws_commitment_gap", "d6_coverage_insights", "d7_tag_coverage_insights", "d11_spend_insights"]
+_EVERY_SQL = "\nUNION ALL ".join(
+    [f"SELECT agent, provider, category, severity, title, projected_monthly_savings AS savings FROM ({ORACLES[n]})" for n in _EVERY]
+    + [f"SELECT agent, provider, category, severity, title, projected_monthly_savings FROM ({sql})" for sql in (IDLE_SQL, HYBRID_SQL, CUD_SQL, TAG_INSIGHT_SQL)])
+
+
+@query("r1_every_insight", f"""
+WITH {series_cte('service_name')}, {FIT_CTE}, every_one AS ({_EVERY_SQL}
+UNION ALL SELECT 'anomaly_agent', key, 'general',
+  CASE WHEN CASE WHEN yhat > 0 THEN abs(y - yhat) / yhat * 100 ELSE 0 END > 50 THEN 'critical' ELSE 'high' END,
+  concat('Cost anomaly detected: ', upper(key)), 0.0 FROM fit WHERE y > yhat + 1.96 * sigma OR y < yhat - 1.96 * sigma)
+SELECT agent, provider, category, severity, count(*) AS insights, count(DISTINCT title) AS titles, round(sum(savings), 2) AS savings
+FROM every_one GROUP BY ALL""")
+def _(t: Tables):
+    rows = every_insight(t.staged, END, DAYS, LIMITS, idle_cost=100)
+    return rows.groupBy("agent", "provider", "category", "severity").agg(
+        F.count(F.lit(1)).alias("insights"), F.count_distinct("title").alias("titles"),
+        F.round(F.sum(F.round("projected_monthly_savings", 4)), 2).alias("savings"))

@@ -52,10 +52,11 @@ for _name, _cte, _src, _billing in (("service", series_cte("service_name"), serv
                                     ("events", EVENTS_CTE, event_series, False)):
     query(f"m2_forecast_{_name}", f"""
 WITH {_cte}, {FIT_CTE}, {AHEAD_CTE.format(h=90)}
-SELECT key, ds, round(predicted, 2) AS predicted, round(predicted - 1.96 * sigma, 2) AS lower,
-  round(predicted + 1.96 * sigma, 2) AS upper FROM fc""", billing=_billing)(
+SELECT key, ds, round(round(predicted, 6), 2) AS predicted, round(round(predicted - 1.96 * sigma, 6), 2) AS lower,
+  round(round(predicted + 1.96 * sigma, 6), 2) AS upper FROM fc""", billing=_billing)(
         lambda t, s=_src: series.forecast(s(t), 90).select(
-            "key", "ds", *[F.round(c, 2).alias(c) for c in ("predicted", "lower", "upper")]))
+            # Rounded twice, so that the order of a sum does not decide a half.
+            "key", "ds", *[F.round(F.round(c, 6), 2).alias(c) for c in ("predicted", "lower", "upper")]))
 
     query(f"m3_interval_anomalies_{_name}", f"""
 WITH {_cte}, {FIT_CTE}, a AS (SELECT *, 1.6449 * sigma AS half,

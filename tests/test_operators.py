@@ -429,3 +429,32 @@ def test_plugin_contract(spark):
         plugins.check_insights(spark.createDataFrame([("aws",)], "provider string"), "x")
     fixed = plugins.check_insights(spark.createDataFrame([("aws", "t")], "provider string, title string"), "x")
     assert fixed.schema == schema.INSIGHT_SCHEMA
+
+
+def test_coverage_of_findings_without_a_figure_counts_as_none(spark):
+    rows = insight(spark, dict(category="tag_compliance", coverage_pct=60.0), dict(category="tag_compliance", coverage_pct=None, insight_id="other"))
+    assert "30% coverage" in recommend.synthesise(rows).first()["title"]
+
+
+def test_date_ranges_prune_months(spark, billing, tmp_path):
+    """Every question with a range reads its months only."""
+    path = str(tmp_path / "table")
+    billing_table.write_billing(billing({}), path)
+    b = staging.stage_billing(billing_table.read_billing(spark, path))
+    daily = [
+        staging.retain(b, "2024-01-31", 1), exports.export_rows(b, "2024-01-01", "2024-01-31"),
+        spend.overview_by_service(b, "2024-01-01", "2024-01-31"), spend.spike_annotations(b, "2024-01-01", "2024-01-31"),
+        spend.daily_cost_points(b, "2024-01-01"), spend.dashboard_widgets(b, start="2024-01-01", end="2024-01-31"),
+        budgets.monitor_thresholds(b, spark.createDataFrame([("x", "aws", None, 1.0)], "name string, provider string, service string, monthly_threshold double"), "2024-01-01", "2024-01-31"),
+        spend.recent(b, "2024-01-31", 30),
+    ]
+    for df in daily:
+        plan = df._jdf.queryExecution().toString()
+        filters = [x.split("PartitionFilters: [")[1].split("]")[0] for x in plan.splitlines() if "PartitionFilters: [" in x]
+        assert filters and all("charge_month" in f for f in filters), filters
+
+
+def test_levels_of_any_width():
+    assert series.z_value(0.95) == 1.96 and abs(series.z_value(0.5) - 0.6745) < 1e-4
+    with pytest.raises(ValueError):
+        series.z_value(1.0)
