@@ -399,15 +399,13 @@ def _(t: Tables):
 
 
 @query("p3_exporter", f"""
-SELECT provider_name, count(*) AS rows, {S('effective_cost')} AS cost FROM b GROUP BY ALL""")
+SELECT provider_name, count(*) AS rows, {S('effective_cost')} AS cost, (SELECT count(*) FROM b) AS records_exported FROM b GROUP BY ALL""")
 def _(t: Tables):
-    import json
-
     path = run_dir(t.spark, "exporter")
-    plugins.register_sources(t.spark, plugins.JsonLinesExporter)
-    t.staged.select("provider_name", "charge_description", F.col("effective_cost").cast("string").alias("effective_cost")).write.format(
-        "focus_jsonl").mode("append").option("path", path).save()
-    with open(f"{path}/_manifest.json", encoding="utf-8") as f:
-        files = [f"{path}/{name}" for name in json.load(f)["files"]]
-    back = t.spark.read.schema("provider_name string, effective_cost decimal(18,6)").json(files)
-    return back.groupBy("provider_name").agg(F.count(F.lit(1)).alias("rows"), sum_dollars("effective_cost").alias("cost"))
+    rows = t.staged.select("provider_name", "charge_description", F.col("effective_cost").cast("string").alias("effective_cost"))
+    plugins.run_exporter(rows, "focus_jsonl", path)
+    manifest = t.spark.read.schema("records_exported long, destination string").json(f"{path}/manifest").first()
+    back = t.spark.read.schema("provider_name string, effective_cost decimal(18,6)").json(manifest["destination"])
+    return back.groupBy("provider_name").agg(
+        F.count(F.lit(1)).alias("rows"), sum_dollars("effective_cost").alias("cost"),
+        F.lit(manifest["records_exported"]).alias("records_exported"))

@@ -1,14 +1,14 @@
-"""Extension points: connectors and exporters as data sources, detectors as functions."""
+"""Extension points: connectors as data sources, exporters and detectors as functions."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spendlake import schema
 
@@ -77,58 +77,39 @@ def connector_source(name: str, make: Callable[[dict], Connector], layout: str)
 
 # ── Exporters ─────────────────────────────────────────────────────────────
 
-@dataclass
-class Written(WriterCommitMessage):
-    rows: int
-    file: str
-
-
-class JsonLinesExporter(DataSource):
-    """An exporter: one JSON-lines file per task, and a manifest once all tasks are done.
-
-    File names carry the task's partition number; a retried task writes its
-    file again. Readers take the files the manifest names.
-    """
+Exporter = Callable[[DataFrame, str], None]
+_EXPORTERS: dict[str, Exporter] = {}
 
-    @classmethod
-    def name(cls) -> str:
-        return "focus_jsonl"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: F811
-        return _JsonLinesWriter(self.options["path"])
+def exporter(name: str) -> Callable[[Exporter], Exporter]:
+    """Register an exporter ``(rows, path)`` under a name. It writes with Spark, so every task writes its own share."""
 
+    def add(fn: Exporter) -> Exporter:
+        if name in _EXPORTERS:
+            raise ValueError(f"exporter {name!r} exists")
+        _EXPORTERS[name] = fn
+        return fn
 
-class _JsonLinesWriter(DataSourceWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def write(self, iterator) -> Written:
-        import os
-        import uuid
+    return add
 
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        os.makedirs(self.path, exist_ok=True)
-        file = f"part-{part:05d}-{uuid.uuid4().hex[:8]}.jsonl"
-        rows = 0
-        with open(os.path.join(self.path, file), "w", encoding="utf-8") as out:
-            for row in iterator:
-                out.write(json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False) + "\n")
-                rows += 1
-        return Written(rows, file)
+@exporter("focus_jsonl")
+def _json_lines(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
-    def commit(self, messages) -> None:
-        import os
 
-        done = [m for m in messages if m is not None]
-        manifest = {"status": "success", "records_exported": sum(m.rows for m in done),
-                    "destination": self.path, "files": [m.file for m in done]}
-        with open(os.path.join(self.path, "_manifest.json"), "w", encoding="utf-8") as out:
-            json.dump(manifest, out)
+def run_exporter(rows: DataFrame, name: str, path: str) -> dict:
+    """Export below ``path``: ``data``, and ``manifest`` once all of it is written.
 
-    def abort(self, messages) -> None:
-        """Without a manifest the files of a failed export are not read."""
+    The records are counted while they are written. Without a manifest the data of a failed export is not to be read.
+    """
+    seen = Observation()
+    _EXPORTERS[name](rows.observe(seen, F.count(F.lit(1)).alias("n")), f"{path}/data")
+    manifest = {"status": "success", "exporter": name, "records_exported": seen.get["n"], "destination": f"{path}/data"}
+    spark = rows.sparkSession
+    row = spark.createDataFrame([tuple(manifest.values())], "status string, exporter string, records_exported long, destination string")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return manifest
 
 
 # ── Detectors ─────────────────────────────────────────────────────────────
