@@ -336,16 +336,13 @@ def backtest(series: DataFrame, ratio: float = 0.8, min_points: int = MIN_BACKTE
         })
         .withColumn("train", F.col("_i") <= F.floor(F.col("_n") * ratio))
     )
-    fitted = fit(split, F.col("train"))
-    metrics = _errors()
-    tested = {name: F.round(m, 2) for name, m in metrics.items()}
-    return fitted.groupBy("key").agg(
-        F.count_if("train").alias("train_points"),
-        F.count_if(~F.col("train")).alias("test_points"),
-        F.max(F.lit(ratio)).alias("train_ratio"),
-    ).join(
-        fitted.filter(~F.col("train")).groupBy("key").agg(
-            tested["mape"].alias("mape_percent"), tested["rmse"].alias("rmse")), "key")
+    # Errors look at the tested points alone: the others have no value there.
+    tested = {c: F.when(~F.col("train"), F.col(c)) for c in ("y", "yhat")}
+    metrics = {name: F.round(m, 2) for name, m in _errors().items()}
+    return fit(split, F.col("train")).withColumns(tested).groupBy("key").agg(
+        F.count_if("train").alias("train_points"), F.count_if(~F.col("train")).alias("test_points"),
+        F.max(F.lit(ratio)).alias("train_ratio"), metrics["mape"].alias("mape_percent"), metrics["rmse"].alias("rmse"),
+    ).filter("test_points > 0")
 
 
 def rolling_origin_eval(series: DataFrame, initial: int = 90, period: int = 30,
