@@ -5,7 +5,7 @@
    of the pre-token, all lists with one destination in one row.
 2. A pre-token has one destination, where its pieces are counted, once, with the tokenizer's library, and joined to all its
    postings; a row of postings becomes one sum for each text it speaks of.
-3. The sums of a text are added up.
+3. The sums of a block, packed like the postings, meet again and are added up for each text.
 
 Defined results:
 * null or empty text, or one whose characters the tokenizer drops: 0 tokens (and 0 bytes for the first two);
@@ -104,24 +104,49 @@ def postings(docs: DataFrame, tokenizer_path: str, destinations: int) -> DataFra
 
 
 def sums_of_postings(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(_at, n): the tokens that each row of postings adds to each text."""
+    """(base, rows, sums), packed: for each row of postings, the tokens that it adds to the texts it speaks of."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _Counts(tokenizer_path)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("base", "tokens", "sizes", "rows", "counts")]
-            for base, tokens, sizes, rows, counts in zip(*columns, strict=True):
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("tokens", "sizes", "rows", "counts")]
+            for tokens, sizes, rows, counts in zip(*columns, strict=True):
                 if len(pieces) > REMEMBERED:
                     pieces.clear()
                 own = tokens.split("\n")
                 each = np.fromiter(map(pieces.__getitem__, own), np.int64, len(own))
-                rows = np.frombuffer(rows, "<u2")
                 n = np.repeat(each, np.frombuffer(sizes, "<u4")) * np.frombuffer(counts, "<u4")
-                sums = np.bincount(rows, n)
+                sums = np.bincount(np.frombuffer(rows, "<u2"), n)
                 at = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(sums[at].astype(np.int64))], names=["_at", "n"])
+                out.append((at.astype("<u2").tobytes(), sums[at].astype("<u4").tobytes()))
+            packed = [pa.array(list(c), pa.binary()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("base"), *packed], names=["base", "rows", "sums"])
 
-    return dealt.mapInArrow(join, "_at long, n long")
+    return dealt.mapInArrow(join, "base long, rows binary, sums binary")
+
+
+def added_up(sums: DataFrame) -> DataFrame:
+    """(_at, n): the tokens of each text. The sums of a block meet in one task, which holds one number for each text."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, total = None, np.zeros(BLOCK_ROWS, np.int64)
+
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(total[at])], names=["_at", "n"])
+
+        for batch in batches:
+            for own, rows, n in zip(*(batch.column(c).to_pylist() for c in ("base", "rows", "sums")), strict=True):
+                if own != base:
+                    if base is not None:
+                        yield done()
+                    base, total = own, np.zeros(BLOCK_ROWS, np.int64)
+                total[np.frombuffer(rows, "<u2")] += np.frombuffer(n, "<u4")
+        if base is not None:
+            yield done()
+
+    return sums.repartition("base").sortWithinPartitions("base").mapInArrow(add, "_at long, n long")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +156,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     )
     destinations = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings(rows, tokenizer_path, destinations).repartitionById(destinations, F.col("to"))
-    sums = sums_of_postings(dealt, tokenizer_path).groupBy("_at").agg(F.sum("n").alias("_n"))
+    sums = added_up(sums_of_postings(dealt, tokenizer_path)).withColumnRenamed("n", "_n")
     own = rows.select("_at", "_id", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"))
     return own.join(sums, "_at", "left").select(
         F.col("_id").alias(id_col), "n_bytes", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_tokens")
