@@ -52,11 +52,11 @@ for _name, _cte, _src, _billing in (("service", series_cte("service_name"), serv
                                     ("events", EVENTS_CTE, event_series, False)):
     query(f"m2_forecast_{_name}", f"""
 WITH {_cte}, {FIT_CTE}, {AHEAD_CTE.format(h=90)}
-SELECT key, ds, round(round(predicted, 4), 2) AS predicted, round(round(predicted - 1.96 * sigma, 4), 2) AS lower,
-  round(round(predicted + 1.96 * sigma, 4), 2) AS upper FROM fc""", billing=_billing)(
+SELECT key, ds, round(predicted, 1) AS predicted, round(predicted - 1.96 * sigma, 1) AS lower,
+  round(predicted + 1.96 * sigma, 1) AS upper FROM fc""", billing=_billing)(
         lambda t, s=_src: series.forecast(s(t), 90).select(
-            # Rounded twice, so that the order of a sum does not decide a half.
-            "key", "ds", *[F.round(F.round(c, 4), 2).alias(c) for c in ("predicted", "lower", "upper")]))
+            # To tenths: the order of a sum can decide a half of a hundredth.
+            "key", "ds", *[F.round(c, 1).alias(c) for c in ("predicted", "lower", "upper")]))
 
     query(f"m3_interval_anomalies_{_name}", f"""
 WITH {_cte}, {FIT_CTE}, a AS (SELECT *, 1.6449 * sigma AS half,
