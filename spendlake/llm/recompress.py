@@ -25,7 +25,7 @@ The input must give its rows in the same order when it is read again, as a store
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ WINDOW = 13
 PAIR_ROUNDS = 3
 #: Words that an anchor has at least; a shorter symbol is in too many texts to reveal anything.
 LEAST_SPAN = 3
+#: An anchor is looked up by two of its bit fields, so that few anchors are found that are not shared.
+PROBES = (0, 28)
 #: Words that are rewritten in one array.
 TOGETHER = 400_000
 
@@ -61,18 +63,18 @@ def window_names(words: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return acc
 
 
-def _runs(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of one word, named by word and length. A run is known only with the different words on both its sides."""
+def _runs(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of one word. A run is known only with the different words on both its sides, which are part of its name."""
     a = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])])
     run = np.diff(np.r_[a, len(words)])
     same = doc[a][1:] == doc[a][:-1]
     inner = np.r_[False, same] & np.r_[same, False] & (run > 1)
     a, run = a[inner], run[inner]
-    return mixed(words[a] * _ODD + run.astype(np.uint64)), run, a - 1, run + 2
+    return run, a - 1, run + 2
 
 
-def _symbols(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The symbols of the round of runs and of each round of pairs: names, spans, and the first word and the number of words that the symbol depends on (0: on the
+def _symbols(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The symbols of the round of runs and of each round of pairs: spans, and the first word and the number of words that the symbol depends on (0: on the
     text's ends)."""
     n = len(words)
     sym, a, b = words, np.arange(n), np.arange(1, n + 1)
@@ -97,22 +99,38 @@ def _symbols(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, n
         end[at] = b[at + 1]
         keep = ~second
         sym, a, b, doc, known, low, high = (x[keep] for x in (name, a, end, doc, known_new, low_new, high_new))
-        yield sym, b - a, low, np.where(known, high - low, 0)
+        yield b - a, low, np.where(known, high - low, 0)
+
+
+def _passages(words: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that names the words from ``low`` on, ``many`` of them each, from sums of scaled words."""
+    at = np.arange(len(words) + 1, dtype=np.uint64)
+    scale, back = _powers(_ODD, at), _powers(np.uint64(pow(int(_ODD), -1, 1 << 64)), at)
+    sums = np.r_[np.uint64(0), np.cumsum(words * scale[:-1], dtype=np.uint64)]
+    return lambda low, many: mixed((sums[low + many] - sums[low]) * back[low] + many.astype(np.uint64))
+
+
+def _powers(base: np.uint64, at: np.ndarray) -> np.ndarray:
+    out = np.full(len(at), base)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def anchors(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The anchor of the window that begins at each word, for words of several texts behind each other.
 
-    An anchor is the window's largest own symbol: its number of words in the upper byte, its name below. Windows that leave
-    their text have anchors of no use.
+    An anchor is the window's largest own symbol: its number of words in the upper byte, and below the name of all words that
+    it depends on, which are more than its own and so in fewer texts. Windows that leave their text have anchors of no use.
     """
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
+    passage = _passages(words)
     own = np.zeros((WINDOW + 1, n), np.uint64)  # own[w, i]: the largest symbol that depends on just the w words from i on
-    for name, span, low, needs in _symbols(words, doc):
+    for span, low, needs in _symbols(words, doc):
         ok = (needs > 0) & (needs <= WINDOW) & (span >= LEAST_SPAN)
-        np.maximum.at(own, (needs[ok], low[ok]), (span[ok].astype(np.uint64) << np.uint64(56)) | (name[ok] >> np.uint64(8)))
+        span, low, needs = span[ok], low[ok], needs[ok]
+        np.maximum.at(own, (needs, low), (span.astype(np.uint64) << np.uint64(56)) | (passage(low, needs) >> np.uint64(8)))
     best = own[1]
     for w in range(2, WINDOW + 1):
         best = np.maximum(np.maximum(best, np.r_[best[1:], np.uint64(0)]), own[w])
@@ -199,8 +217,11 @@ def _window_rows(docs: DataFrame, shared: bytes) -> DataFrame:
         for batch in batches:
             at = np.asarray(batch.column("_at"))
             for rows, words, doc, begins in _blocks(batch.column("_text").to_pylist()):
-                key = anchors(words, doc).view(np.int64) % BITMAP_BITS
-                hit = np.flatnonzero(begins & ((bits[key >> 3] >> (key & 7).astype(np.uint8)) & 1).astype(bool))
+                key, hit = anchors(words, doc).view(np.int64), begins
+                for probe in PROBES:
+                    at_bit = key >> probe & BITMAP_BITS - 1
+                    hit = hit & (bits[at_bit >> 3] >> (at_bit & 7).astype(np.uint8) & 1).astype(bool)
+                hit = np.flatnonzero(hit)
                 if not len(hit):
                     continue
                 row = np.asarray(rows)[doc[hit]]
@@ -237,7 +258,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     still = flagged.where("not _maybe").drop("_maybe").unionByName(flagged.where("_maybe").drop("_maybe").join(gone, "_at", "left_anti"))
 
     met = _anchor_rows(still).groupBy("anchor").agg(F.min("_at").alias("low"), F.max("_at").alias("high")).where("low != high")
-    windows = stored(_window_rows(still, _bitmap_bytes(key_bitmap(met, F.col("anchor")))), "repeat-windows")
+    bits = met.select(F.explode(F.array(*[F.shiftright("anchor", p) for p in PROBES])).alias("bit"))
+    windows = stored(_window_rows(still, _bitmap_bytes(key_bitmap(bits, F.col("bit")))), "repeat-windows")
     first = windows.groupBy("window").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").select("window", "first")
     later = windows.join(first, "window").where(F.col("first") < order)
     return known, later.groupBy("_at").agg(F.collect_list("pos").alias("starts"))
