@@ -158,5 +158,6 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that break no rule, with the columns they came with."""
-    judged, _, b = judge(docs, rules, text_col)
-    return judged.where(F.size(F.col(b)) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # One expression: as columns, the measures would be made anew for every rule when the filter moves below them.
+    broken = let(measures(F.col(f"`{text_col}`")), lambda m: verdict(m, rules))
+    return docs.where(F.size(broken) == 0)
