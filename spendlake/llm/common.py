@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import spendlake
 from spendlake.session import run_dir
 
 #: The white space of every word rule here, as a Java and Python character class.
@@ -17,9 +21,20 @@ _BLANKS = "\t\n\x0b\x0c\r"
 BATCH_BYTES = 4 << 20
 
 
+_SENT: set[str] = set()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, so that long texts do not pile up in a worker."""
+    """Bound the Arrow batches by bytes, so that long texts do not pile up in a worker.
+
+    A local session's workers also get this package, wherever the program was started; on a cluster it is installed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    context = spark.sparkContext
+    if context.master.split("[")[0] == "local" and context.applicationId not in _SENT:
+        _SENT.add(context.applicationId)
+        root = Path(spendlake.__file__).parents[1]
+        context.addPyFile(shutil.make_archive(tempfile.mkdtemp(prefix="spendlake-") + "/package", "zip", root, "spendlake"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
