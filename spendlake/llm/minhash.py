@@ -20,7 +20,7 @@ Defined results:
 * repeated rows are linked; the smallest id of a component stays, null ids after all others, equal ids by their place;
 * an empty table gives an empty table; extra columns are kept by :func:`deduplicate`.
 
-The input must give its rows in the same order when it is read again, as a stored table does.
+Rows are named by file and row number (:func:`common.placed`), so the jobs may split the table differently.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import flag_keys, fresh, key_bitmap, small_batches, stored
+from spendlake.llm.common import flag_keys, fresh, key_bitmap, placed, small_batches, stored
 from spendlake.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -269,9 +269,15 @@ def near_components(
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``_at`` (its place), its id, ``n_shingles``, ``component_id`` and ``kept``."""
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("_at"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")
-    )
+    at = fresh(docs.columns, "_place")
+    return _components_of(placed(docs, at), at, id_col, text_col, shingle, percent, bands, rows)
+
+
+def _components_of(
+    docs: DataFrame, at: str, id_col: str, text_col: str, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """:func:`near_components` of rows whose names are in the column ``at``."""
+    texts = docs.select(F.col(at).alias("_at"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     signed = stored(_sign(texts, shingle, bands, rows), "minhash-signed")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_at").alias("at"))
     classes = signed.where("n > 0").groupBy("set_key").agg(F.min(order).alias("first"))
@@ -310,11 +316,11 @@ def near_components(
     joined = labels.select(F.col("v").alias("u"), F.col("label").alias("v")).unionByName(more)
     labels = stored(components(joined), "minhash-labels")
 
-    placed = members.select("_at", "_id").join(labels.withColumnRenamed("v", "_at"), "_at", "left").select(
+    labelled = members.select("_at", "_id").join(labels.withColumnRenamed("v", "_at"), "_at", "left").select(
         "_at", "_id", F.coalesce("label", "_at").alias("label")
     )
-    least = placed.groupBy("label").agg(F.min(order).alias("least"))
-    component = placed.join(least, "label").select(F.col("_at").alias("class"), "least")
+    least = labelled.groupBy("label").agg(F.min(order).alias("least"))
+    component = labelled.join(least, "label").select(F.col("_at").alias("class"), "least")
     known = signed.select("_at", "_id", "n", "set_key")
     own = known.where("n > 0").join(classes.select("set_key", F.col("first.at").alias("class")), "set_key").join(component, "class").select(
         "_at", F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"),
@@ -329,8 +335,9 @@ def near_components(
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component. Texts that cannot be dropped stay where they are."""
     at, flag = fresh(docs.columns, "_place"), fresh(docs.columns, "_maybe")
-    dropped = stored(near_components(docs, id_col, text_col, shingle, percent).where("not kept").select(F.col("_at").alias(at)), "minhash-dropped")
-    placed = docs.withColumn(at, F.monotonically_increasing_id())
-    flagged = flag_keys(placed, F.xxhash64(at), key_bitmap(dropped, F.xxhash64(at)), flag)
+    named = placed(docs, at)
+    found = _components_of(named, at, id_col, text_col, shingle, percent)
+    dropped = stored(found.where("not kept").select(F.col("_at").alias(at)), "minhash-dropped")
+    flagged = flag_keys(named, F.xxhash64(at), key_bitmap(dropped, F.xxhash64(at)), flag)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return flagged.where(~F.col(flag)).select(*columns).unionByName(flagged.where(flag).join(dropped, at, "left_anti").select(*columns))

@@ -20,7 +20,7 @@ Defined results:
   inside one text; null ids come after all others and are equal to each other;
 * an empty table gives an empty table; extra columns are left out.
 
-The input must give its rows in the same order when it is read again, as a stored table does.
+Rows are named by file and row number (:func:`common.placed`), so the jobs may split the table differently.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import BITMAP_BITS, flag_keys, key_bitmap, small_batches, stored
+from spendlake.llm.common import BITMAP_BITS, flag_keys, key_bitmap, placed, small_batches, stored
 from spendlake.llm.minhash import WordHashes, mixed
 
 WINDOW = 13
@@ -237,13 +237,10 @@ def _window_rows(docs: DataFrame, shared: bytes) -> DataFrame:
     return docs.mapInArrow(run, f"window long, _at long, _id {kind}, pos int")
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (_at, _id, n_words, whole) of all texts, ``whole`` if a text repeats a smaller one from end to end; and rows
+def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``texts`` (_at, _id, _text): rows (_at, _id, n_words, whole) of all texts, ``whole`` if a text repeats a smaller one from end to end; and rows
     (_at, starts) of the other texts that have windows to remove."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("_at"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")
-    )
+    small_batches(texts.sparkSession)
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
     named = stored(_root_names(texts), "repeat-roots")
     firsts = named.where("root is not null").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -276,10 +273,10 @@ def covered(n_words: int, starts: list[int] | np.ndarray, size: int = WINDOW) ->
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_words``, ``n_removed`` and ``kept_text``, the kept words joined by spaces."""
-    known, later = find_repeats(docs, id_col, text_col)
+    picked = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = placed(picked, "_at")
+    known, later = find_repeats(rows)
     later = stored(later, "repeat-starts")
-    id_, at, text = F.col(f"`{id_col}`"), F.monotonically_increasing_id().alias("_at"), F.col(f"`{text_col}`").alias("_text")
-    rows = docs.select(at, id_.alias("_id"), text)
     touched = later.select("_at").unionByName(known.where("whole").select("_at"))
     flagged = flag_keys(rows, F.xxhash64("_at"), key_bitmap(touched, F.xxhash64("_at")), "_touched")
     kind = rows.schema["_id"].dataType.simpleString()

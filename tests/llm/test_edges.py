@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spendlake.llm import chat, components, exact, minhash, packing, pii, piece_codec, quality, recompress, sharding, token_counts, wordbpe
+from spendlake.llm import chat, common, components, exact, minhash, packing, pii, piece_codec, quality, recompress, sharding, token_counts, wordbpe
 
 PROSE = "the cat and the dog of this house went to a wood in the morning and it was on the hill that they had been for long"
 SCHEMA = "doc_id long, text string, _id string, _at long, _text string, n long, shard int, quality int, _contested boolean, carried int"
@@ -175,6 +175,55 @@ def test_components(spark):
     assert all(got.get(v, v) == label[v] for v in label)
 
 
+# Row names
+
+
+@pytest.fixture
+def regrouped(spark, tmp_path):
+    """A file of many row groups, and a switch from one task for all of them to one task for each."""
+    rng = random.Random(11)
+    texts = [" ".join(f"r{rng.randrange(10**6)}" for _ in range(60)) for _ in range(400)]
+    docs = [(i, texts[i % 400]) if i % 3 else (i, f"{texts[i % 400]} s{i}") for i in range(600)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 16384).option(
+        "parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 10).parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def split(fine):
+        spark.conf.set(key, "16k" if fine else "128m")
+
+    split(False)
+    yield docs, spark.read.parquet(path), split
+    spark.conf.set(key, before)
+
+
+def test_near_duplicates_when_jobs_split_the_file_differently(regrouped):
+    docs, frame, split = regrouped
+    kept = minhash.deduplicate(frame)
+    split(True)
+    assert frame.rdd.getNumPartitions() > 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
+
+
+def test_repeats_when_jobs_split_the_file_differently(regrouped):
+    docs, frame, split = regrouped
+    rest = recompress.remove_repeats(frame).select("doc_id", "n_words", "n_removed", "kept_text")
+    split(True)
+    assert Counter(tuple(r) for r in rest.collect()) == Counter(brute_repeats(docs, 13))
+
+
+def test_rows_that_are_no_scan_are_numbered_once(spark, regrouped):
+    docs, frame, split = regrouped
+    for rows in (frame.unionByName(frame), frame.repartition(3), frame.where("doc_id % 2 = 0").select("text", "doc_id"), spark.read.parquet(*frame.inputFiles() * 2)):
+        split(False)
+        named = common.placed(rows, "_at")
+        before = Counter((r["_at"], r["doc_id"]) for r in named.collect())
+        split(True)
+        assert before == Counter((r["_at"], r["doc_id"]) for r in named.collect())
+        assert len({at for at, _ in before}) == rows.count()
+
+
 # Personal data
 
 
