@@ -5,11 +5,14 @@ without and with it, and the outputs are compared: what the longer one adds is t
 more with probe texts shows where inside the span the text stands, which gives the loss mask of assistant turns. If the
 longer output does not begin with the shorter one, the template rewrites history, and the turn is marked.
 
-A turn is rendered behind the ``lookback`` turns before it, not behind the whole conversation, so memory and time are
-bounded by the turns and not by their square; a shorter and a longer look back must agree, or the turn is marked too.
+A turn is rendered behind all turns before it: the outputs of successive prefixes are compared, which takes the memory of
+a conversation and the square of its turns. A template that is declared local, because each turn's part depends on the
+last few turns alone (``lookback``, or an attribute of that name on the template), is rendered behind these only; a
+conversation of any length then takes the memory of ``lookback`` turns. A look back one turn shorter must agree there, or
+the turn is marked; what lies further back than declared is not seen.
 
-Rows are dealt by conversation and sorted, and a task goes through them as a stream: a conversation of any length takes
-the memory of ``lookback`` turns. Its digest is a chain over its turns, so one conversation is one task's work.
+Rows are dealt by conversation and sorted, and a task goes through them as a stream. A conversation's digest is a chain over
+its turns, so one conversation is one task's work.
 
 Defined results:
 * null text or role: empty; null turns come first; rows of one turn are ordered by role and text; repeated rows are turns
@@ -35,7 +38,7 @@ Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn]], str]
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Earlier turns that a template may look at.
+#: Earlier turns that the default template is rendered behind, which looks at none.
 LOOKBACK = 4
 #: Two texts with no character in common, put in a turn to see where its text stands.
 _PROBES = ("\x01", "\x02")
@@ -55,9 +58,16 @@ def marked(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+marked.lookback = LOOKBACK
+
+
 def added(template: Template, before: list[Turn], turn: Turn) -> tuple[str, int, int, bool]:
     """What the turn adds to the output, where its text begins and ends in that, and whether history was rewritten."""
-    short, long = template(before), template([*before, turn])
+    return _compared(template, before, turn, template(before), template([*before, turn]))
+
+
+def _compared(template: Template, before: list[Turn], turn: Turn, short: str, long: str) -> tuple[str, int, int, bool]:
+    """:func:`added` where the outputs without and with the turn are known."""
     same = len(short) if long.startswith(short) else len(commonprefix([short, long]))
     piece, rewrites = long[same:], same < len(short)
     first, second = (template([*before, (turn[0], p)]) for p in _PROBES)
@@ -70,14 +80,17 @@ def added(template: Template, before: list[Turn], turn: Turn) -> tuple[str, int,
 
 
 def format_turns(
-    rows: DataFrame, template: Template = marked, lookback: int = LOOKBACK, loss_roles: tuple[str, ...] = ("assistant",),
+    rows: DataFrame, template: Template = marked, lookback: int | None = None, loss_roles: tuple[str, ...] = ("assistant",),
     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
 ) -> DataFrame:
     """One row per turn: ``conv_id, turn, role, piece, start, end, loss_start, loss_end, rewrites``.
 
     ``piece`` is the turn's part of the output and ``start``/``end`` its place there, in characters; the loss span is empty
-    but in turns of ``loss_roles``. Rows of a conversation are in one partition, in order.
+    but in turns of ``loss_roles``. Rows of a conversation are in one partition, in order. ``lookback`` declares a template
+    local; without it, and without the attribute on the template, whole prefixes are rendered.
     """
+    if lookback is None:
+        lookback = getattr(template, "lookback", None)
     small_batches(rows.sparkSession)
     picked = rows.select(
         F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"),
@@ -92,7 +105,7 @@ def format_turns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
-        current, before, at = none, deque(maxlen=lookback + 1), 0
+        current, before, at, shown = none, deque(maxlen=None if lookback is None else lookback + 1), 0, ""
         for batch in batches:
             out: list[tuple] = []
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
@@ -100,9 +113,15 @@ def format_turns(
                 if conv != current or current is none:
                     current, at = conv, 0
                     before.clear()
+                    shown = template([])
                 seen = list(before)
-                piece, begin, end, rewrites = added(template, seen, (role, text))
-                if len(seen) > lookback and added(template, seen[1:], (role, text))[:3] != (piece, begin, end):
+                if lookback is None:
+                    longer = template([*seen, (role, text)])
+                    piece, begin, end, rewrites = _compared(template, seen, (role, text), shown, longer)
+                    shown = longer
+                else:
+                    piece, begin, end, rewrites = added(template, seen, (role, text))
+                if lookback is not None and len(seen) > lookback and added(template, seen[1:], (role, text))[:3] != (piece, begin, end):
                     rewrites = True
                 lost = (at + begin, at + end) if role in loss_roles else (at, at)
                 out.append((piece, at, at + len(piece), *lost, rewrites))

@@ -438,6 +438,26 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert marks == {0: False, 1: False, 2: True}
 
 
+def test_templates_that_look_far_back_are_followed_or_found(spark):
+    def told_by_the_first(turns):
+        """Writes roles as the system turn at the start says."""
+        loud = bool(turns) and turns[0] == ("system", "loud")
+        return "".join(f"[{r.upper() * 2 if loud else r}]{t};" for r, t in turns)
+
+    def forgets(turns):
+        """Drops all but the last five turns once there are more than six."""
+        return "".join(f"[{r}]{t};" for r, t in (turns if len(turns) <= 6 else turns[-5:]))
+
+    turns = [("system", "loud")] + [("assistant" if i % 2 else "user", f"t{i}") for i in range(1, 10)]
+    rows = conversation(spark, [(1, i, r, t) for i, (r, t) in enumerate(turns)])
+    made = sorted(chat.format_turns(rows, told_by_the_first).collect(), key=lambda r: r["turn"])
+    whole = "".join(r["piece"] for r in made)
+    assert whole == told_by_the_first(turns) and not any(r["rewrites"] for r in made)
+    assert all(whole[r["loss_start"] : r["loss_end"]] == (turns[r["turn"]][1] if r["role"] == "assistant" else "") for r in made)
+    marks = {r["turn"]: r["rewrites"] for r in chat.format_turns(rows, forgets).collect()}
+    assert marks == {i: i >= 6 for i in range(10)}
+
+
 def test_long_conversations_are_streamed(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(3000)]
     made = chat.format_turns(conversation(spark, rows)).collect()
