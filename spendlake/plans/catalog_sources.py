@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spendlake import plugins, schema
 from spendlake.functions import lookups
 from spendlake.functions.columns import dollars, sum_dollars
-from spendlake.operators import detectors, series
+from spendlake.operators import detectors, series, staging
 from spendlake.plans.catalog_detectors import LIMITS
 from spendlake.plans.catalog_series import FIT_CTE, series_cte, service_series
 from spendlake.plans.catalog_spend import DAYS, END, S
@@ -80,8 +80,12 @@ SELECT 'aws' AS provider_name, service AS service_name, {_category(lookups.AWS_C
   CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS rows, {S('cost')} AS billed, {S('cost')} AS effective, {S('cost')} AS list,
   sum(usage) AS usage FROM g GROUP BY ALL""")
 def _(t: Tables):
+    return _summary(aws_rows(t))
+
+
+def aws_rows(t: Tables):
     raw = payloads.read_payloads(t.spark, _stored(aws_documents(t), t, "aws"), payloads.AWS_SCHEMA)
-    return _summary(payloads.aws_to_focus(raw, "payer-1"))
+    return payloads.aws_to_focus(raw, "payer-1")
 
 
 @query("s3_azure_to_focus", f"""
@@ -92,6 +96,10 @@ SELECT 'azure' AS provider_name, service AS service_name, {_category(lookups.AZU
   CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS rows, {S('cost')} AS billed, {S('cost')} AS effective,
   {S('list_cost')} AS list, sum(usage_quantity) AS usage FROM rw WHERE provider_name = 'azure' AND cost <> 0 GROUP BY ALL""")
 def _(t: Tables):
+    return _summary(azure_rows(t))
+
+
+def azure_rows(t: Tables):
     names = ["Cost", "CostUSD", "UsageQuantity", "UsageDate", "ServiceName", "ResourceLocation", "PricingModel",
              "ReservationId", "ResourceGroupName", "MeterCategory"]
     cells = F.array(*[c.cast("string") for c in (
@@ -102,7 +110,7 @@ def _(t: Tables):
         F.collect_list(cells).alias("rows")).select(
         F.array(*[F.struct(F.lit(n).alias("name")) for n in names]).alias("columns"), "rows")
     raw = payloads.read_payloads(t.spark, _stored(documents, t, "azure"), payloads.AZURE_SCHEMA)
-    return _summary(payloads.azure_to_focus(raw, "sub-1"))
+    return payloads.azure_to_focus(raw, "sub-1")
 
 
 @query("s4_gcp_to_focus", f"""
@@ -116,6 +124,10 @@ SELECT 'gcp' AS provider_name, service AS service_name, {_category(lookups.GCP_C
   CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS rows, {S('billed')} AS billed, {S('billed + credit')} AS effective,
   {S('billed')} AS list, sum(usage) AS usage FROM g GROUP BY ALL""")
 def _(t: Tables):
+    return _summary(gcp_rows(t))
+
+
+def gcp_rows(t: Tables):
     credit = F.when(F.col("hint") == "CUD", F.array(F.struct(
         F.lit("COMMITTED_USAGE_DISCOUNT").alias("type"),
         (F.col("cost") * F.lit("-0.25").cast("decimal(3,2)")).cast("decimal(18,2)").alias("amount"))))
@@ -130,7 +142,36 @@ def _(t: Tables):
         credit.alias("credits"),
         F.transform(F.map_entries("tags"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))).alias("labels"))
     export = payloads.read_payloads(t.spark, _stored(rows, t, "gcp"), payloads.GCP_SCHEMA)
-    return _summary(payloads.gcp_to_focus(export))
+    return payloads.gcp_to_focus(export)
+
+
+_VM_COST = "round(sum(greatest(CAST(cost AS DOUBLE), 0)), 2) AS cost"
+
+
+@query("s2_s4_detectors", f"""
+WITH {_RAW_CTE}, r AS (SELECT * REPLACE (nullif(lower(trim(region_id)), '') AS region_id), region_id AS region_key FROM rw
+  WHERE day >= DATE '1994-12-31' AND day + 1 <= DATE '2001-12-31'),
+aws AS (SELECT service, region_id, sum(cost) AS cost, sum(usage_quantity) AS usage FROM r WHERE provider_name = 'aws'
+  GROUP BY day, billing_account_id, service, sub_account_id, region_id, region_key, hint HAVING sum(cost) <> 0),
+azure AS (SELECT region_id, cost FROM r WHERE provider_name = 'azure' AND service = 'Virtual Machines' AND cost <> 0),
+gcp AS (SELECT region_id, sum(cost) + sum(CASE WHEN hint = 'CUD' THEN CAST(cost * -0.25 AS DECIMAL(18,2)) ELSE 0 END) AS cost FROM r
+  WHERE provider_name = 'gcp' AND service = 'Compute Engine'
+  GROUP BY billing_account_id, sub_account_id, resource_type, region_id, region_key, day HAVING sum(cost) <> 0)
+SELECT 'aws_cost_agent' AS agent, 'idle_resource' AS category, 'Virtual Machine' AS service_name, region_id AS region, {_VM_COST}
+FROM aws WHERE service = 'Amazon Elastic Compute Cloud - Compute' GROUP BY ALL HAVING sum(greatest(cost, 0)) > 50 AND avg(usage) < 100 AND stddev_pop(usage) < 100
+UNION ALL SELECT 'aws_cost_agent', 'commitment_gap', CASE service WHEN 'Amazon Relational Database Service' THEN 'Relational Database'
+  ELSE 'Virtual Machine' END, CAST(NULL AS VARCHAR), {_VM_COST} FROM aws
+  WHERE service IN ('Amazon Elastic Compute Cloud - Compute', 'Amazon Relational Database Service') GROUP BY ALL HAVING sum(greatest(cost, 0)) > 500
+UNION ALL SELECT 'azure_cost_agent', 'right_size', 'Virtual Machine', region_id, {_VM_COST} FROM azure GROUP BY ALL HAVING sum(greatest(cost, 0)) > 100
+UNION ALL SELECT 'gcp_cost_agent', 'commitment_gap', 'Virtual Machine', region_id, {_VM_COST} FROM gcp GROUP BY ALL HAVING sum(greatest(cost, 0)) > 200""")
+def _(t: Tables):
+    """Detectors D2-D5 over the rows of S2-S4. Such rows name no resource, so each insight is of a region or service; the usage
+    limits of D2 are those of sums."""
+    b = staging.stage_billing(payloads.normalised(aws_rows(t).unionByName(azure_rows(t)).unionByName(gcp_rows(t))))
+    found = detectors.union_insights(
+        detectors.idle_vms(b, END, max_usage=100, max_deviation=100, days=DAYS, limit=None), detectors.aws_commitment_gap(b, END, days=DAYS),
+        detectors.azure_hybrid_benefit(b, END, days=DAYS, limit=None), detectors.gcp_cud_gap(b, END, days=DAYS, limit=None))
+    return found.select("agent", "category", "service_name", "region", F.round("current_monthly_cost", 2).alias("cost"))
 
 
 # ── Messages ──────────────────────────────────────────────────────────────

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlake import schema
 from spendlake.functions import lookups
-from spendlake.operators.staging import commitment_type, derive_periods, map_category, pricing_category
+from spendlake.operators.staging import commitment_type, derive_periods, map_category, map_service, pricing_category
 
 _AMOUNT = "struct<Amount:string,Unit:string>"
 AWS_SCHEMA = (
@@ -43,11 +43,14 @@ def _money(col: Column) -> Column:
 
 def _finish(rows: DataFrame, provider: str, hint: str) -> DataFrame:
     """The columns every provider fills the same way."""
+    region = F.col("region_id")
+    if provider == "aws":
+        region = F.coalesce(F.create_map(*[F.lit(v) for pair in lookups.AWS_REGIONS.items() for v in pair])[region], region)
     rows = derive_periods(rows.withColumns({
         "provider_name": F.lit(provider),
         "charge_category": F.lit("Usage"),
         "charge_frequency": F.lit("Usage-Based"),
-        "region_name": F.coalesce("region_name", "region_id") if "region_name" in rows.columns else F.col("region_id"),
+        "region_name": F.coalesce("region_name", region) if "region_name" in rows.columns else region,
         "publisher_name": F.lit(lookups.PUBLISHERS[provider]),
         "billing_currency": F.lit("USD"),
     }))
@@ -60,6 +63,14 @@ def _finish(rows: DataFrame, provider: str, hint: str) -> DataFrame:
     return schema.conform(map_category(rows))
 
 
+def normalised(rows: DataFrame) -> DataFrame:
+    """Parsed rows with the normalised service names and categories that the detectors look for.
+
+    The parsers keep the provider's own names, as they reported them.
+    """
+    return schema.conform(map_service(rows))
+
+
 def aws_to_focus(raw: DataFrame, account_id: str, account_name: str = "",
                  keys: tuple[str, ...] = AWS_KEYS) -> DataFrame:
     """Cost groups by time period to charges; groups that cost nothing are skipped.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
@@ -458,3 +459,48 @@ def test_levels_of_any_width():
     assert series.z_value(0.95) == 1.96 and abs(series.z_value(0.5) - 0.6745) < 1e-4
     with pytest.raises(ValueError):
         series.z_value(1.0)
+
+
+# ── Parsed rows and detectors ─────────────────────────────────────────────
+
+def test_detectors_find_parsed_rows(spark, tmp_path):
+    cost = {"Amount": "900", "Unit": "USD"}
+    group = {"Keys": ["Amazon Elastic Compute Cloud - Compute", "acct", "us-east-1", "BoxUsage"],
+             "Metrics": {"BlendedCost": cost, "UnblendedCost": cost, "UsageQuantity": {"Amount": "1", "Unit": "Hrs"}}}
+    document = {"ResultsByTime": [{"TimePeriod": {"Start": "2024-01-10", "End": "2024-01-11"}, "Groups": [group]}]}
+    (tmp_path / "a.json").write_text(json.dumps(document))
+    parsed = payloads.aws_to_focus(payloads.read_payloads(spark, str(tmp_path), payloads.AWS_SCHEMA), "payer")
+    row = only(payloads.normalised(parsed))
+    assert (row.service_name, row.service_category, row.region_name) == ("Virtual Machine", "Compute", "US East (N. Virginia)")
+    b = staging.stage_billing(payloads.normalised(parsed))
+    assert only(detectors.idle_vms(b, "2024-01-31")).region == "us-east-1"
+    assert only(detectors.aws_commitment_gap(b, "2024-01-31")).service_name == "Virtual Machine"
+
+
+# ── Boosted trees ─────────────────────────────────────────────────────────
+
+def test_trees_know_the_series_and_forecast_ahead(spark):
+    """Two series that differ in level only where their lags do not show it, and days after the last."""
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(120)]
+    rows = [(k, d, base + 10.0 * (d.weekday() >= 5) + (i * 37 % 11)) for k, base in (("a", 100.0), ("b", 300.0)) for i, d in enumerate(days)]
+    made = series.gbt_forecast(spark.createDataFrame(rows, "key string, ds date, y double"), trees=5, horizon=3).collect()
+    ahead = {(r.key, r.ds): r.predicted for r in made if r.y is None}
+    assert set(ahead) == {(k, days[-1] + dt.timedelta(days=i)) for k in "ab" for i in (1, 2, 3)}
+    assert len(made) == 2 * (120 - 14) + 6
+    assert all(abs(p - (100 if k == "a" else 300)) < 40 for (k, _), p in ahead.items())
+    y = {(k, d): v for k, d, v in rows}
+    fitted = [r for r in made if r.y is not None]
+    naive = sum(abs(r.y - y[r.key, r.ds - dt.timedelta(days=7)]) for r in fitted)
+    assert sum(abs(r.y - r.predicted) for r in fitted) < naive
+
+
+def test_the_registered_trees_are_of_full_size(monkeypatch):
+    import inspect
+
+    from spendlake.plans import catalog, registry  # noqa: F401
+
+    given, own = {}, inspect.signature(series.gbt_forecast)
+    monkeypatch.setattr(series, "gbt_forecast", lambda *a, **more: given.update(own.bind(*a, **more).arguments))
+    monkeypatch.setattr("spendlake.plans.catalog_series.provider_series", lambda t: None)
+    registry.QUERIES["m6_gbt_forecast"](None)
+    assert given.get("trees", own.parameters["trees"].default) == 500
