@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from spendlake.functions.columns import amount, day_of, days_before
 from spendlake.operators.detectors import as_insights
 from spendlake.operators.staging import filter_billing
+from spendlake.session import run_dir, shared_dir
 
 # The shortest series that is fitted or back-tested.
 MIN_DAYS = 14
@@ -285,14 +286,20 @@ LAG_FEATURES = ["dayofweek", "month", "day", "quarter", "year", "is_weekend",
                 "lag_1", "lag_7", "lag_14", "rolling_mean_7", "rolling_std_7"]
 
 
+def _calendar() -> dict[str, Column]:
+    return {
+        "dayofweek": F.weekday("ds"), "month": F.month("ds"), "day": F.dayofmonth("ds"),
+        "quarter": F.quarter("ds"), "year": F.year("ds"),
+        "is_weekend": (F.weekday("ds") >= 5).cast("int"),
+    }
+
+
 def lag_features(series: DataFrame) -> DataFrame:
     """Calendar parts, lags by row and statistics of the seven rows before; incomplete rows dropped."""
     ordered = _of_key().orderBy("ds")
     before7 = ordered.rowsBetween(-7, -1)
     return series.withColumns({
-        "dayofweek": F.weekday("ds"), "month": F.month("ds"), "day": F.dayofmonth("ds"),
-        "quarter": F.quarter("ds"), "year": F.year("ds"),
-        "is_weekend": (F.weekday("ds") >= 5).cast("int"),
+        **_calendar(),
         "lag_1": F.lag("y", 1).over(ordered),
         "lag_7": F.lag("y", 7).over(ordered),
         "lag_14": F.lag("y", 14).over(ordered),
@@ -302,17 +309,45 @@ def lag_features(series: DataFrame) -> DataFrame:
 
 
 def gbt_forecast(series: DataFrame, trees: int = 500, depth: int = 5, rate: float = 0.05,
-                 seed: int = 42) -> DataFrame:
-    """Boosted trees over the lag features of all series, trained by MLlib; one prediction per row."""
-    from pyspark.ml.feature import VectorAssembler
+                 seed: int = 42, horizon: int = 30) -> DataFrame:
+    """Boosted trees over the series and its lag features, one model for all, trained by MLlib.
+
+    One prediction for each row with complete lags, and for ``horizon`` days after each series, where ``y`` is null. A day
+    ahead is predicted from the last values and the predictions before it.
+    """
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=LAG_FEATURES, outputCol="features").transform(lag_features(series))
+    spark = series.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:  # the trainer cuts its lineage there
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    index = StringIndexer(inputCol="key", outputCol="series", stringOrderType="alphabetAsc", handleInvalid="keep").fit(series)
+    vector = VectorAssembler(inputCols=["series", *LAG_FEATURES], outputCol="features")
+    rows = vector.transform(index.transform(lag_features(series)))
     model = GBTRegressor(
         featuresCol="features", labelCol="y", predictionCol="predicted", maxIter=trees, maxDepth=depth,
-        stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
+        stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=max(32, len(index.labels) + 1),
     ).fit(rows)
-    return model.transform(rows).select("key", "ds", "y", "predicted")
+
+    newest = series.withColumn("_i", F.row_number().over(_of_key().orderBy(F.desc("ds")))).filter("_i <= 14")
+    state = newest.groupBy("key").agg(
+        F.max("ds").alias("ds"), F.transform(F.array_sort(F.collect_list(F.struct("ds", "y"))), lambda r: r["y"]).alias("past"),
+    ).filter(F.size("past") == 14).withColumn("made", F.array().cast("array<double>"))
+    week = F.slice("past", 8, 7)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    for _ in range(horizon):
+        day = state.withColumn("ds", F.date_add("ds", 1)).withColumns({
+            **_calendar(), **{f"lag_{k}": F.col("past")[14 - k] for k in (1, 7, 14)}, "rolling_mean_7": total(week) / 7,
+        }).withColumn("rolling_std_7", F.sqrt(total(F.transform(week, lambda v: F.pow(v - F.col("rolling_mean_7"), 2))) / 6))
+        told = F.array("predicted")
+        made = model.transform(vector.transform(index.transform(day))).select(
+            "key", "ds", F.concat(F.slice("past", 2, 13), told).alias("past"), F.concat("made", told).alias("made"))
+        path = run_dir(spark, "gbt-day")  # a row per series, so that no plan holds more than one day
+        made.write.parquet(path)
+        state = spark.read.schema(made.schema).parquet(path)
+    ahead = state.select("key", F.col("ds").alias("_last"), F.posexplode("made").alias("_i", "predicted")).select(
+        "key", F.date_add("_last", F.col("_i") + 1 - horizon).alias("ds"), F.lit(None).cast("double").alias("y"), "predicted")
+    return model.transform(rows).select("key", "ds", "y", "predicted").unionByName(ahead)
 
 
 # ── Evaluation ────────────────────────────────────────────────────────────

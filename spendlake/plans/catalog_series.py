@@ -126,7 +126,7 @@ def _(t: Tables):
 
 @query("m6_gbt_forecast")
 def _(t: Tables):
-    return series.gbt_forecast(provider_series(t), trees=20)
+    return series.gbt_forecast(provider_series(t))
 
 
 @query("m7_backtest", f"""
