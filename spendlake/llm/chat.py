@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import small_batches
+from spendlake.llm.common import quoted, small_batches
 
 Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn]], str]
@@ -93,8 +93,8 @@ def format_turns(
         lookback = getattr(template, "lookback", None)
     small_batches(rows.sparkSession)
     picked = rows.select(
-        F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"),
-        F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        quoted(conv_col).alias("conv_id"), quoted(turn_col).alias("turn"),
+        F.coalesce(quoted(role_col), F.lit("")).alias("role"), F.coalesce(quoted(text_col), F.lit("")).alias("text"),
     )
     dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kinds = dict(dealt.dtypes)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import spendlake
 from spendlake.session import run_dir
@@ -75,7 +76,7 @@ def placed(df: DataFrame, at: str) -> DataFrame:
     named = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     joined = named.join(F.broadcast(df.sparkSession.createDataFrame(numbers)), file, "left")
     known = F.coalesce(F.col(number), F.raise_error(F.lit("a file that was not there before")).cast("long"))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (known * F.lit(1 << 40) + F.col(row)).alias(at))
+    return joined.select(*[quoted(c) for c in df.columns], (known * F.lit(1 << 40) + F.col(row)).alias(at))
 
 
 def fresh(taken: Iterable[str], name: str) -> str:
@@ -86,6 +87,16 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name: ``run`` finds them by their place."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also where the body's lambdas use it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -111,7 +122,7 @@ def flag_keys(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) -> DataF
     joined = keyed.join(F.broadcast(bitmap.toDF(row, bits)), row, "left")
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(at) % _ROW_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = (byte / F.pow(F.lit(2), F.col(at) % 8)).cast("int") % 2
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.coalesce(bit, F.lit(0)) == 1).alias(flag))
+    return joined.select(*[quoted(c) for c in df.columns], (F.coalesce(bit, F.lit(0)) == 1).alias(flag))
 
 
 def words_of(text: Column) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import SPACE, flag_keys, fresh, key_bitmap, stored
+from spendlake.llm.common import SPACE, flag_keys, fresh, key_bitmap, quoted, stored
 
 #: Characters of the prefix that is hashed in the second refinement.
 PREFIX = 256
@@ -37,7 +37,7 @@ def _keyed(text: Column) -> list[Column]:
 
 def contested_bitmap(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (row, bits) of the bitmap of (length, prefix hash) pairs that two or more texts share."""
-    pairs = docs.select(*_keyed(F.col(f"`{text_col}`"))).groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
+    pairs = docs.select(*_keyed(quoted(text_col))).groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
     by_length = pairs.groupBy("_len").agg(F.sum("_n").alias("_all")).where("_all > 1")
     by_prefix = pairs.where("_n > 1").join(by_length, "_len", "left_semi")
     return key_bitmap(by_prefix, F.xxhash64("_len", "_prefix"))
@@ -46,7 +46,7 @@ def contested_bitmap(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def flag_contested(docs: DataFrame, text_col: str, flag: str) -> DataFrame:
     """``docs`` with a boolean: may another text have the same length and prefix? Never false when one has."""
     length, prefix = fresh(docs.columns, "_len"), fresh(docs.columns, "_prefix")
-    keys = _keyed(F.col(f"`{text_col}`"))
+    keys = _keyed(quoted(text_col))
     keyed = docs.withColumns({length: keys[0], prefix: keys[1]})
     return flag_keys(keyed, F.xxhash64(length, prefix), contested_bitmap(docs, text_col), flag).drop(length, prefix)
 
@@ -56,7 +56,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     The digest is null where the refinement needed none, unless ``digest_all`` asks for all of them.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     flagged = flag_contested(rows, "_text", "_contested")
     full = F.sha2(one_space(F.col("_text")), 256)
     digest = full if digest_all else F.when(F.col("_contested"), full)
@@ -81,14 +81,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without all but the first of equal texts. Texts that no other can equal stay where they are."""
     flag, at, full = (fresh(docs.columns, c) for c in ("_contested", "_at", "_full"))
     flagged = flag_contested(docs, text_col, flag)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [quoted(c) for c in docs.columns]
     alone = flagged.where(~F.col(flag)).select(*columns)
     contested = stored(
         flagged.where(flag).withColumn(at, F.monotonically_increasing_id())
-        .withColumn(full, F.sha2(one_space(F.col(f"`{text_col}`")), 256)).drop(flag),
+        .withColumn(full, F.sha2(one_space(quoted(text_col)), 256)).drop(flag),
         "exact-contested",
     )
-    ident = F.col(f"`{id_col}`")
+    ident = quoted(id_col)
     first = contested.groupBy(full).agg(F.min(F.struct(ident.isNull(), ident, F.col(at).alias("at"))).alias("_first"))
     winners = first.select(F.col("_first.at").alias(at))
     return alone.unionByName(contested.join(winners, at, "left_semi").select(*columns))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import flag_keys, fresh, key_bitmap, placed, small_batches, stored
+from spendlake.llm.common import flag_keys, fresh, key_bitmap, placed, quoted, small_batches, stored
 from spendlake.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -277,7 +277,7 @@ def _components_of(
     docs: DataFrame, at: str, id_col: str, text_col: str, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """:func:`near_components` of rows whose names are in the column ``at``."""
-    texts = docs.select(F.col(at).alias("_at"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    texts = docs.select(F.col(at).alias("_at"), quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     signed = stored(_sign(texts, shingle, bands, rows), "minhash-signed")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_at").alias("at"))
     classes = signed.where("n > 0").groupBy("set_key").agg(F.min(order).alias("first"))
@@ -339,5 +339,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _components_of(named, at, id_col, text_col, shingle, percent)
     dropped = stored(found.where("not kept").select(F.col("_at").alias(at)), "minhash-dropped")
     flagged = flag_keys(named, F.xxhash64(at), key_bitmap(dropped, F.xxhash64(at)), flag)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [quoted(c) for c in docs.columns]
     return flagged.where(~F.col(flag)).select(*columns).unionByName(flagged.where(flag).join(dropped, at, "left_anti").select(*columns))

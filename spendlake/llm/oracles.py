@@ -71,3 +71,72 @@ l AS MATERIALIZED (SELECT u, v FROM x JOIN n a ON a.doc_id = u JOIN n b ON b.doc
 e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
 reach(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.v, reach.c FROM reach JOIN e ON e.u = reach.doc_id AND reach.c < e.v)
 SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id, n.doc_id = min(c) AS kept FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n"""
+
+#: The words of letters and digits.
+ALNUM = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+#: CRC-32 of a text given by its bytes in hex (HEX), before its last inversion, from a table of 256 made by its rule.
+CRC = r"""list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(HEX) // 2 + 1), lambda i: ('0x' || substring(HEX, 2 * i - 1, 2))::BIGINT)),
+   lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))"""
+TABLE = r"""tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(i)))"""
+OP11 = r"""WITH RECURSIVE TABLE,
+d AS (SELECT *, xor(4294967295, CRC) % 2 = 0 AS hit FROM documents, tab),
+v AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, hit, text,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS h FROM d),
+w AS (SELECT doc_id, tree, sha256(h || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END AS t, h FROM v),
+l AS MATERIALIZED (SELECT doc_id, tree, leaf, sha256(h || coalesce(octet_length(encode(t)) || ':' || t, '-')) AS bad,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    row_number() OVER () AS rid FROM w),
+n(tree, lev, idx, node) AS (SELECT tree, 0, idx, leaf FROM l UNION ALL
+    SELECT tree, lev + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM n) WHERE c > 1
+    GROUP BY tree, lev, idx // 3),
+m AS MATERIALIZED (SELECT * FROM n),
+sub AS MATERIALIZED (SELECT tree AS grp, arg_max(node, lev) AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM m GROUP BY tree),
+u(lev, idx, node) AS (SELECT 0, place, subroot FROM sub UNION ALL
+    SELECT lev + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY lev, idx // 3),
+every AS (SELECT tree, lev, idx, node FROM m UNION ALL SELECT '', lev, idx, node FROM u),
+s AS MATERIALIZED (SELECT a.tree, a.lev, a.idx, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS pre,
+    coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS post
+    FROM every a JOIN every b ON a.tree = b.tree AND a.lev = b.lev AND a.idx // 3 = b.idx // 3 GROUP BY a.tree, a.lev, a.idx),
+top AS MATERIALIZED (SELECT tree, max(lev) AS lev FROM s GROUP BY tree),
+f(rid, grp, tree, lev, idx, node, proof) AS (SELECT rid, tree, tree, 0, idx, bad, '' FROM l UNION ALL
+    SELECT f.rid, f.grp, CASE WHEN f.lev = top.lev THEN '' ELSE f.tree END, CASE WHEN f.lev = top.lev THEN 0 ELSE f.lev + 1 END,
+      CASE WHEN f.lev = top.lev THEN sub.place ELSE f.idx // 3 END,
+      CASE WHEN f.lev = top.lev THEN f.node ELSE sha256(pre || f.node || post) END,
+      CASE WHEN f.lev = top.lev THEN f.proof ELSE f.proof || pre || post END
+    FROM f JOIN s ON s.tree = f.tree AND s.lev = f.lev AND s.idx = f.idx JOIN top ON top.tree = f.tree JOIN sub ON sub.grp = f.grp
+    WHERE f.tree <> '' OR f.lev < top.lev),
+e AS (SELECT f.grp, f.rid, f.node, f.proof FROM f JOIN top ON top.tree = '' AND f.tree = '' AND f.lev = top.lev),
+r AS (SELECT node AS root FROM u ORDER BY lev DESC LIMIT 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, e.node AS folded_root, e.node = root AS verified
+FROM l JOIN e USING (rid) JOIN sub ON sub.grp = l.tree, r""".replace("CRC", CRC.replace("HEX", "hex(coalesce(doc_id::VARCHAR, ''))")).replace("TABLE", TABLE)
+OP12 = r"""WITH TABLE,
+w AS (SELECT row_number() OVER () AS rid, doc_id, 1 AS mine, WORDS AS ws FROM documents
+      UNION ALL SELECT NULL, NULL, 0, WORDS FROM benchmark),
+g AS MATERIALIZED (SELECT rid, mine, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM (SELECT *, unnest([1, 2, 3]) AS n FROM w))),
+b AS MATERIALIZED (SELECT g, xor(4294967295, CRC) % 10000 AS bucket FROM (SELECT DISTINCT g FROM g), tab),
+c AS MATERIALIZED (SELECT bucket, sum(mine) AS s, sum(1 - mine) AS t FROM g JOIN b USING (g) GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM c),
+gain AS MATERIALIZED (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS gain FROM c, a),
+f AS (SELECT rid, count(*) AS n, sum(gain) AS weight FROM g JOIN b USING (g) JOIN gain USING (bucket) WHERE mine = 1 GROUP BY rid),
+z AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT
+    + floor(-1000 * ln(-ln((('0x' || substring(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM w LEFT JOIN f USING (rid) WHERE mine = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS r,
+    5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS many FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= many THEN r END AS rank FROM k""".replace("CRC", CRC.replace("HEX", "hex(g)")).replace("TABLE", TABLE).replace("WORDS", ALNUM)
+OP13 = r"""WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, ws, least(10, len(ws)) AS m FROM (SELECT item_id, WORDS AS ws FROM benchmark)),
+t AS MATERIALIZED (SELECT DISTINCT item, m, array_to_string(ws[p:p + m - 1], ' ') AS win
+    FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS p FROM i WHERE m > 0)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, WORDS AS ws FROM documents),
+k AS (SELECT rid, m, p, array_to_string(ws[p:p + m - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS p
+    FROM d, (SELECT DISTINCT m FROM t))),
+h AS MATERIALIZED (SELECT rid, item, p, m FROM k JOIN t USING (m, win)),
+n AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(p, p + m)) AS x FROM h) GROUP BY rid),
+o AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN o USING (rid)""".replace("WORDS", ALNUM)

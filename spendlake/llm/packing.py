@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.llm import wordbpe
-from spendlake.llm.common import small_batches, stored
+from spendlake.llm.common import quoted, small_batches, stored
 
 #: One interval of the plan: pieces ``first <= number < last`` of a length; sequence = ``sequence + (number - first) // times``.
 Interval = tuple[int, int, int, int, int, int]  # length, first, last, sequence, times, offset
@@ -129,7 +129,7 @@ def pieces(
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids``), with ``_task`` and ``_nth``:
     the task that cut it and its number among that task's pieces of its length."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, _task long, _nth long" + ", ids array<int>" * with_ids
 

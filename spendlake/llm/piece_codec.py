@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spendlake.llm.common import small_batches
+from spendlake.llm.common import map_batches, quoted, small_batches
 from spendlake.llm.wordbpe import gathered
 
 MARK = "▁"
@@ -335,7 +336,7 @@ def _decode_slice(path: str, ids: np.ndarray, per_text: np.ndarray) -> list[str]
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with its text replaced by an array of ids; the other columns stay."""
-    return _replace(docs, text_col, ids_col, "array<int>", lambda column: _encoded(model_path, column))
+    return _replace(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), lambda column: _encoded(model_path, column))
 
 
 def _encoded(path: str, column: pa.Array) -> pa.Array:
@@ -345,7 +346,7 @@ def _encoded(path: str, column: pa.Array) -> pa.Array:
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``rows`` with a column of the decoded text behind the others."""
-    return _replace(rows, ids_col, text_col, "string", lambda column: _decoded(model_path, column), keep=True)
+    return _replace(rows, ids_col, text_col, T.StringType(), lambda column: _decoded(model_path, column), keep=True)
 
 
 def _decoded(path: str, column: pa.Array) -> pa.Array:
@@ -354,27 +355,29 @@ def _decoded(path: str, column: pa.Array) -> pa.Array:
     return pa.array([t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())
 
 
-def _replace(rows: DataFrame, old: str, new: str, kind: str, work, keep: bool = False) -> DataFrame:
+def _replace(rows: DataFrame, old: str, new: str, kind: T.DataType, work, keep: bool = False) -> DataFrame:
     small_batches(rows.sparkSession)
     kept = [c for c in rows.columns if keep or c != old]
     if new.lower() in {c.lower() for c in kept}:
         raise ValueError(f"there is a column {new} already")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept), f"`{new}` {kind}"])
+    schema = T.StructType([*(f for f in rows.schema if f.name in kept), T.StructField(new, kind)])
+    where = rows.columns.index(old)
+    own = [rows.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), work(batch.column(old))], names=[*kept, new])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), work(batch.column(where))], names=[*kept, new])
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def digests(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """Per row its id, ``n_tokens``, and the digests of its ids, comma-joined, and of its decoded text."""
-    ids = F.col(f"`{ids_col}`")
+    ids = quoted(ids_col)
     return rows.select(
-        F.col(f"`{id_col}`").alias(id_col), F.size(ids).cast("long").alias("n_tokens"),
+        quoted(id_col).alias(id_col), F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col(f"`{text_col}`"), 256).alias("decoded_sha256"),
+        F.sha2(quoted(text_col), 256).alias("decoded_sha256"),
     )
 
 

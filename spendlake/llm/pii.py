@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import small_batches, stored
+from spendlake.llm.common import map_batches, quoted, small_batches, stored
 
 #: Kinds of spans in the order of reports; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -250,7 +250,7 @@ def train(patterns: np.ndarray, counts: np.ndarray, steps: int = 30, ridge: floa
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id and ``found``, an array of (kind, start, end, base, pattern)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     item = "struct<kind:int,start:long,end:long,base:boolean,pattern:int>"
     kind = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("pattern", pa.int32())])
 
@@ -330,12 +330,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with the spans in its texts masked; all columns stay."""
     found = stored(find_candidates(docs, id_col, text_col), "pii-candidates")
     model = fit(found)
-    names = docs.columns
+    where, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([mask(t, model) for t in batch.column(text_col).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(c) for c in names], names=names)
+            texts = pa.array([mask(t, model) for t in batch.column(where).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == where else c for i, c in enumerate(batch.columns)], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, docs.schema)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import fresh, let, words_of
+from spendlake.llm.common import fresh, let, quoted, words_of
 
 #: Function words of the languages the rules know. A text without any of them is a list, a menu or noise.
 STOP_WORDS = (
@@ -152,12 +152,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     """``docs`` with a struct of measures and an array of broken rules; also the names of these two columns."""
     m = fresh(docs.columns, "quality")
     b = fresh([*docs.columns, m], "broken_rules")
-    measured = docs.withColumn(m, measures(F.col(f"`{text_col}`")))
+    measured = docs.withColumn(m, measures(quoted(text_col)))
     return measured.withColumn(b, verdict(F.col(m), rules)), m, b
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that break no rule, with the columns they came with."""
     # One expression: as columns, the measures would be made anew for every rule when the filter moves below them.
-    broken = let(measures(F.col(f"`{text_col}`")), lambda m: verdict(m, rules))
+    broken = let(measures(quoted(text_col)), lambda m: verdict(m, rules))
     return docs.where(F.size(broken) == 0)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import chat, exact, minhash, oracles, packing, pii, piece_codec, quality, recompress, sharding, token_counts
+from spendlake.llm import (
+    chat, decontaminate, exact, merkle, minhash, oracles, packing, pii, piece_codec, quality, recompress, resample, sharding, token_counts,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +88,36 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(more)))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents by source, and whether each row still proves its place after some lost their line ends."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _documents(spark, sf_dir).select(*columns)
+    hit = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 2 == 0
+    changed = F.when(hit, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    tampered = merkle.digest([*[F.col(c) for c in columns[:-1]], changed]).alias("tampered")
+    found = merkle.manifest(docs, columns, carry=[tampered])
+    folded = merkle.fold(F.col("tampered"), F.col("path"))
+    out = found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by importance towards the benchmark, and a twentieth of those of 20 words drawn."""
+    return resample.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten words of a benchmark item."""
+    found = decontaminate.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_shards": op2_shards,
@@ -97,6 +129,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_piece_codec": op9_piece_codec,
     "op10_chat": op10_chat,
+    "op11_merkle": op11_merkle,
+    "op12_resample": op12_resample,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 #: Checksums (op2), tokenizer files (op6, op7, op9) and a trained classifier (op4) are beyond SQL: tests check these by brute force.
@@ -106,4 +141,7 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": oracles.OP5,
     "op8_repeats": oracles.OP8,
     "op10_chat": oracles.OP10,
+    "op11_merkle": oracles.OP11,
+    "op12_resample": oracles.OP12,
+    "op13_decontaminate": oracles.OP13,
 }

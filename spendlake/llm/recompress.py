@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import BITMAP_BITS, flag_keys, key_bitmap, placed, small_batches, stored
+from spendlake.llm.common import BITMAP_BITS, flag_keys, key_bitmap, placed, quoted, small_batches, stored
 from spendlake.llm.minhash import WordHashes, mixed
 
 WINDOW = 13
@@ -273,7 +273,7 @@ def covered(n_words: int, starts: list[int] | np.ndarray, size: int = WINDOW) ->
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_words``, ``n_removed`` and ``kept_text``, the kept words joined by spaces."""
-    picked = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    picked = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     rows = placed(picked, "_at")
     known, later = find_repeats(rows)
     later = stored(later, "repeat-starts")

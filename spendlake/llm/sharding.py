@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import fresh, stored
+from spendlake.llm.common import fresh, quoted, stored
 
 #: Bytes that a row costs besides its text.
 OVERHEAD = 16
@@ -32,11 +32,11 @@ def assign(
 
     The columns named in ``carry`` come along as one struct column ``carried``.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.coalesce(quoted(text_col), F.lit(""))
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_at"),
+        quoted(id_col).alias("_id"), F.monotonically_increasing_id().alias("_at"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"), F.crc32(F.encode(text, "UTF-8")).alias("_crc"),
-        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
+        *([F.struct(*[quoted(c) for c in carry]).alias("carried")] if carry else []),
     )
     # The place in the input is part of the range key, so that one id on many rows does not fill one range.
     ranges = stored(rows.repartitionByRange("_id", "_at").withColumn("_range", F.spark_partition_id()), "shard-ranges")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.llm import wordbpe
-from spendlake.llm.common import small_batches
+from spendlake.llm.common import quoted, small_batches
 
 #: Postings a task gathers before it hands them on, and rows of a block.
 GATHERED, BLOCK_ROWS = 2_000_000, 1 << 16
@@ -152,7 +152,7 @@ def added_up(sums: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_bytes`` and ``n_tokens``."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("_at"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")
+        F.monotonically_increasing_id().alias("_at"), quoted(id_col).alias("_id"), quoted(text_col).alias("_text")
     )
     destinations = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings(rows, tokenizer_path, destinations).repartitionById(destinations, F.col("to"))

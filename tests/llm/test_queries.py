@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from spendlake.llm import packing, pii, piece_codec
 from spendlake.llm.queries import ORACLES, QUERIES
 
-TABLES = ("documents", "conversations")
+TABLES = ("documents", "conversations", "benchmark")
 
 
 @pytest.fixture(scope="module")
