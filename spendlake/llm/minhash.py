@@ -37,8 +37,8 @@ from spendlake.llm.common import flag_keys, fresh, key_bitmap, placed, quoted, s
 from spendlake.llm.components import components
 
 BANDS, ROWS = 32, 5
-#: Words a worker remembers the hash of; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Words a worker remembers the hash of during a task; beyond it the memory starts anew.
+REMEMBERED = 300_000
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -158,6 +158,7 @@ def _sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 ],
                 names=["_at", "_id", "n", "set_key", "bands", "bitmap"],
             )
+        _HASHES.clear()  # the worker lives on in other stages
 
     kind = docs.schema["_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"_at long, _id {kind}, n long, set_key binary, bands array<long>, bitmap binary")
@@ -171,6 +172,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, size).tobytes() for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array(sets, pa.binary())], names=["_at", "shingles"])
+        _HASHES.clear()
 
     return near.select("_at", "_text").mapInArrow(run, "_at long, shingles binary")
 

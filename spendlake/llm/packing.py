@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlake.llm import wordbpe
 from spendlake.llm.common import quoted, small_batches, stored
@@ -130,39 +131,42 @@ def pieces(
     the task that cut it and its number among that task's pieces of its length."""
     small_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, _task long, _nth long" + ", ids array<int>" * with_ids
+    fields = [T.StructField("_id", rows.schema["_id"].dataType), T.StructField("piece", T.IntegerType())]
+    fields += [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "_task", "_nth")]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, task = wordbpe.pool(tokenizer_path), TaskContext.get().partitionId()
-        seen: dict[int, int] = defaultdict(int)
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids, per_text = pool.encode(batch.column("_text").to_pylist())
-            ids, ends = ids.astype("<u4"), np.cumsum(per_text)
-            out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "crc", "nth", "ids")}
-            for i, (end, many) in enumerate(zip(ends.tolist(), per_text.tolist(), strict=True)):
-                own = np.append(ids[end - many : end], np.uint32(end_id)).astype("<u4")
-                for p, at in enumerate(range(0, len(own), capacity)):
-                    part = own[at : at + capacity]
-                    out["row"].append(i)
-                    out["piece"].append(p)
-                    out["start"].append(at)
-                    out["length"].append(len(part))
-                    out["crc"].append(zlib.crc32(part.tobytes()))
-                    out["nth"].append(seen[len(part)])
-                    if with_ids:
-                        out["ids"].append(part.astype(np.int32))
-                    seen[len(part)] += 1
+            flat = np.insert(ids, np.cumsum(per_text), end_id).astype("<u4")
+            size = per_text + 1
+            many = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(size[row] - start, capacity)
+            ends = np.cumsum(length)
+            raw = memoryview(flat).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            first = np.searchsorted(length[order], length)  # pieces of the batch that are shorter
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            nth = seen[length] + place - first
+            seen += np.bincount(length, minlength=capacity + 1)
             columns = [
-                batch.column("_id").take(pa.array(out["row"], pa.int64())), pa.array(out["piece"], pa.int32()),
-                *(pa.array(out[k], pa.int64()) for k in ("start", "length", "crc")),
-                pa.array(np.full(len(out["row"]), task), pa.int64()), pa.array(out["nth"], pa.int64()),
+                batch.column("_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                pa.array(crc, pa.int64()), pa.array(np.full(len(row), task), pa.int64()), pa.array(nth),
             ]
             if with_ids:
-                columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat.view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, T.StructType(fields))
 
 
 def place_pieces(cut: DataFrame, capacity: int) -> DataFrame:
@@ -175,14 +179,16 @@ def place_pieces(cut: DataFrame, capacity: int) -> DataFrame:
     intervals = plan(counts, capacity)
     numbered = cut.join(starts, ["length", "_task"]).withColumn("_number", F.col("_before") + F.col("_nth"))
 
-    def places(frames: Iterator) -> Iterator:
-        for f in frames:
-            f["sequence_id"], f["offset"] = find_places(intervals, f["length"].to_numpy(), f["_number"].to_numpy())
-            yield f.drop(columns="_number")
-
     kept = numbered.drop("_before", "_task", "_nth")
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.drop("_number").dtypes) + ", sequence_id long, `offset` long"
-    return kept.mapInPandas(places, schema)
+    names = [c for c in kept.columns if c != "_number"]
+    fields = [*(kept.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = find_places(intervals, np.asarray(batch.column("length")), np.asarray(batch.column("_number")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, found)], names=[*names, "sequence_id", "offset"])
+
+    return kept.mapInArrow(places, T.StructType(fields))
 
 
 def pack(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -20,8 +21,10 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
-#: Distinct pre-tokens a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 300_000
+#: Bytes of pre-tokens and ids that a worker remembers; beyond it the memory starts anew, which costs time only.
+REMEMBERED = 40 << 20
+#: Bytes that a remembered pre-token takes besides its characters and ids.
+OVERHEAD = 180
 
 
 def _printable_bytes() -> dict[int, str]:
@@ -79,28 +82,50 @@ class IdPool(dict):
     def __init__(self, tokenizer: WordTokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.clear()
-        self._ids: list[int] = []
-        self._starts = [0]
+        self._ids, self._ends = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64)
+        self._used, self._size = 0, 0
+        self._new: list[list[int]] = []
 
     def __missing__(self, token: str) -> int:
-        self._ids += self.tokenizer.ids(token)
-        self._starts.append(len(self._ids))
-        self[token] = n = len(self._starts) - 2
+        own = self.tokenizer.ids(token)
+        self._new.append(own)
+        self._size += OVERHEAD + len(token) + 4 * len(own)
+        self[token] = n = len(self)
         return n
 
+    def _take_in(self) -> None:
+        """Put the ids of new pre-tokens behind the others. The arrays grow by doubling."""
+        if not self._new:
+            return
+        before = len(self) - len(self._new)
+        ends = self._used + np.cumsum(np.fromiter(map(len, self._new), np.int64, len(self._new)))
+        self._ids = _grown(self._ids, self._used, int(ends[-1]))
+        self._ends = _grown(self._ends, before + 1, len(self) + 1)
+        self._ids[self._used : ends[-1]] = np.fromiter(chain.from_iterable(self._new), np.uint32, int(ends[-1]) - self._used)
+        self._ends[before + 1 : len(self) + 1] = ends
+        self._used, self._new = int(ends[-1]), []
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
-        if len(self) > REMEMBERED:
-            self._reset()
+        if self._size > REMEMBERED:
+            self.reset()
         words = [self.tokenizer.split(t) if t else [] for t in texts]
-        n = sum(map(len, words))
-        codes = np.fromiter((self[w] for ws in words for w in ws), np.int64, n)
-        starts = np.asarray(self._starts, np.int64)
-        return gathered(np.asarray(self._ids, np.uint32), starts, codes, np.fromiter(map(len, words), np.int64, len(words)))
+        per_text = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
+        self._take_in()
+        return gathered(self._ids, self._ends, codes, per_text)
+
+
+def _grown(array: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    if wanted <= len(array):
+        return array
+    out = np.zeros(2 * wanted, array.dtype)
+    out[:used] = array[:used]
+    return out
 
 
 def gathered(pool: np.ndarray, starts: np.ndarray, codes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
