@@ -15,6 +15,8 @@ symbol is one of the window's own.
 
 Defined results:
 * null or empty text: no words; a text shorter than a window has no window and is kept whole;
+* very long texts are worked on in slices; what a task holds besides a text is bounded (the kept words of a text that loses some are
+  held at once);
 * windows are judged on the input: a removed window still counts as the first place of its words;
 * only a smaller id makes a repeat: rows with the same id do not remove each other's words, nor does a window repeated
   inside one text; null ids come after all others and are equal to each other;
@@ -25,7 +27,8 @@ Rows are named by file and row number (:func:`common.placed`), so the jobs may s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlake.llm.alnum import slices
 from spendlake.llm.common import BITMAP_BITS, flag_keys, key_bitmap, placed, quoted, small_batches, stored
 from spendlake.llm.minhash import WordHashes, mixed
 
@@ -50,8 +54,23 @@ _HASHES = WordHashes()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_as_hashes(text: str | None) -> np.ndarray:
-    return _HASHES.of((text or "").encode().split())
+#: White space, as it separates words, as spaces.
+_BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+
+
+def word_slices(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, a bounded number of bytes at a time."""
+    for piece in slices((text or "").encode().translate(_BLANKS)):
+        yield piece.split()
+
+
+def whole_name(text: str | None) -> tuple[int, bytes]:
+    """How many words a text has, and the name of all of them."""
+    n, name = 0, xxhash.xxh3_128()
+    for piece in word_slices(text):
+        n += len(piece)
+        name.update(_HASHES.of(piece).tobytes())
+    return n, name.digest()
 
 
 def window_names(words: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -130,7 +149,7 @@ def anchors(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     for span, low, needs in _symbols(words, doc):
         ok = (needs > 0) & (needs <= WINDOW) & (span >= LEAST_SPAN)
         span, low, needs = span[ok], low[ok], needs[ok]
-        np.maximum.at(own, (needs, low), (span.astype(np.uint64) << np.uint64(56)) | (passage(low, needs) >> np.uint64(8)))
+        np.maximum.at(own.reshape(-1), needs * n + low, (span.astype(np.uint64) << np.uint64(56)) | (passage(low, needs) >> np.uint64(8)))
     best = own[1]
     for w in range(2, WINDOW + 1):
         best = np.maximum(np.maximum(best, np.r_[best[1:], np.uint64(0)]), own[w])
@@ -138,26 +157,39 @@ def anchors(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.where(bare, (np.uint64(WINDOW) << np.uint64(56)) | (window_names(words) >> np.uint64(8)), best)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts with a window, some together: their numbers, words, the text of each word, and whether a window begins there."""
+_Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _blocks(texts: list[str | None]) -> Iterator[_Block]:
+    """Texts with a window, some together: per part the number of its text and the place of its first word in it; per word its hash,
+    its part, and whether a window begins there. A long text is several parts that overlap by all but one word of a window: what
+    a window owns depends on its own words alone, so it is the same in every cut."""
     rows: list[int] = []
+    bases: list[int] = []
     parts: list[np.ndarray] = []
+    size = 0
 
-    def block() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    def block() -> _Block:
         sizes = np.asarray([len(p) for p in parts])
         ends = np.repeat(np.cumsum(sizes), sizes)
         words = np.concatenate(parts)
-        return rows, words, np.repeat(np.arange(len(parts)), sizes), np.arange(len(words)) + WINDOW <= ends
+        part = np.repeat(np.arange(len(parts)), sizes)
+        return np.asarray(rows), np.asarray(bases), words, part, np.arange(len(words)) + WINDOW <= ends
 
     for i, text in enumerate(texts):
-        words = words_as_hashes(text)
-        if len(words) < WINDOW:
-            continue
-        rows.append(i)
-        parts.append(words)
-        if sum(map(len, parts)) > TOGETHER:
-            yield block()
-            rows, parts = [], []
+        base, carried = 0, np.zeros(0, np.uint64)
+        for piece in word_slices(text):
+            words = np.concatenate([carried, _HASHES.of(piece)])
+            if len(words) >= WINDOW:
+                rows.append(i)
+                bases.append(base)
+                parts.append(words)
+                size += len(words)
+            cut = max(0, len(words) - WINDOW + 1)
+            base, carried = base + cut, words[cut:]
+            if size > TOGETHER:
+                yield block()
+                rows, bases, parts, size = [], [], [], 0
     if parts:
         yield block()
 
@@ -167,12 +199,13 @@ def _root_names(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_as_hashes(t) for t in batch.column("_text").to_pylist()]
-            roots = pa.array([xxhash.xxh3_128_digest(w.tobytes()) if len(w) >= WINDOW else None for w in words], pa.binary())
+            names = [whole_name(t) for t in batch.column("_text").to_pylist()]
+            roots = pa.array([name if n >= WINDOW else None for n, name in names], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_at"), batch.column("_id"), pa.array([len(w) for w in words], pa.int64()), roots],
+                [batch.column("_at"), batch.column("_id"), pa.array([n for n, _ in names], pa.int64()), roots],
                 names=["_at", "_id", "n_words", "root"],
             )
+        _HASHES.clear()  # the worker lives on in other stages
 
     return docs.mapInArrow(run, f"_at long, _id {docs.schema['_id'].dataType.simpleString()}, n_words long, root binary")
 
@@ -183,16 +216,17 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.asarray(batch.column("_at"))
-            for rows, words, doc, begins in _blocks(batch.column("_text").to_pylist()):
-                found, doc = anchors(words, doc)[begins], doc[begins]
+            for rows, _, words, part, begins in _blocks(batch.column("_text").to_pylist()):
+                found, doc = anchors(words, part)[begins], rows[part[begins]]
                 new = np.r_[True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]
                 found, doc = found[new], doc[new]
                 order = np.lexsort((found, doc))
                 found, doc = found[order], doc[order]
                 new = np.r_[True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[new].view(np.int64)), pa.array(at[np.asarray(rows)[doc[new]]])], names=["anchor", "_at"]
+                    [pa.array(found[new].view(np.int64)), pa.array(at[doc[new]])], names=["anchor", "_at"]
                 )
+        _HASHES.clear()
 
     return docs.select("_at", "_text").mapInArrow(run, "anchor long, _at long")
 
@@ -216,23 +250,25 @@ def _window_rows(docs: DataFrame, shared: bytes) -> DataFrame:
         bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             at = np.asarray(batch.column("_at"))
-            for rows, words, doc, begins in _blocks(batch.column("_text").to_pylist()):
-                key, hit = anchors(words, doc).view(np.int64), begins
+            for rows, bases, words, part, begins in _blocks(batch.column("_text").to_pylist()):
+                key, hit = anchors(words, part).view(np.int64), begins
                 for probe in PROBES:
                     at_bit = key >> probe & BITMAP_BITS - 1
                     hit = hit & (bits[at_bit >> 3] >> (at_bit & 7).astype(np.uint8) & 1).astype(bool)
                 hit = np.flatnonzero(hit)
                 if not len(hit):
                     continue
-                row = np.asarray(rows)[doc[hit]]
-                first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                own = part[hit]
+                row = rows[own]
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(window_names(words)[hit].view(np.int64)), pa.array(at[row]), batch.column("_id").take(pa.array(row)),
-                        pa.array((hit - first[doc[hit]]).astype(np.int32)),
+                        pa.array((hit - first[own] + bases[own]).astype(np.int32)),
                     ],
                     names=["window", "_at", "_id", "pos"],
                 )
+        _HASHES.clear()
 
     return docs.mapInArrow(run, f"window long, _at long, _id {kind}, pos int")
 
@@ -271,6 +307,11 @@ def covered(n_words: int, starts: list[int] | np.ndarray, size: int = WINDOW) ->
     return np.cumsum(step)[:n_words] > 0
 
 
+def _joined(words: Iterable[bytes]) -> tuple[str, int]:
+    own = list(words)
+    return b" ".join(own).decode(), len(own)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_words``, ``n_removed`` and ``kept_text``, the kept words joined by spaces."""
     picked = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
@@ -286,13 +327,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in ("_text", "starts", "whole")]
             for text, starts, whole in zip(*columns, strict=True):
-                words = (text or "").encode().split()
-                n = len(words)
-                if whole:
-                    out.append((n, n, ""))
+                if not starts:
+                    words = (w for piece in word_slices(text) for w in piece)
+                    kept, n = ("", sum(1 for _ in words)) if whole else _joined(words)
+                    out.append((n, n if whole else 0, kept))
                     continue
-                gone = covered(n, starts or [])
-                out.append((n, int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()))
+                n = sum(map(len, word_slices(text)))
+                gone = covered(n, starts)
+                kept, left = _joined(compress((w for piece in word_slices(text) for w in piece), ~gone))
+                out.append((n, n - left, kept))
             n, removed, kept = zip(*out, strict=True) if out else ((), (), ())
             arrays = [batch.column("_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["_id", "n_words", "n_removed", "kept_text"])

@@ -208,3 +208,29 @@ def test_find_and_remove(spark, table, monkeypatch, bound):
     assert Counter(r["doc_id"] for r in whole.collect()) == Counter([2, 3, None])
     assert decontaminate.find(table(), bench).count() == 0
     assert not any(r["items"] for r in decontaminate.find(docs, table().withColumnRenamed("doc_id", "item_id")).collect())
+
+
+# Long texts in the search for repeats
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=120).map(" ".join), min_size=1, max_size=3), st.integers(1, 60))
+def test_anchors_do_not_depend_on_the_slices(texts, size):
+    from spendlake.llm import recompress
+
+    def found():
+        return {
+            (int(rows[p]), int(i - first[p] + bases[p])): int(a)
+            for rows, bases, words, part, begins in recompress._blocks(texts)
+            for first in [np.r_[0, np.flatnonzero(np.diff(part)) + 1]]
+            for i, (a, p) in enumerate(zip(recompress.anchors(words, part), part.tolist(), strict=True)) if begins[i]
+        }
+
+    want = found()
+    before = recompress.TOGETHER
+    recompress.TOGETHER, alnum.slices.__defaults__ = size, (size,)
+    try:
+        got = found()
+    finally:
+        recompress.TOGETHER, alnum.slices.__defaults__ = before, (alnum.SLICE,)
+    assert got == want
