@@ -160,7 +160,7 @@ def idle_insights(idle: DataFrame) -> DataFrame:
         category="idle_resource", severity="medium",
         title=F.when(F.col("provider") == "aws", F.format_string(IDLE_FOUND, "n", amount(cost)))
         .otherwise(F.format_string(IDLE_OTHERS, "n", provider_label())),
-        description=F.format_string("%d resources cost $%s with minimal usage.", "n", amount(cost)),
+        description=F.format_string("In this window $%s went to %d resources that did next to nothing.", amount(cost), "n"),
         current_monthly_cost=cost, projected_monthly_savings=cost * IDLE_SAVINGS,
         confidence_score=0.75, risk_level="medium", action_required=True,
         recommendation=_per_provider(IDLE_ADVICE),
@@ -198,7 +198,8 @@ def idle_vms(b: DataFrame, as_of, min_cost: float = 50, max_usage: float = 2, ma
         resource_ids=F.array(F.coalesce("resource_id", F.lit(""))), service_name="Virtual Machine",
         region=F.col("region_id"), current_monthly_cost=cost,
         projected_monthly_savings=F.round(cost * IDLE_SAVINGS, 4), confidence_score=0.75,
-        recommendation="Check CPU over 14 days; stop or downsize when it stays under 5%.",
+        recommendation=F.format_string(
+            "Worth up to $%s a month: switch the machine off once its owner agrees, or give it a smaller size.", amount(cost * IDLE_SAVINGS, 0)),
         action_type="stop", risk_level="low", action_required=True,
     )
 
@@ -222,7 +223,8 @@ def aws_commitment_gap(b: DataFrame, as_of, min_cost: float = 500, days: int = 3
         description=F.format_string(GAP_TEXT, amount(cost), "service_name"),
         service_name=F.col("service_name"), current_monthly_cost=cost,
         projected_monthly_savings=F.round(cost * COMMITMENT_SAVINGS, 4), confidence_score=0.85,
-        recommendation="Buy convertible reservations for the baseline.",
+        recommendation=F.format_string(
+            "Commit to the share of %s that never stops; about $%s a month.", "service_name", amount(cost * COMMITMENT_SAVINGS, 0)),
         action_type="purchase-commitment", risk_level="low", action_required=True,
     )
 
@@ -248,7 +250,7 @@ def azure_hybrid_benefit(b: DataFrame, as_of, min_cost: float = 100, days: int =
         resource_ids=F.array(F.coalesce("resource_id", F.lit(""))), service_name="Virtual Machine",
         region=F.col("region_id"), current_monthly_cost=cost,
         projected_monthly_savings=F.round(cost * HYBRID_SAVINGS, 4), confidence_score=0.80,
-        recommendation="Enable the hybrid benefit where licences allow it.",
+        recommendation=F.format_string("Report licences already paid for; about $%s a month.", amount(cost * HYBRID_SAVINGS, 0)),
         action_type="right-size", risk_level="low", action_required=True,
     )
 
@@ -263,7 +265,7 @@ def gcp_cud_gap(b: DataFrame, as_of, min_cost: float = 200, days: int = 30, limi
         resource_ids=F.array(F.coalesce("resource_id", F.lit(""))), service_name="Virtual Machine",
         region=F.col("region_id"), current_monthly_cost=cost,
         projected_monthly_savings=F.round(cost * CUD_SAVINGS, 4), confidence_score=0.82,
-        recommendation="Buy a 1-year CUD for steady workloads.",
+        recommendation=F.format_string("Commit for a year if the machine is to stay; about $%s a month.", amount(cost * CUD_SAVINGS, 0)),
         action_type="purchase-commitment", risk_level="low", action_required=True,
     )
 
@@ -294,7 +296,7 @@ def coverage_insights(coverage: DataFrame) -> DataFrame:
         agent=F.concat("provider", F.lit("_cost_agent")), provider=F.col("provider"),
         category="commitment_gap", severity="medium",
         title=F.concat(_per_provider(COVERAGE_TITLE), pct, F.lit("%")),
-        description=F.concat(pct, F.lit("% of spend is committed. Opportunity: $"), amount("opportunity")),
+        description=F.concat(F.lit("$"), amount("opportunity"), F.lit(" could still be committed beyond "), pct, F.lit("% of the cost.")),
         current_monthly_cost=F.col("total_effective_cost"),
         projected_monthly_savings=F.round(F.col("opportunity") * _per_provider(COVERAGE_SAVINGS), 4),
         confidence_score=0.8, risk_level="low", action_required=True,
@@ -330,7 +332,7 @@ def tag_coverage_insights(coverage: DataFrame) -> DataFrame:
         category="tag_compliance", severity="low",
         title=F.concat(_per_provider(TAG_TITLE), pct,
                        F.when(F.col("provider") == "aws", "% have team tags").otherwise("%")),
-        description=F.concat(F.col("untagged_records").cast("string"), F.lit(" records carry no tag at all.")),
+        description=F.format_string("%d charges without any tag come to $%s.", "untagged_records", amount("untagged_cost")),
         confidence_score=0.85, risk_level="low", action_required=True,
         recommendation=_per_provider(TAG_ADVICE),
         action_type="tag", coverage_pct=F.col("team_tag_coverage_pct"),
@@ -449,13 +451,13 @@ def inventory_insights(inventory: DataFrame) -> DataFrame:
     halted = as_insights(
         machines.filter(stopped > 0), **common, category="idle_resource", severity="low",
         title=F.format_string(STOPPED_TITLE, stopped),
-        description=F.concat(stopped.cast("string"), F.lit(" stopped instances still pay for their volumes.")),
+        description=F.format_string("%d machines are switched off and keep their disks.", stopped),
         projected_monthly_savings=stopped * STOPPED_SAVINGS, confidence_score=0.7, risk_level="low",
         recommendation=STOPPED_ADVICE, action_type="stop")
     outdated = as_insights(
         machines.filter(old > 0), **common, category="right_size", severity="medium",
         title=F.format_string(OLD_TITLE, old),
-        description=F.concat(old.cast("string"), F.lit(" instances on older types: "), F.col("types")),
+        description=F.format_string("%d machines are of a type that has a successor: %s.", old, "types"),
         projected_monthly_savings=old * OLD_GENERATION_SAVINGS, confidence_score=0.75, risk_level="medium",
         recommendation=OLD_ADVICE, action_type="right-size")
     return union_insights(halted, outdated)

@@ -252,16 +252,17 @@ def anomaly_metrics(anomalies: DataFrame) -> DataFrame:
     })
 
 
-def anomaly_insights(anomalies: DataFrame) -> DataFrame:
+def anomaly_insights(anomalies: DataFrame, provider: Column | str = "multi") -> DataFrame:
+    """One insight per anomaly. ``provider`` says whose costs the series are: ``F.col("key")`` if there is one series per provider."""
     return as_insights(
         anomalies,
-        agent="anomaly_agent", provider=F.col("key"), category="general", severity=F.col("severity"),
+        agent="anomaly_agent", provider=provider, category="general", severity=F.col("severity"),
         title=F.format_string(ANOMALY_TITLE, F.upper("key")),
-        description=F.concat(F.lit("Unexpected cost on "), F.date_format("ds", "yyyy-MM-dd"), F.lit(": $"),
-                             amount("actual_cost"), F.lit(" (expected $"), amount("expected_cost"), F.lit(").")),
+        description=F.format_string("%s: $%s where about $%s was to be expected, %s%% off.", F.date_format("ds", "yyyy-MM-dd"),
+                                    amount("actual_cost"), amount("expected_cost"), amount("deviation_percent", 1)),
         resource_ids=F.array(F.date_format("ds", "yyyy-MM-dd")),
         current_monthly_cost=F.col("actual_cost"), projected_monthly_savings=0.0,
-        confidence_score=F.col("confidence"), recommendation="Look for misconfigured or unauthorised usage.",
+        confidence_score=F.col("confidence"), recommendation=F.concat(F.lit("Compare the charges of "), F.date_format("ds", "yyyy-MM-dd"), F.lit(" with those of the week before.")),
         action_type="investigate", risk_level="high",
     )
 
@@ -271,11 +272,11 @@ def breach_insights(breaches: DataFrame, horizon: int) -> DataFrame:
         breaches,
         agent="forecasting_agent", provider="multi", category="general", severity=F.col("severity"),
         title=F.format_string(BREACH_TITLE, "key"),
-        description=F.concat(F.lit("Projected $"), amount("projected_total_cost"), F.lit(" vs budget $"),
-                             amount("budget"), F.lit(f" over next {horizon} days.")),
+        description=F.format_string(f"The coming {horizon} days come to $%s, %s%% above the budget of $%s.", amount("projected_total_cost"),
+                                    amount("overrun_pct", 1), amount("budget")),
         service_name=F.col("key"), current_monthly_cost=F.col("projected_total_cost"),
         projected_monthly_savings=0.0, confidence_score=0.85,
-        recommendation="Review scaling, commit to reserved capacity, or adjust the budget.",
+        recommendation=F.format_string("Save $%s in that time, or raise the budget.", amount(F.col("projected_total_cost") - F.col("budget"))),
         action_type="investigate", risk_level="medium",
     )
 

@@ -41,24 +41,24 @@ def every_insight(b: DataFrame, as_of, days: int = 30, thresholds: dict[str, flo
                   idle_cost: float = 10.0, level: float = 0.95, horizon: int = 90, series_days: int = 180) -> DataFrame:
     """The findings of every detector as one table, none cut.
 
-    Resource findings, idle resources, commitment and tag coverage, general spend, anomalies of the services' daily cost,
+    Resource findings, idle resources, commitment and tag coverage, general spend, anomalies of the providers' daily cost,
     and, where their inputs are given, the inventory, the providers' own advice, and forecasts above ``plans`` (key, budget).
     """
-    daily = series.cost_series(b, "service", as_of, max(days, series_days))
+    since = max(days, series_days)
     parts = [
         find_insights(b, as_of, days, None, thresholds),
         detectors.idle_insights(detectors.idle_resources(b, as_of, idle_cost, days=days)),
         detectors.coverage_insights(detectors.commitment_coverage(b, as_of, days)),
         detectors.tag_coverage_insights(detectors.tag_coverage(b, as_of, days)),
         detectors.spend_insights(b, as_of, days),
-        series.anomaly_insights(series.interval_anomalies(daily, level)),
+        series.anomaly_insights(series.interval_anomalies(series.cost_series(b, "total", as_of, since), level), F.col("key")),
     ]
     if inventory is not None:
         parts.append(detectors.inventory_insights(inventory))
     if advice is not None:
         parts.append(detectors.native_recommendations(advice))
     if plans is not None:
-        totals = series.forecast_totals(series.forecast(daily, horizon, level))
+        totals = series.forecast_totals(series.forecast(series.cost_series(b, "service", as_of, since), horizon, level))
         parts.append(series.breach_insights(series.forecast_breaches(totals, plans), horizon))
     return detectors.union_insights(*parts)
 
@@ -73,13 +73,17 @@ class Analysis:
     report: DataFrame
 
 
-def analyse(b: DataFrame, as_of, days: int = 30, limit: int | None = None,
-            thresholds: dict[str, float] | None = None, extra: list[DataFrame] | None = None) -> Analysis:
-    """The whole run over a staged billing table; ``extra`` adds insights of other detectors."""
-    found = find_insights(b, as_of, days, limit, thresholds)
+def analyse(b: DataFrame, as_of, days: int = 30, thresholds: dict[str, float] | None = None, extra: list[DataFrame] | None = None,
+            **inputs) -> Analysis:
+    """The whole run over a staged billing table: every detector's findings are merged, ranked and checked.
+
+    ``inputs`` go to ``every_insight`` (inventory, advice, plans, ...); ``extra`` adds insights of other detectors. An insight that is found
+    twice, here and in ``extra``, counts once.
+    """
+    found = every_insight(b, as_of, days, thresholds, **inputs)
     if extra:
-        found = detectors.union_insights(found, *extra)
-    unique = recommend.dedup_insights(found)
+        found = detectors.union_insights(found, *extra).dropDuplicates(["insight_id"])
+    unique = stored(recommend.dedup_insights(found), "unique-insights")
     recs = recommend.prioritise(recommend.recommend(unique))
     return Analysis(
         insights=unique.orderBy(F.desc("projected_monthly_savings"), "insight_id"),

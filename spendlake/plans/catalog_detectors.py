@@ -16,20 +16,25 @@ from spendlake.sources.driver_tables import Tables
 # Thresholds scaled to the amounts of the driver tables, so that each test keeps and drops rows.
 LIMITS = {"idle": 150000, "gap": 10_000_000, "hybrid": 200000, "cud": 150000, "tag": 100000}
 
-def flat(insights, with_id: bool = False):
+def flat(insights, with_id: bool = False, texts: bool = False):
+    """The columns that the checks compare; ``texts`` adds what is written for people."""
     return insights.select(
         *(["insight_id"] if with_id else []),
         "agent", "provider", "category", "severity", "title", F.concat_ws(",", "resource_ids").alias("resource_id"),
         "service_name", "region", F.round("current_monthly_cost", 4).alias("current_monthly_cost"),
         F.round("projected_monthly_savings", 4).alias("projected_monthly_savings"), "confidence_score",
-        "action_type", "risk_level")
+        "action_type", "risk_level", *(["description", "recommendation"] if texts else []))
 
 
-def SHOW(agent, provider, category, severity, title, resource, service, region, cost, savings, confidence, action, risk):
+def SHOW(agent, provider, category, severity, title, resource, service, region, cost, savings, confidence, action, risk, text=None, advice=None):
     return (f"{agent} AS agent, {provider} AS provider, {category} AS category, {severity} AS severity, {title} AS title, "
             f"{resource} AS resource_id, {service} AS service_name, {region} AS region, {cost} AS current_monthly_cost, "
             f"round({savings}, 4) AS projected_monthly_savings, CAST({confidence} AS DOUBLE) AS confidence_score, "
-            f"{action} AS action_type, {risk} AS risk_level")
+            f"{action} AS action_type, {risk} AS risk_level" + (f", {text} AS description, {advice} AS recommendation" if text else ""))
+
+
+def USD(amount, places=2):
+    return f"format('{{:,.{places}f}}', {amount})"
 
 
 VM = "service_name = 'Virtual Machine'"
@@ -37,26 +42,34 @@ RES = "resource_id, resource_name, region_id"
 
 IDLE_SQL = f"""SELECT {SHOW("'aws_cost_agent'", "'aws'", "'idle_resource'", "'high'",
   "concat('Potentially idle EC2: ', coalesce(resource_id, 'unknown'))", "coalesce(resource_id, '')", "'Virtual Machine'",
-  "region_id", "monthly_cost", "monthly_cost * 0.8", 0.75, "'stop'", "'low'")} FROM (
- SELECT {RES}, {S('effective_cost')} AS monthly_cost FROM b WHERE provider_name = 'aws' AND {VM} GROUP BY ALL
+  "region_id", "monthly_cost", "monthly_cost * 0.8", 0.75, "'stop'", "'low'",
+  "concat('EC2 ', resource_name, ' in ', region_id, ' has low usage (', format('{:.2f}', use), ' hrs/day) but costs $', format('{:.2f}', monthly_cost), '/month.')",
+  f"concat('Worth up to $', {USD('monthly_cost * 0.8', 0)}, ' a month: switch the machine off once its owner agrees, or give it a smaller size.')")} FROM (
+ SELECT {RES}, {S('effective_cost')} AS monthly_cost, avg(usage_quantity) AS use FROM b WHERE provider_name = 'aws' AND {VM} GROUP BY ALL
  HAVING monthly_cost > {LIMITS['idle']} AND avg(usage_quantity) < 2 AND stddev_pop(usage_quantity) < 1)"""
 
 GAP_SQL = f"""SELECT {SHOW("'aws_cost_agent'", "'aws'", "'commitment_gap'", "'medium'",
   "concat('Commitment gap: ', service_name)", "''", "service_name", "CAST(NULL AS VARCHAR)", "monthly_cost",
-  "monthly_cost * 0.35", 0.85, "'purchase-commitment'", "'low'")} FROM (
+  "monthly_cost * 0.35", 0.85, "'purchase-commitment'", "'low'",
+  f"concat('$', {USD('monthly_cost')}, '/month on ', service_name, ' with no RIs/SPs. Potential 30-40% savings.')",
+  f"concat('Commit to the share of ', service_name, ' that never stops; about $', {USD('monthly_cost * 0.35', 0)}, ' a month.')")} FROM (
  SELECT service_name, {S('effective_cost')} AS monthly_cost FROM b WHERE provider_name = 'aws'
  AND commitment_discount_id IS NULL AND service_name IN ('Virtual Machine', 'Relational Database') GROUP BY ALL
  HAVING monthly_cost > {LIMITS['gap']})"""
 
 HYBRID_SQL = f"""SELECT {SHOW("'azure_cost_agent'", "'azure'", "'right_size'", "'medium'",
   "concat('AHUB opportunity: ', coalesce(resource_name, 'unknown'))", "coalesce(resource_id, '')", "'Virtual Machine'",
-  "region_id", "monthly_cost", "monthly_cost * 0.4", 0.8, "'right-size'", "'low'")} FROM (
+  "region_id", "monthly_cost", "monthly_cost * 0.4", 0.8, "'right-size'", "'low'",
+  f"concat('Azure VM ', resource_name, ' costs $', {USD('monthly_cost')}, '/month. Enable Azure Hybrid Benefit for ~40% savings.')",
+  f"concat('Report licences already paid for; about $', {USD('monthly_cost * 0.4', 0)}, ' a month.')")} FROM (
  SELECT {RES}, {S('effective_cost')} AS monthly_cost FROM b WHERE provider_name = 'azure' AND {VM} GROUP BY ALL
  HAVING monthly_cost > {LIMITS['hybrid']})"""
 
 CUD_SQL = f"""SELECT {SHOW("'gcp_cost_agent'", "'gcp'", "'commitment_gap'", "'medium'",
   "concat('CUD gap: ', coalesce(resource_name, 'unknown'))", "coalesce(resource_id, '')", "'Virtual Machine'",
-  "region_id", "monthly_cost", "monthly_cost * 0.3", 0.82, "'purchase-commitment'", "'low'")} FROM (
+  "region_id", "monthly_cost", "monthly_cost * 0.3", 0.82, "'purchase-commitment'", "'low'",
+  f"concat('GCE ', resource_name, ' in ', region_id, ' costs $', {USD('monthly_cost')}, '/month with no CUD. 1-year CUD saves ~28-37%.')",
+  f"concat('Commit for a year if the machine is to stay; about $', {USD('monthly_cost * 0.3', 0)}, ' a month.')")} FROM (
  SELECT {RES}, {S('effective_cost')} AS monthly_cost FROM b WHERE provider_name = 'gcp' AND {VM}
  AND commitment_discount_id IS NULL GROUP BY ALL HAVING monthly_cost > {LIMITS['cud']})"""
 
@@ -75,7 +88,9 @@ VIOLATION_SQL = f"""SELECT *, (tag_team IS NULL)::INT + (tag_env IS NULL)::INT +
 
 TAG_INSIGHT_SQL = f"""SELECT {SHOW("'tagging_agent'", "provider_name", "'tag_compliance'", "severity",
   "concat('Tag violation: ', resource_id)", "resource_id", "resource_type", "CAST(NULL AS VARCHAR)", "monthly_cost",
-  "0.0", 0.95, "'tag'", "'low'")} FROM ({VIOLATION_SQL})"""
+  "0.0", 0.95, "'tag'", "'low'",
+  "concat('Resource ', resource_id, ' in account ', billing_account_id, ' is missing tags: ', CASE WHEN missing = '' THEN 'none' ELSE replace(missing, ',', ', ') END, '.')",
+  "concat('Apply tags: ', replace(missing, ',', ', '), '.')")} FROM ({VIOLATION_SQL})"""
 
 # The union of all resource-level findings, as the recommendation checks use it.
 INSIGHTS_CTE = (f"ins AS ({IDLE_SQL} UNION ALL {GAP_SQL} UNION ALL {HYBRID_SQL} UNION ALL {CUD_SQL} "
@@ -103,29 +118,32 @@ n AS (SELECT provider, count(*) AS n, round(sum(cost), 4) AS cost FROM i GROUP B
 SELECT {SHOW("concat(provider, '_cost_agent')", "provider", "'idle_resource'", "'medium'",
   "CASE WHEN provider = 'aws' THEN concat('Found ', n, ' potentially idle resources ($', format('{:,.2f}', cost), ')') "
   "ELSE concat(n, ' potentially idle ', CASE provider WHEN 'azure' THEN 'Azure' ELSE 'GCP' END, ' resources') END",
-  "''", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "cost", "cost * 0.8", 0.75, "'stop'", "'medium'")} FROM n""")
+  "''", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "cost", "cost * 0.8", 0.75, "'stop'", "'medium'",
+  f"concat('In this window $', {USD('cost')}, ' went to ', n, ' resources that did next to nothing.')",
+  "CASE provider WHEN 'aws' THEN 'Review and stop/terminate idle resources after confirmation' WHEN 'azure' "
+  "THEN 'Review idle VMs and disks, consider deallocation' ELSE 'Review and stop idle GCE instances' END")} FROM n""")
 def _(t: Tables):
-    return flat(detectors.idle_insights(detectors.idle_resources(t.staged, END, 100, days=DAYS)))
+    return flat(detectors.idle_insights(detectors.idle_resources(t.staged, END, 100, days=DAYS)), texts=True)
 
 
 @query("d2_idle_vms", IDLE_SQL + " ORDER BY current_monthly_cost DESC, resource_id, region LIMIT 20")
 def _(t: Tables):
-    return flat(detectors.idle_vms(t.staged, END, LIMITS["idle"], days=DAYS))
+    return flat(detectors.idle_vms(t.staged, END, LIMITS["idle"], days=DAYS), texts=True)
 
 
 @query("d3_aws_commitment_gap", GAP_SQL)
 def _(t: Tables):
-    return flat(detectors.aws_commitment_gap(t.staged, END, LIMITS["gap"], days=DAYS))
+    return flat(detectors.aws_commitment_gap(t.staged, END, LIMITS["gap"], days=DAYS), texts=True)
 
 
 @query("d4_azure_hybrid_benefit", HYBRID_SQL + " ORDER BY current_monthly_cost DESC, resource_id, region LIMIT 20")
 def _(t: Tables):
-    return flat(detectors.azure_hybrid_benefit(t.staged, END, LIMITS["hybrid"], days=DAYS))
+    return flat(detectors.azure_hybrid_benefit(t.staged, END, LIMITS["hybrid"], days=DAYS), texts=True)
 
 
 @query("d5_gcp_cud_gap", CUD_SQL + " ORDER BY current_monthly_cost DESC, resource_id, region LIMIT 20")
 def _(t: Tables):
-    return flat(detectors.gcp_cud_gap(t.staged, END, LIMITS["cud"], days=DAYS))
+    return flat(detectors.gcp_cud_gap(t.staged, END, LIMITS["cud"], days=DAYS), texts=True)
 
 
 _COMMITTED = "sum(CASE WHEN commitment_discount_id IS NOT NULL THEN effective_cost ELSE 0 END)"
@@ -150,10 +168,13 @@ WITH c AS (SELECT provider_name AS provider, {S('effective_cost')} AS cost, {PCT
 SELECT {SHOW("concat(provider, '_cost_agent')", "provider", "'commitment_gap'", "'medium'",
   "concat(CASE provider WHEN 'aws' THEN 'Commitment coverage only ' WHEN 'azure' THEN 'Azure reservation coverage: ' "
   "ELSE 'CUD coverage: ' END, format('{:,.1f}', round(pct, 1)), '%')", "''", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)",
-  "cost", "opportunity * CASE provider WHEN 'aws' THEN 0.3 ELSE 0.25 END", 0.8, "'purchase-commitment'", "'low'")}
+  "cost", "opportunity * CASE provider WHEN 'aws' THEN 0.3 ELSE 0.25 END", 0.8, "'purchase-commitment'", "'low'",
+  f"concat('$', {USD('opportunity')}, ' could still be committed beyond ', format('{{:,.1f}}', round(pct, 1)), '% of the cost.')",
+  "CASE provider WHEN 'aws' THEN 'Purchase Reserved Instances or Savings Plans for stable workloads' WHEN 'azure' "
+  "THEN 'Purchase Azure Reservations for stable VM workloads' ELSE 'Purchase 1-year or 3-year CUDs for stable workloads' END")}
 FROM c WHERE pct < 70""")
 def _(t: Tables):
-    return flat(detectors.coverage_insights(detectors.commitment_coverage(t.staged, END, DAYS)))
+    return flat(detectors.coverage_insights(detectors.commitment_coverage(t.staged, END, DAYS)), texts=True)
 
 
 TAG_COVERAGE_SQL = f"""SELECT provider_name AS provider, count(*) AS total_records,
@@ -174,9 +195,12 @@ SELECT {SHOW("concat(provider, '_cost_agent')", "provider", "'tag_compliance'",
   "concat(CASE provider WHEN 'aws' THEN 'Tag compliance: ' WHEN 'azure' THEN 'Azure tag compliance: ' "
   "ELSE 'GCP label compliance: ' END, format('{:,.1f}', round(team_tag_coverage_pct, 1)), "
   "CASE provider WHEN 'aws' THEN '% have team tags' ELSE '%' END)", "''", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)",
-  "CAST(NULL AS DOUBLE)", "0.0", 0.85, "'tag'", "'low'")} FROM ({TAG_COVERAGE_SQL}) WHERE team_tag_coverage_pct < 80""")
+  "CAST(NULL AS DOUBLE)", "0.0", 0.85, "'tag'", "'low'",
+  f"concat(untagged_records, ' charges without any tag come to $', {USD('untagged_cost')}, '.')",
+  "CASE provider WHEN 'aws' THEN 'Enforce tagging policy via AWS Organizations or OPA' WHEN 'azure' "
+  "THEN 'Enforce Azure Policy for mandatory tags' ELSE 'Enforce labels via Organization Policy' END")} FROM ({TAG_COVERAGE_SQL}) WHERE team_tag_coverage_pct < 80""")
 def _(t: Tables):
-    return flat(detectors.tag_coverage_insights(detectors.tag_coverage(t.staged, END, DAYS)))
+    return flat(detectors.tag_coverage_insights(detectors.tag_coverage(t.staged, END, DAYS)), texts=True)
 
 
 def violations(t: Tables):
@@ -236,17 +260,18 @@ def _(t: Tables):
 
 
 @query("d12_inventory_insights", """
-WITH m AS (SELECT count(*) FILTER (p_size < 10) AS stopped, count(*) FILTER (p_type = 'LARGE') AS old FROM part)
-SELECT category, title, savings AS projected_monthly_savings FROM (
+WITH m AS (SELECT count(*) FILTER (p_size < 10) AS stopped, count(*) FILTER (p_type = 'LARGE') AS old,
+  string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) FILTER (p_type = 'LARGE') AS types FROM part)
+SELECT category, title, text AS description, savings AS projected_monthly_savings FROM (
  SELECT 'idle_resource' AS category, concat(stopped, ' stopped EC2 instances may incur storage charges') AS title,
-   CAST(stopped * 50 AS DOUBLE) AS savings FROM m WHERE stopped > 0
- UNION ALL SELECT 'right_size', concat(old, ' EC2 instances using older generation types'), CAST(old * 30 AS DOUBLE)
- FROM m WHERE old > 0)""", billing=False)
+   CAST(stopped * 50 AS DOUBLE) AS savings, concat(stopped, ' machines are switched off and keep their disks.') AS text FROM m WHERE stopped > 0
+ UNION ALL SELECT 'right_size', concat(old, ' EC2 instances using older generation types'), CAST(old * 30 AS DOUBLE),
+   concat(old, ' machines are of a type that has a successor: ', types, '.') FROM m WHERE old > 0)""", billing=False)
 def _(t: Tables):
     inventory = t.table("part").select(
         F.lit("ec2").alias("resource_type"), F.when(F.col("p_size") < 10, "stopped").otherwise("running").alias("state"),
         (F.col("p_type") == "LARGE").alias("old_generation"), F.col("p_brand").alias("instance_type"))
-    return detectors.inventory_insights(inventory).select("category", "title", "projected_monthly_savings")
+    return detectors.inventory_insights(inventory).select("category", "title", "description", "projected_monthly_savings")
 
 
 @query("d13_native_recommendations", """

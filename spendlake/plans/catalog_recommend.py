@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from spendlake.operators import recommend
 from spendlake.plans.analysis import analyse, every_insight
-from spendlake.plans.catalog_detectors import CUD_SQL, HYBRID_SQL, IDLE_SQL, INSIGHTS_CTE, LIMITS, TAG_INSIGHT_SQL, all_insights, flat
+from spendlake.plans.catalog_detectors import (
+    CUD_SQL, GAP_SQL, HYBRID_SQL, IDLE_SQL, INSIGHTS_CTE, LIMITS, SHOW, TAG_INSIGHT_SQL, all_insights, flat,
+)
 from spendlake.plans.catalog_series import FIT_CTE, series_cte
 from spendlake.plans.catalog_spend import DAYS, END
 from spendlake.plans.catalog_staging import ACTIONS_CTE, actions
@@ -27,7 +29,7 @@ def risk(col: str) -> str:
     return f"CASE {col} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END"
 
 
-TITLE = "CASE category WHEN 'idle_resource' THEN 'Idle Resource' WHEN 'commitment_gap' THEN 'Commitment Gap' WHEN 'right_size' THEN 'Right Size' ELSE 'Tag Compliance' END"
+TITLE = "CASE category WHEN 'idle_resource' THEN 'Idle Resource' WHEN 'commitment_gap' THEN 'Commitment Gap' WHEN 'right_size' THEN 'Right Size' WHEN 'general' THEN 'General' ELSE 'Tag Compliance' END"
 
 
 def recs_cte(keys: str, source: str = "ii", name: str = "rc") -> str:
@@ -134,10 +136,10 @@ SELECT category, n AS findings, CASE category WHEN 'tag_compliance' THEN 0 ELSE
     WHEN 'commitment_gap' THEN concat('Increase commitment coverage across ', c, ' clouds')
     WHEN 'right_size' THEN concat('Right-size ', n, ' over-provisioned resources')
     ELSE 'Improve tagging compliance (0% coverage)' END AS title,
-  CASE category WHEN 'idle_resource' THEN concat(n, ' idle findings cost an estimated $', format('{{:,.2f}}', s), '/month.', chr(10), lines)
-    WHEN 'commitment_gap' THEN concat('Commitment coverage is low. Projected savings: $', format('{{:,.2f}}', s), '/month.', chr(10), cov)
-    WHEN 'right_size' THEN concat(n, ' resources run larger than needed. Estimated savings: $', format('{{:,.2f}}', s), '/month.')
-    ELSE concat('Tag compliance is below the 80% target across ', c, ' clouds.') END AS description,
+  CASE category WHEN 'idle_resource' THEN concat('$', format('{{:,.2f}}', s), ' a month goes to ', n, ' findings of idleness:', chr(10), lines)
+    WHEN 'commitment_gap' THEN concat('Committing more would save about $', format('{{:,.2f}}', s), ' a month. So far:', chr(10), cov)
+    WHEN 'right_size' THEN concat(n, ' resources could be smaller, worth $', format('{{:,.2f}}', s), ' a month.')
+    ELSE concat(n, ' findings on tags in ', c, ' clouds.') END AS description,
   CASE WHEN category IN ('idle_resource', 'tag_compliance') THEN 'low' ELSE 'medium' END AS implementation_effort,
   CASE category WHEN 'right_size' THEN 'medium' ELSE 'low' END AS risk_level, category <> 'tag_compliance' AS requires_approval
 FROM g JOIN l USING (category), v""")
@@ -207,31 +209,36 @@ def _(t: Tables):
     return recommend.report_sections(rows, recommend.recommend(rows))
 
 
-@query("e3_analysis_run", f"""
-WITH {IN}, du AS ({DEDUP}), {recs_cte('category', 'du')}
-SELECT category, title, total_projected_monthly_savings, risk_level, round(least(total_projected_monthly_savings, 100000)
-  * CASE risk_level WHEN 'low' THEN 1.0 WHEN 'medium' THEN 0.7 WHEN 'high' THEN 0.4 ELSE 0.1 END, 2) AS priority_score FROM rc""")
-def _(t: Tables):
-    run = analyse(t.staged, END, DAYS, thresholds=LIMITS)
-    return run.recommendations.select("category", "title", "total_projected_monthly_savings", "risk_level", "priority_score")
-
-
-# Each detector's own check, united: what a run over all of them has to find.
-_EVERY = ["d1_idle_insights", "d3_aws_commitment_gap", "d6_coverage_insights", "d7_tag_coverage_insights", "d11_spend_insights"]
+# The findings of every detector in one layout: what a run over all of them has to rank.
+_COLUMNS = ("agent, provider, category, severity, title, resource_id, service_name, region, current_monthly_cost, projected_monthly_savings, "
+            "confidence_score, action_type, risk_level")
+_EVERY = ["d1_idle_insights", "d6_coverage_insights", "d7_tag_coverage_insights", "d11_spend_insights"]
+_ANOMALIES = f"""SELECT {SHOW("'anomaly_agent'", "key", "'general'",
+  "CASE WHEN CASE WHEN yhat > 0 THEN abs(y - yhat) / yhat * 100 ELSE 0 END > 50 THEN 'critical' ELSE 'high' END",
+  "concat('Cost anomaly detected: ', upper(key))", "CAST(ds AS VARCHAR)", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "y", "0.0", 0.95,
+  "'investigate'", "'high'")} FROM fit WHERE y > yhat + 1.96 * sigma OR y < yhat - 1.96 * sigma"""
 _EVERY_SQL = "\nUNION ALL ".join(
-    [f"SELECT agent, provider, category, severity, title, projected_monthly_savings AS savings FROM ({ORACLES[n]})" for n in _EVERY]
-    + [f"SELECT agent, provider, category, severity, title, projected_monthly_savings FROM ({sql})" for sql in (IDLE_SQL, HYBRID_SQL, CUD_SQL, TAG_INSIGHT_SQL)])
+    f"SELECT {_COLUMNS} FROM ({sql})"
+    for sql in (*(ORACLES[n] for n in _EVERY), IDLE_SQL, GAP_SQL, HYBRID_SQL, CUD_SQL, TAG_INSIGHT_SQL, _ANOMALIES))
+EVERY = f"{series_cte('provider_name')}, {FIT_CTE}, ins AS ({_EVERY_SQL}), ii AS (SELECT *, {ID} AS insight_id FROM ins)"
 
 
 @query("r1_every_insight", f"""
-WITH {series_cte('service_name')}, {FIT_CTE}, every_one AS ({_EVERY_SQL}
-UNION ALL SELECT 'anomaly_agent', key, 'general',
-  CASE WHEN CASE WHEN yhat > 0 THEN abs(y - yhat) / yhat * 100 ELSE 0 END > 50 THEN 'critical' ELSE 'high' END,
-  concat('Cost anomaly detected: ', upper(key)), 0.0 FROM fit WHERE y > yhat + 1.96 * sigma OR y < yhat - 1.96 * sigma)
-SELECT agent, provider, category, severity, count(*) AS insights, count(DISTINCT title) AS titles, round(sum(savings), 2) AS savings
-FROM every_one GROUP BY ALL""")
+WITH {EVERY}
+SELECT agent, provider, category, severity, count(*) AS insights, count(DISTINCT title) AS titles, round(sum(projected_monthly_savings), 2) AS savings
+FROM ii GROUP BY ALL""")
 def _(t: Tables):
     rows = every_insight(t.staged, END, DAYS, LIMITS, idle_cost=100)
     return rows.groupBy("agent", "provider", "category", "severity").agg(
         F.count(F.lit(1)).alias("insights"), F.count_distinct("title").alias("titles"),
         F.round(F.sum(F.round("projected_monthly_savings", 4)), 2).alias("savings"))
+
+
+@query("e3_analysis_run", f"""
+WITH {EVERY}, du AS ({DEDUP}), {recs_cte('category', 'du')}
+SELECT category, title, total_projected_monthly_savings, risk_level, round(least(total_projected_monthly_savings, 100000)
+  * CASE risk_level WHEN 'low' THEN 1.0 WHEN 'medium' THEN 0.7 WHEN 'high' THEN 0.4 ELSE 0.1 END, 2) AS priority_score FROM rc""")
+def _(t: Tables):
+    """All detectors with their defaults but for the thresholds; the resource findings handed in again count once."""
+    run = analyse(t.staged, END, DAYS, thresholds=LIMITS, extra=[all_insights(t)], idle_cost=100)
+    return run.recommendations.select("category", "title", "total_projected_monthly_savings", "risk_level", "priority_score")
