@@ -49,7 +49,8 @@ def leaves(rows: DataFrame, columns: Sequence[str], id_col: str, group_col: str,
         F.coalesce(F.concat(F.lit("="), group), F.lit("-")).alias("tree"), quoted(id_col).alias("id"),
         digest([quoted(c) for c in columns]).alias("node"), F.monotonically_increasing_id().alias("salt"), *carry,
     )
-    return numbered(named, [F.col("id").asc_nulls_first(), F.col("node"), F.col("salt")], "idx", "tree").drop("salt")
+    # Written first: the ranges are found by a pass of their own, which must not read and hash the texts again.
+    return numbered(stored(named, "merkle-digests"), [F.col("id").asc_nulls_first(), F.col("node"), F.col("salt")], "idx", "tree").drop("salt")
 
 
 def _siblings(nodes: DataFrame, arity: int) -> DataFrame:
@@ -87,17 +88,17 @@ def levels(nodes: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
 
 
 def _paths(below: list[DataFrame], top: DataFrame, arity: int) -> DataFrame:
-    """(tree, idx, path) of the lowest nodes: the siblings of a node and its ancestors, lowest first. ``top`` (tree, height, path) is what
-    follows above the root of each tree."""
+    """(tree, idx, path, subroot) of the lowest nodes: the siblings of a node and its ancestors, lowest first. ``top`` (tree, height, path,
+    subroot) is what follows above the root of each tree. All joins are on a node's number, so a large tree is no hot key."""
     up = None
     for height in range(len(below), -1, -1):
-        done = top.where(F.col("height") == height).select("tree", F.lit(0).cast("long").alias("idx"), "path")
+        done = top.where(F.col("height") == height).select("tree", F.lit(0).cast("long").alias("idx"), "path", "subroot")
         if up is not None:
             level = below[height].select(
                 "tree", "idx", F.expr(f"idx div {int(arity)}").alias("_up"), F.array(F.struct("before", "behind")).alias("_own")
             )
-            above = up.select("tree", F.col("idx").alias("_up"), F.col("path").alias("_above"))
-            joined = level.join(above, ["tree", "_up"]).select("tree", "idx", F.concat("_own", "_above").alias("path"))
+            above = up.select("tree", F.col("idx").alias("_up"), F.col("path").alias("_above"), "subroot")
+            joined = level.join(above, ["tree", "_up"]).select("tree", "idx", F.concat("_own", "_above").alias("path"), "subroot")
             done = done.unionByName(joined)
         up = done
     return up
@@ -125,13 +126,12 @@ def manifest(
     lots = numbered(roots, [F.col("tree")], "idx")
     named = stored(lots.select(F.lit(TOP).alias("tree"), "idx", F.col("root").alias("node"), F.col("tree").alias("group"), "height"), "merkle-groups")
     above, top = levels(named.select("tree", "idx", "node"), arity)
-    ends = stored(top, "merkle-roots").select("tree", "height", F.array().cast("array<struct<before:string,behind:string>>").alias("path"))
+    ends = stored(top, "merkle-roots").select("tree", "height", F.array().cast("array<struct<before:string,behind:string>>").alias("path"), F.col("root").alias("subroot"))
     # From the root down to the roots of the groups, then on to the leaves.
-    upper = _paths(above, ends, arity).join(named.select("idx", "group", "height"), "idx")
-    upper = stored(upper.select(F.col("group").alias("tree"), "height", "path"), "merkle-upper")
+    upper = _paths(above, ends, arity).select("idx", "path").join(named.select("idx", "group", "height", F.col("node").alias("subroot")), "idx")
+    upper = stored(upper.select(F.col("group").alias("tree"), "height", "path", "subroot"), "merkle-upper")
     path = _paths(below, upper, arity)
     root = top.select("root").first()
-    of_group = roots.select("tree", F.col("root").alias("subroot"))
-    out = found.withColumnRenamed("node", "leaf").join(path, ["tree", "idx"]).join(of_group, "tree")
+    out = found.withColumnRenamed("node", "leaf").join(path, ["tree", "idx"])
     kept = [c for c in found.columns if c not in ("tree", "idx", "id", "node")]
     return out.select("id", "tree", "leaf", "subroot", F.lit(root[0] if root else None).cast("string").alias("root"), "path", *kept)
