@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # The old default, INT96, has no ranges in the files: a range of days would leave out no row group.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # Beyond this many rows a top-k is a distributed sort with a limit, not a heap per task.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Stream state on local disk of the executors rather than on their heap.

@@ -504,3 +504,44 @@ def test_the_registered_trees_are_of_full_size(monkeypatch):
     monkeypatch.setattr("spendlake.plans.catalog_series.provider_series", lambda t: None)
     registry.QUERIES["m6_gbt_forecast"](None)
     assert given.get("trees", own.parameters["trees"].default) == 500
+
+
+# ── Data skipping of the stored table ─────────────────────────────────────
+
+def _rows_scanned(df):
+    """Rows that the scan hands on after row groups and pages were left out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_single_resources_teams_accounts_and_days_leave_row_groups_out(spark, small, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spendlake.sources import billing_table
+    from spendlake.sources.driver_tables import Tables
+
+    # All charges in one month, 20 resources apart by provider, so that one file has many row groups.
+    rows = Tables(spark, small).billing
+    rows = rows.withColumn("charge_period_start", F.expr("timestamp'2024-05-01' + make_interval(0, 0, 0, pmod(hash(charge_description, resource_id), 30), pmod(hash(resource_id), 24))"))
+    path = str(tmp_path / "billing")
+    billing_table.write_billing(rows.coalesce(1), path, row_group_bytes=48 << 10)
+    whole = billing_table.read_billing(spark, path)
+    n = whole.count()
+    assert set(whole.columns) == {*rows.columns, "charge_month"} and n == rows.count()
+    busy = rows.filter("resource_id <> ''").groupBy("resource_id").count().orderBy("count", "resource_id").first()
+    account = rows.groupBy("billing_account_id").count().orderBy("count", "billing_account_id").first()[0]
+    questions = {
+        "resource": (dict(resources=[busy["resource_id"]]), F.col("resource_id") == busy["resource_id"]),
+        "account": (dict(accounts=[account]), F.col("billing_account_id") == account),
+        "days": (dict(start="2024-05-03", end="2024-05-04"), F.to_date("charge_period_start").between("2024-05-03", "2024-05-04")),
+        "no such team": (dict(tags={"team": "nobody"}), F.lit(False)),
+    }
+    for name, (how, test) in questions.items():
+        got = billing_table.read_billing(spark, path, **how)
+        assert got.count() == rows.filter(test).count(), name
+        assert _rows_scanned(billing_table.read_billing(spark, path, **how).select("effective_cost", "resource_id")) < 0.7 * n, name
+    team = rows.filter("tags['team'] <> ''").select("tags").first()["tags"]["team"]
+    assert billing_table.read_billing(spark, path, tags={"team": team}).count() == rows.filter(F.col("tags")["team"] == team).count()
