@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlake.operators import series
+from spendlake.operators import seasonal, series
 from spendlake.plans.catalog_spend import DAYS, END
 from spendlake.plans.registry import query
 from spendlake.sources.driver_tables import Tables
@@ -32,6 +32,18 @@ fc AS (SELECT ah.key, ah.ds, intercept + slope * datediff('day', DATE '1970-01-0
   FROM ah LEFT JOIN fe ON fe.key = ah.key AND fe.dow = isodow(ah.ds) - 1)"""
 
 
+# To hundredths. What lies half-way goes up, whatever the order of a sum.
+NUDGE = 1e-5
+
+
+def CENTS(expr: str) -> str:
+    return f"round(({expr}) + {NUDGE}, 2)"
+
+
+def cents(column):
+    return F.round(F.col(column) + NUDGE, 2)
+
+
 def service_series(t: Tables):
     return series.cost_series(t.staged, "service", END, DAYS)
 
@@ -52,11 +64,50 @@ for _name, _cte, _src, _billing in (("service", series_cte("service_name"), serv
                                     ("events", EVENTS_CTE, event_series, False)):
     query(f"m2_forecast_{_name}", f"""
 WITH {_cte}, {FIT_CTE}, {AHEAD_CTE.format(h=90)}
-SELECT key, ds, round(predicted, 1) AS predicted, round(predicted - 1.96 * sigma, 1) AS lower,
-  round(predicted + 1.96 * sigma, 1) AS upper FROM fc""", billing=_billing)(
-        lambda t, s=_src: series.forecast(s(t), 90).select(
-            # To tenths: the order of a sum can decide a half of a hundredth.
-            "key", "ds", *[F.round(c, 1).alias(c) for c in ("predicted", "lower", "upper")]))
+SELECT key, ds, {CENTS('predicted')} AS predicted, {CENTS('predicted - 1.96 * sigma')} AS lower,
+  {CENTS('predicted + 1.96 * sigma')} AS upper FROM fc""", billing=_billing)(
+        lambda t, s=_src: series.forecast(s(t), 90).select("key", "ds", *[cents(c).alias(c) for c in ("predicted", "lower", "upper")]))
+
+# The terms of a day, the sums of the normal equations and their solution by elimination, as SQL.
+_PI2 = "2 * pi()"
+_TERMS = (["1.0", "t"] + [f"greatest(t - {i + 1}.0 / 6.0, 0)" for i in range(5)]
+          + [f"{f}(x * ({_PI2} * {k} / 7.0))" for k in (1, 2, 3) for f in ("sin", "cos")]
+          + [f"CASE WHEN span >= 730 THEN {f}(x * ({_PI2} * {k} / 365.25)) ELSE 0 END" for k in (1, 2, 3) for f in ("sin", "cos")])
+_N = len(_TERMS)
+_MATRIX = ", ".join(
+    "[" + ", ".join([f"sum(p[{min(i, j)}] * p[{max(i, j)}])" + (" + 1.0" if i == j > 2 else "") for j in range(1, _N + 1)] + [f"sum(p[{i}] * y)"]) + "]"
+    for i in range(1, _N + 1))
+SEASONAL_CTE = f"""ex AS (SELECT key, min(ds) AS first, max(ds) AS last, datediff('day', min(ds), max(ds)) AS span FROM sr GROUP BY key),
+days AS (SELECT key, ds, y FROM sr UNION ALL
+  SELECT key, CAST(unnest(generate_series(last + 1, last + 90, INTERVAL 1 DAY)) AS DATE), NULL FROM ex),
+dt AS (SELECT key, ds, y, span, CAST(datediff('day', DATE '1970-01-01', ds) AS DOUBLE) AS x,
+  datediff('day', first, ds)::DOUBLE / greatest(span, 1) AS t FROM days JOIN ex USING (key)),
+ph AS MATERIALIZED (SELECT key, ds, y, [{", ".join(f"({t})::DOUBLE" for t in _TERMS)}] AS p FROM dt),
+el(key, k, m) AS (SELECT key, 1, [{_MATRIX}] FROM ph WHERE y IS NOT NULL GROUP BY key UNION ALL
+  SELECT key, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+    ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM el WHERE k <= {_N}),
+wt AS (SELECT key, list_transform(m, lambda r: r[{_N + 1}]) AS w FROM el WHERE k = {_N + 1}),
+ev AS MATERIALIZED (SELECT key, ds, y, list_dot_product(w, p) AS yhat FROM ph JOIN wt USING (key)),
+sg AS (SELECT key, coalesce(stddev_samp(y - yhat), 0) AS sigma FROM ev WHERE y IS NOT NULL GROUP BY key)"""
+
+for _name, _cte, _src, _billing in (("service", series_cte("service_name"), service_series, True),
+                                    ("events", EVENTS_CTE, event_series, False)):
+    query(f"m2_seasonal_forecast_{_name}", f"""
+WITH RECURSIVE {_cte}, {SEASONAL_CTE}
+SELECT key, ds, {CENTS('yhat')} AS predicted, {CENTS('yhat - 1.96 * sigma')} AS lower, {CENTS('yhat + 1.96 * sigma')} AS upper
+FROM ev JOIN sg USING (key) WHERE y IS NULL""", billing=_billing)(
+        lambda t, s=_src: seasonal.forecast(s(t), 90).select("key", "ds", *[cents(c).alias(c) for c in ("predicted", "lower", "upper")]))
+
+
+@query("m3_seasonal_anomalies", f"""
+WITH RECURSIVE {series_cte('provider_name')}, {SEASONAL_CTE}
+SELECT key, ds, {CENTS('y')} AS actual_cost, {CENTS('yhat')} AS expected_cost,
+  {CENTS('CASE WHEN yhat > 0 THEN abs(y - yhat) / yhat * 100 ELSE 0 END')} AS deviation_percent
+FROM ev JOIN sg USING (key) WHERE abs(y - yhat) > 1.96 * sigma""")
+def _(t: Tables):
+    return seasonal.anomalies(provider_series(t)).select(
+        "key", "ds", *[cents(c).alias(c) for c in ("actual_cost", "expected_cost", "deviation_percent")])
+
 
     query(f"m3_interval_anomalies_{_name}", f"""
 WITH {_cte}, {FIT_CTE}, a AS (SELECT *, 1.6449 * sigma AS half,

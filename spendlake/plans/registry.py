@@ -44,8 +44,9 @@ WHERE (billed_cost <> 0 OR effective_cost <> 0) AND charge_category <> 'Tax')"""
 def with_billing(sql: str) -> str:
     """Prefix a check with the views it names: ``billing`` raw, ``b`` staged."""
     head = sql.lstrip()
-    more = head[5:] if head.upper().startswith("WITH ") else None
-    ctes = f"WITH {_BILLING_CTE},\n{_STAGED_CTE}"
+    word = next((w for w in ("WITH RECURSIVE ", "WITH ") if head.upper().startswith(w)), None)
+    more = head[len(word):] if word else None
+    ctes = f"{word or 'WITH '}{_BILLING_CTE},\n{_STAGED_CTE}"
     return f"{ctes},\n{more}" if more is not None else f"{ctes}\n{head}"
 
 

@@ -545,3 +545,42 @@ def test_single_resources_teams_accounts_and_days_leave_row_groups_out(spark, sm
         assert _rows_scanned(billing_table.read_billing(spark, path, **how).select("effective_cost", "resource_id")) < 0.7 * n, name
     team = rows.filter("tags['team'] <> ''").select("tags").first()["tags"]["team"]
     assert billing_table.read_billing(spark, path, tags={"team": team}).count() == rows.filter(F.col("tags")["team"] == team).count()
+
+
+# ── Seasons and bends ─────────────────────────────────────────────────────
+
+def test_seasons_beat_the_line_on_a_yearly_series_and_the_sums_equal_least_squares(spark):
+    import math
+    from datetime import date, timedelta
+
+    import numpy as np
+
+    from spendlake.operators import seasonal, series
+
+    first = date(2020, 1, 1)
+
+    def true(i):
+        return 1000 + 300 * math.sin(2 * math.pi * i / 365.25) + 40 * ((first + timedelta(days=i)).weekday() == 5) + 2 * max(0, i - 800)
+
+    days = [first + timedelta(days=i) for i in range(1400)]
+    rng = np.random.default_rng(5)
+    rows = [("a", d, true(i) + float(rng.normal(0, 5))) for i, d in enumerate(days)] + [("short", d, 7.0) for d in days[:20]]
+    known = spark.createDataFrame([r for r in rows if r[1] < days[1300]], "key string, ds date, y double")
+    error = {}
+    for name, ahead in (("seasons", seasonal.forecast(known, 90)), ("line", series.forecast(known, 90))):
+        got = {r.ds: r.predicted for r in ahead.where("key = 'a'").collect()}
+        assert len(got) == 90
+        error[name] = sum(abs(got[d] - true((d - first).days)) for d in got) / 90
+    assert error["seasons"] < 60 and error["seasons"] < error["line"] / 3
+    models = {r.key: r for r in seasonal.fit(known).collect()}
+    assert abs(models["short"].sigma) < 1e-6
+    # The same weights by least squares over all days at once, the ridge as further rows.
+    n = 1300
+    t = np.arange(n) / (n - 1)
+    x = np.asarray([(d - date(1970, 1, 1)).days for d in days[:n]])
+    wave = lambda p, k: [np.sin(2 * np.pi * k * x / p), np.cos(2 * np.pi * k * x / p)]
+    phi = np.stack([np.ones(n), t, *[np.maximum(t - (i + 1) / 6, 0) for i in range(5)],
+                    *[w for k in (1, 2, 3) for w in wave(7.0, k)], *[w for k in (1, 2, 3) for w in wave(365.25, k)]], 1)
+    ridge = np.diag([0.0, 0.0] + [1.0] * (phi.shape[1] - 2))
+    want = np.linalg.lstsq(np.r_[phi, ridge], np.r_[[r[2] for r in rows[:n]], np.zeros(len(ridge))], rcond=None)[0]
+    assert np.allclose(models["a"].weights, want, rtol=1e-6, atol=1e-6)
