@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlake.operators import seasonal, series
+from spendlake.operators import isolation, seasonal, series
 from spendlake.plans.catalog_spend import DAYS, END
 from spendlake.plans.registry import query
 from spendlake.sources.driver_tables import Tables
@@ -161,6 +161,17 @@ def _(t: Tables):
         "anomaly_score", F.round("anomaly_score", 6))
 
 
+# Random trees are beyond SQL: tests hold the depths against a plain walk, and plant outliers.
+@query("m4_isolation_outliers")
+def _(t: Tables):
+    return isolation.outliers(service_series(t)).select("key", "ds", F.round("isolation_score", 9).alias("isolation_score"), "isolated")
+
+
+@query("m5_isolation_consensus")
+def _(t: Tables):
+    return isolation.consensus(service_series(t)).drop("y").withColumn("anomaly_score", F.round("anomaly_score", 9))
+
+
 @query("m6_lag_features", f"""
 WITH {EVENTS_CTE}, l AS (SELECT key, ds, y, isodow(ds) - 1 AS dayofweek, month(ds) AS month, day(ds) AS day, quarter(ds) AS quarter,
   year(ds) AS year, (isodow(ds) >= 6)::INT AS is_weekend, lag(y, 1) OVER o AS lag_1, lag(y, 7) OVER o AS lag_7, lag(y, 14) OVER o AS lag_14,

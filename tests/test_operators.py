@@ -584,3 +584,43 @@ def test_seasons_beat_the_line_on_a_yearly_series_and_the_sums_equal_least_squar
     ridge = np.diag([0.0, 0.0] + [1.0] * (phi.shape[1] - 2))
     want = np.linalg.lstsq(np.r_[phi, ridge], np.r_[[r[2] for r in rows[:n]], np.zeros(len(ridge))], rcond=None)[0]
     assert np.allclose(models["a"].weights, want, rtol=1e-6, atol=1e-6)
+
+
+# ── Isolation ─────────────────────────────────────────────────────────────
+
+def test_mean_depth_of_random_cuts():
+    """Against the recursion over every place of the first cut."""
+    import numpy as np
+
+    from spendlake.operators import isolation
+
+    exact = {1: 0.0, 2: 1.0}
+    for n in range(3, 300):  # depth(n) = 1 + mean over the cut of the two sides, weighted by their points
+        exact[n] = 1 + sum(k * exact[k] + (n - k) * exact[n - k] for k in range(1, n)) / (n - 1) / n
+    for n in (10, 50, 299):
+        assert abs(float(isolation.mean_depth(n)) - exact[n]) < 0.2
+    same = np.zeros((40, 3))
+    assert np.allclose(isolation.scores(same, np.random.default_rng(1)), 0.5)
+
+
+def test_isolation_finds_planted_days_alike_in_any_partitions(spark):
+    from datetime import date, timedelta
+
+    import numpy as np
+
+    from spendlake.operators import isolation
+
+    rng = np.random.default_rng(3)
+    planted = {50, 120, 333}
+    rows = [(k, date(2023, 1, 1) + timedelta(days=i), float(rng.normal(100, 5)) + (400 if i in planted else 0)) for k in ("a", "b") for i in range(400)]
+    rows += [("flat", date(2023, 1, 1) + timedelta(days=i), 5.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "key string, ds date, y double")
+    one = {(r.key, r.ds): (r.isolation_score, r.isolated) for r in isolation.outliers(df.coalesce(1)).collect()}
+    many = {(r.key, r.ds): (r.isolation_score, r.isolated) for r in isolation.outliers(df.repartition(7)).collect()}
+    assert one == many and len(one) == len(rows)
+    for k in ("a", "b"):
+        own = sorted(((s, d) for (key, d), (s, _) in one.items() if key == k), reverse=True)
+        top = {(d - date(2023, 1, 1)).days for _, d in own[:10]}
+        assert planted <= top
+        assert sum(f for (key, _), (_, f) in one.items() if key == k) == 20
+    assert not any(f for (key, _), (_, f) in one.items() if key == "flat")
