@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.functions.columns import day_of, month_number, tag
+from spendlake.session import run_dir
 
 # Rollup columns that can be merged by adding, by maximum and by minimum.
 # Distinct counts cannot be merged and are never in this list.
@@ -85,19 +88,69 @@ def write_mart(mart: DataFrame, path: str) -> None:
     )
 
 
-def refresh_mart(b: DataFrame, path: str, lookback_days: int = 3) -> date:
-    """Rebuild the months touched since the mart's last day, less a lookback for late rows.
+def _stored_mart(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
-    The first of the oldest touched month is returned. Whole months are rebuilt
-    because a month is the unit that is overwritten.
+
+def refresh_days(b: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], days: list[date]) -> None:
+    """Rebuild the given days of a stored rollup, and no others.
+
+    Of the billing table only these days are read (their months by partition, the days by the times in the files), so a distinct count is
+    right without what other days hold. The rest of a touched month comes from the rollup itself, which is small. A day without charges
+    loses its rows, a month without any day its content. Without a stored rollup the days are its first.
+    """
+    if not days:
+        return
+    spark = b.sparkSession
+    touched = sorted({d.year * 100 + d.month for d in days})
+    charged = day_of("charge_period_start").isin(days)
+    times = F.col("charge_period_start").between(F.lit(min(days)).cast("timestamp"), F.lit(max(days) + timedelta(days=1)).cast("timestamp"))
+    fresh = build(b.filter(F.col("charge_month").isin(touched) & times & charged) if "charge_month" in b.columns else b.filter(times & charged))
+    old = _stored_mart(spark, path)
+    if old is not None:
+        kept = old.filter(F.col("charge_month").isin(touched) & ~F.col("charge_date").isin(days)).drop("charge_month")
+        fresh = fresh.unionByName(kept)
+    # Written beside the rollup first: its own months are read while the new ones are made.
+    beside = run_dir(spark, "rollup-days")
+    fresh.write.parquet(beside)
+    rows = spark.read.schema(fresh.schema).parquet(beside)
+    left = {r[0] for r in rows.select(month_number("charge_date")).distinct().collect()}
+    write_mart(rows, path)
+    for month in touched:
+        if month not in left and old is not None:
+            rows.filter(F.lit(False)).coalesce(1).write.mode("overwrite").parquet(f"{path}/charge_month={month}")
+
+
+def refresh_mart(b: DataFrame, path: str, lookback_days: int = 3, days: list[date] | None = None) -> date | None:
+    """Bring the mart up to date and return the first day that was rebuilt.
+
+    Rebuilt are the given ``days``, or all from the mart's last day on, less a lookback for late rows. Only the newest month of the mart is
+    read to find that day. Without a mart all of it is built.
     """
     spark = b.sparkSession
-    newest = spark.read.parquet(path).agg(F.max("charge_date").alias("d")).first()["d"]
-    since = (newest - timedelta(days=lookback_days)).replace(day=1) if newest else date(1970, 1, 1)
-    stale = b.filter((F.col("charge_month") >= since.year * 100 + since.month)
-                     & (F.col("charge_period_start") >= F.lit(since).cast("timestamp")))
-    write_mart(mart_daily_service(stale), path)
-    return since
+    old = _stored_mart(spark, path)
+    if old is None and days is None:
+        write_mart(mart_daily_service(b), path)
+        return None
+    if days is None:
+        month = old.agg(F.max("charge_month")).first()[0]  # of the folders' names
+        newest = None
+        while month is not None and newest is None:  # an emptied month holds no day
+            newest = old.filter(F.col("charge_month") == month).agg(F.max("charge_date")).first()[0]
+            month = old.filter(F.col("charge_month") < month).agg(F.max("charge_month")).first()[0]
+        since = (newest or date(1970, 1, 1)) - timedelta(days=lookback_days if newest else 0)
+        start = F.lit(since).cast("timestamp")
+        recent = b.filter((F.col("charge_month") >= since.year * 100 + since.month) & (F.col("charge_period_start") >= start))
+        held = old.filter((F.col("charge_month") >= since.year * 100 + since.month) & (F.col("charge_date") >= since))
+        days = sorted({r[0] for r in recent.select(day_of("charge_period_start")).distinct().collect()}
+                      | {r[0] for r in held.select("charge_date").distinct().collect()})
+    refresh_days(b, path, mart_daily_service, days)
+    return min(days, default=None)
 
 
 def slice_summary(b: DataFrame, dims: list[str]) -> DataFrame:
