@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,37 +47,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _is_file_scan(df: DataFrame) -> bool:
-    """Is ``df`` rows of Parquet files, each file read once, with no more than columns picked and rows filtered?"""
-    if "_metadata" in (c.lower() for c in df.columns):
+def has_files(df: DataFrame) -> bool:
+    """Do the rows of ``df`` still know their Parquet file and place in it?"""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
         return False
-    plan = df._jdf.queryExecution().analyzed()
-    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias"):
-        if not plan.deterministic():
-            return False
-        plan = plan.child()
-    if kind != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
-        return False
-    relation = plan.relation()
-    once = len(relation.location().inputFiles()) == len(df._jdf.inputFiles())
-    return once and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+    return "_metadata" not in (c.lower() for c in df.columns)
 
 
-def placed(df: DataFrame, at: str) -> DataFrame:
-    """``df`` with a column ``at`` (long) that names each row alike in every job, however the jobs split the files.
+def placed(df: DataFrame, at: str, scanned: bool = False) -> DataFrame:
+    """``df`` with a column ``at`` (file, row) that names each row alike in every job, however the jobs split the files.
 
-    The name is the file's number and the row's number in the file. What is not a scan of Parquet files is numbered while it
-    is written into the shared folder, once, and read back.
+    ``scanned`` says that ``df`` is a table as read from Parquet files, each once: columns picked and rows filtered, but nothing joined or
+    exploded. A row is then named by a hash of its file's path and its number in the file, so nothing is moved or written. Anything
+    else is numbered while it is written into the shared folder, once, and read back.
     """
-    if not _is_file_scan(df):
-        return stored(df.withColumn(at, F.monotonically_increasing_id()), "placed")
-    file, number, row = (fresh([*df.columns, at], c) for c in ("_file", "_number", "_row"))
-    paths = sorted(r[0] for r in df.select("_metadata.file_path").distinct().toLocalIterator())
-    numbers = pa.table({file: pa.array(paths, pa.string()), number: pa.array(range(len(paths)), pa.int64())})
-    named = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
-    joined = named.join(F.broadcast(df.sparkSession.createDataFrame(numbers)), file, "left")
-    known = F.coalesce(F.col(number), F.raise_error(F.lit("a file that was not there before")).cast("long"))
-    return joined.select(*[quoted(c) for c in df.columns], (known * F.lit(1 << 40) + F.col(row)).alias(at))
+    if not scanned:
+        named = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+        return stored(df.withColumn(at, named), "placed")
+    return df.withColumn(at, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
 def fresh(taken: Iterable[str], name: str) -> str:

@@ -4,15 +4,17 @@
    its least value. Empty bins take the value of a bin that a hash of bin and attempt picks until one is filled (optimal
    densification). Texts with the same set are one class with one representative.
 2. *Buckets.* Bands of bin values are bucket keys.
-3. *Stars.* A bucket gives a candidate edge from its smallest member to each other one: edges follow the members, not their
-   square. Sizes, then bitmaps of the sets, rule out most edges that are no links; the rest is confirmed on the full sets.
-4. *The rest of a bucket.* Two members can be alike though neither is like the centre. Where the confirmed stars leave a
-   bucket in several components, its members are compared in blocks by their bitmaps, inside the tasks; only pairs that the
-   bound cannot rule out are written, and confirmed like the others. No pair of a bucket goes unexamined.
+3. *Stars.* A bucket picks one of its members at random (by a hash) as centre, and gives a candidate edge from it to each other one:
+   edges follow the members, not their square. As each bucket has a centre of its own, two texts alike meet some ten centres. Sizes, then
+   bitmaps of the sets, rule out most edges that are no links; the rest is confirmed on the full sets.
+4. *Further rounds.* Where confirmed links leave a bucket in several components, it goes on in two ways: with a new centre among
+   the members that did not join the last one, against all members of other components; and these members are dealt anew by the bucket and
+   a further band of their own, and each new bucket gives a star. Rounds go on until one adds no link. The rows of a round
+   follow the members that are left.
 5. *Components* of the confirmed links.
 
 With 32 bands of 5 bins a pair at the threshold of 0.8 shares no band with a chance of 3 in a million, a pair at 0.9 with
-less than 1 in 10**12. Step 4 takes a bucket's square in bit operations (not rows) where a bucket keeps falling apart.
+less than 1 in 10**12. That such a pair is not joined by any of its centres and rounds is rarer still; tests measure the recall.
 
 Defined results:
 * null or empty text, or white space only: an empty set, linked with nothing, a component of its own;
@@ -20,6 +22,9 @@ Defined results:
 * repeated rows are linked; the smallest id of a component stays, null ids after all others, equal ids by their place;
 * an empty table gives an empty table; extra columns are kept by :func:`deduplicate`.
 
+* very long texts: a set is made in one array, some 40 bytes a word; the tables hold no texts;
+* the id's column gives way, by underscores, where it is called like one of the result.
+
 Rows are named by file and row number (:func:`common.placed`), so the jobs may split the table differently.
 """
 
@@ -32,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlake.llm.common import flag_keys, fresh, key_bitmap, placed, quoted, small_batches, stored
 from spendlake.llm.components import components
@@ -39,8 +45,6 @@ from spendlake.llm.components import components
 BANDS, ROWS = 32, 5
 #: Words a worker remembers the hash of during a task; beyond it the memory starts anew.
 REMEMBERED = 300_000
-#: Members of a bucket that are compared in one block.
-BLOCK = 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -138,7 +142,7 @@ def may_link(n: np.ndarray, m: np.ndarray, only_a: np.ndarray, only_b: np.ndarra
 
 
 def _sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(_at, _id, n, set_key, bands, bitmap) of each row of ``docs`` (_at, _id, _text)."""
+    """(_place, _id, n, set_key, bands, bitmap) of each row of ``docs`` (_place, _id, _text)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,29 +156,31 @@ def _sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     keys[i] = k
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_at"), batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("_place"), batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["_at", "_id", "n", "set_key", "bands", "bitmap"],
+                names=["_place", "_id", "n", "set_key", "bands", "bitmap"],
             )
         _HASHES.clear()  # the worker lives on in other stages
 
-    kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_at long, _id {kind}, n long, set_key binary, bands array<long>, bitmap binary")
+    more = [("n", T.LongType()), ("set_key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("bitmap", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([docs.schema["_place"], docs.schema["_id"], *(T.StructField(c, t) for c, t in more)]))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(_at, shingles) of the rows of ``docs`` (_at, _text) that ``wanted`` (_at) names. A bitmap keeps other texts in place."""
-    near = flag_keys(docs.select("_at", "_text"), F.xxhash64("_at"), key_bitmap(wanted, F.xxhash64("_at")), "_wanted").where("_wanted")
+    """(_at, shingles) of the rows of ``docs`` (_place, _text) that ``wanted`` (_at, _place) names. A bitmap keeps other texts in place."""
+    keys = key_bitmap(wanted, F.xxhash64("_place"))
+    near = flag_keys(docs.select("_place", "_text"), F.xxhash64("_place"), keys, "_wanted").where("_wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, size).tobytes() for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array(sets, pa.binary())], names=["_at", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("_place"), pa.array(sets, pa.binary())], names=["_place", "shingles"])
         _HASHES.clear()
 
-    return near.select("_at", "_text").mapInArrow(run, "_at long, shingles binary")
+    sets = near.select("_place", "_text").mapInArrow(run, T.StructType([docs.schema["_place"], T.StructField("shingles", T.BinaryType())]))
+    return sets.join(wanted, "_place").select("_at", "shingles")
 
 
 def _with_both(edges: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
@@ -216,130 +222,105 @@ def _sets_agree(percent: int) -> Callable[[dict], bool]:
     return test
 
 
-def _compare_members(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges between members of a bucket that are in different components and that the bitmaps allow.
+def _stars(buckets: DataFrame, salt: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges (u, v) from the centre of every bucket to its members of other components; and the buckets that are in
+    several components, with the label of the centre.
 
-    ``rows`` (b, x, y, block, _at, label, n, bitmap) hold the blocks x and y of bucket b next to each other.
+    ``buckets`` has rows (key, i, _at, n, label, rest). A member of the rest is preferred as centre.
     """
+    lot = F.struct((~F.col("rest")).alias("joined"), F.xxhash64("key", "_at", F.lit(salt)).alias("h"), "_at", "n", "label")
+    centres = buckets.groupBy("key").agg(F.min(lot).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
+    split = buckets.join(centres.where("low != high").select("key", "c", "k"), "key")
+    split = stored(split.select("key", "i", "_at", "n", "k", F.col("c._at").alias("c"), F.col("c.n").alias("n_c"), F.col("c.label").alias("c_label"), "label"), "minhash-buckets")
+    fits = 100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")
+    edges = split.where((F.col("label") != F.col("c_label")) & fits).select(F.least("c", "_at").alias("u"), F.greatest("c", "_at").alias("v"))
+    return edges.distinct(), split
 
-    def pairs(members: list[dict]) -> Iterator[tuple[int, int]]:
-        x, y = members[0]["x"], members[0]["y"]
-        by_size: dict[int, list[dict]] = {}
-        for m in members:
-            by_size.setdefault(len(m["bitmap"]) // 8, []).append(m)
-        for size, own in by_size.items():
-            # Sets that can link differ by a quarter in size at most, so by one step of the bitmaps' sizes.
-            other = own + by_size.get(2 * size, [])
-            bits = np.stack([folded(np.frombuffer(m["bitmap"], np.uint64), size) for m in other])
-            n, at, label, block = (np.asarray([m[c] for m in other]) for c in ("n", "_at", "label", "block"))
-            for i in range(len(own)):
-                rest = slice(i + 1, None)
-                apart = label[rest] != label[i]
-                if x != y:  # pairs inside a block are another row's work
-                    apart &= block[rest] != block[i]
-                j = np.flatnonzero(apart) + i + 1
-                if not len(j):
-                    continue
-                only_a = np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64)
-                only_b = np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64)
-                for k in j[may_link(n[i], n[j], only_a, only_b, percent)].tolist():
-                    yield int(min(at[i], at[k])), int(max(at[i], at[k]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
-
-        def found(members: list[dict]) -> Iterator[pa.RecordBatch]:
-            edges = list(pairs(members)) if len(members) > 1 else []
-            if edges:
-                u, v = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if group and (r["b"], r["x"], r["y"]) != (group[0]["b"], group[0]["x"], group[0]["y"]):
-                    yield from found(group)
-                    group = []
-                group.append(r)
-        yield from found(group)
 
-    dealt = rows.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+def _dealt_anew(split: DataFrame, labels: DataFrame, bands: DataFrame) -> DataFrame:
+    """The buckets of the next round, from those of the last: themselves, and their rest by a further band. Buckets of two are done."""
+    known = split.where("k > 2").drop("label").join(labels.withColumnRenamed("v", "_at"), "_at", "left").join(
+        labels.select(F.col("v").alias("c"), F.col("label").alias("of_c")), "c", "left"
+    )
+    label, of_c = F.coalesce("label", "_at"), F.coalesce("of_c", "c")
+    known = known.select("key", "i", "_at", "n", label.alias("label"), (label != of_c).alias("rest"))
+    rest = known.where("rest").join(bands, "_at")
+    further = rest.select("key", "i", "_at", "n", "label", F.posexplode("bands").alias("j", "b")).where("j > i").select(
+        F.xxhash64("key", "b").alias("key"), F.col("j").alias("i"), "_at", "n", "label", F.lit(True).alias("rest")
+    )
+    return stored(known.unionByName(further), "minhash-dealt")
 
 
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    bands: int = BANDS, rows: int = ROWS,
+    bands: int = BANDS, rows: int = ROWS, scanned: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``_at`` (its place), its id, ``n_shingles``, ``component_id`` and ``kept``."""
-    at = fresh(docs.columns, "_place")
-    return _components_of(placed(docs, at), at, id_col, text_col, shingle, percent, bands, rows)
+    """One row per row of ``docs``: ``_place`` (its name), its id, ``n_shingles``, ``component_id`` and ``kept``.
+
+    ``scanned``: ``docs`` is a table as read from Parquet files (:func:`common.placed`).
+    """
+    place = fresh(docs.columns, "_place")
+    found = _components_of(placed(docs, place, scanned), place, id_col, text_col, shingle, percent, bands, rows)
+    return found.withColumnRenamed("_id", fresh([c for c in found.columns if c != "_id"], id_col))
 
 
 def _components_of(
-    docs: DataFrame, at: str, id_col: str, text_col: str, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, place: str, id_col: str, text_col: str, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """:func:`near_components` of rows whose names are in the column ``at``."""
-    texts = docs.select(F.col(at).alias("_at"), quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
-    signed = stored(_sign(texts, shingle, bands, rows), "minhash-signed")
+    """:func:`near_components` of rows whose names are in the column ``place``, with ``_id`` for the id."""
+    texts = docs.select(F.col(place).alias("_place"), quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
+    # A name of one number for the tables of members and edges, given while they are written.
+    signed = stored(_sign(texts, shingle, bands, rows).withColumn("_at", F.monotonically_increasing_id()), "minhash-signed")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_at").alias("at"))
     classes = signed.where("n > 0").groupBy("set_key").agg(F.min(order).alias("first"))
     first = classes.select(F.col("first.at").alias("_at"))
-    members = stored(signed.join(first, "_at", "left_semi").select("_at", "_id", "n", "bands", "bitmap"), "minhash-classes")
+    members = stored(signed.join(first, "_at", "left_semi").select("_at", "_place", "_id", "n", "bands", "bitmap"), "minhash-classes")
     sizes = members.select("_at", "n", "bitmap")
 
     def confirmed(edges: DataFrame) -> DataFrame:
-        close = stored(edges, "minhash-close")
+        close = stored(_kept_edges(_with_both(edges, sizes, ["n", "bitmap"]), _bitmaps_allow(percent)), "minhash-close")
         wanted = close.select(F.explode(F.array("u", "v")).alias("_at")).distinct()
-        sets = _full_sets(texts, wanted, shingle).join(wanted, "_at", "left_semi")
+        sets = _full_sets(texts, members.select("_at", "_place").join(wanted, "_at", "left_semi"), shingle)
         return stored(_kept_edges(_with_both(close, sets, ["shingles"]), _sets_agree(percent)), "minhash-links")
 
-    in_bands = members.select("_at", "n", F.explode("bands").alias("b"))
-    centres = in_bands.groupBy("b").agg(F.min(F.struct("_at", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
-    buckets = stored(
-        in_bands.join(centres, "b").select("b", "_at", "n", "k", F.col("c._at").alias("c"), F.col("c.n").alias("n_c")), "minhash-buckets"
+    buckets = members.select("_at", "n", F.posexplode("bands").alias("i", "key")).select(
+        "key", "i", "_at", "n", F.col("_at").alias("label"), F.lit(True).alias("rest")
     )
-    fits = 100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")
-    star = buckets.where((F.col("_at") != F.col("c")) & fits).select(F.col("c").alias("u"), F.col("_at").alias("v")).distinct()
-    links = confirmed(_kept_edges(_with_both(star, sizes, ["n", "bitmap"]), _bitmaps_allow(percent)))
-    labels = stored(components(links), "minhash-labels")
-
-    # Buckets of three and more that the stars left in several components; of buckets with the same members, one.
-    wide = buckets.where("k > 2").join(labels.withColumnRenamed("v", "_at"), "_at", "left").select(
-        "b", "k", "_at", F.coalesce("label", "_at").alias("label")
-    )
-    split = wide.groupBy("b", "k").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("_at")).alias("members")
-    ).where("low != high")
-    split = split.groupBy("k", "members").agg(F.min("b").alias("b")).select("b", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("_at"), F.col("blocks")).cast("int")
-    dealt = wide.join(split, "b").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("b", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "_at", "label")
-    more = confirmed(_compare_members(dealt.join(sizes, "_at"), percent))
-    joined = labels.select(F.col("v").alias("u"), F.col("label").alias("v")).unionByName(more)
-    labels = stored(components(joined), "minhash-labels")
+    labels = members.sparkSession.createDataFrame([], "v long, label long")
+    salt = 0
+    while True:
+        edges, split = _stars(buckets, salt, percent)
+        links = confirmed(edges)
+        if links.isEmpty():
+            break
+        # A component stands for its links so far.
+        labels = stored(components(labels.select(F.col("v").alias("u"), F.col("label").alias("v")).unionByName(links)), "minhash-labels")
+        buckets = _dealt_anew(split, labels, members.select("_at", "bands"))
+        salt += 1
 
     labelled = members.select("_at", "_id").join(labels.withColumnRenamed("v", "_at"), "_at", "left").select(
         "_at", "_id", F.coalesce("label", "_at").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min(order).alias("least"))
     component = labelled.join(least, "label").select(F.col("_at").alias("class"), "least")
-    known = signed.select("_at", "_id", "n", "set_key")
+    known = signed.select("_at", "_place", "_id", "n", "set_key")
     own = known.where("n > 0").join(classes.select("set_key", F.col("first.at").alias("class")), "set_key").join(component, "class").select(
-        "_at", F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"),
-        (F.col("least.at") == F.col("_at")).alias("kept"),
+        "_place", "_id", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("least.at") == F.col("_at")).alias("kept")
     )
     alone = known.where("n = 0").select(
-        "_at", F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("kept")
+        "_place", "_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("kept")
     )
     return own.unionByName(alone)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component. Texts that cannot be dropped stay where they are."""
-    at, flag = fresh(docs.columns, "_place"), fresh(docs.columns, "_maybe")
-    named = placed(docs, at)
-    found = _components_of(named, at, id_col, text_col, shingle, percent)
-    dropped = stored(found.where("not kept").select(F.col("_at").alias(at)), "minhash-dropped")
-    flagged = flag_keys(named, F.xxhash64(at), key_bitmap(dropped, F.xxhash64(at)), flag)
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, scanned: bool = False
+) -> DataFrame:
+    """``docs`` with one row of each component. Texts that cannot be dropped stay where they are. ``scanned`` as in :func:`near_components`."""
+    place, flag = fresh(docs.columns, "_place"), fresh(docs.columns, "_maybe")
+    named = placed(docs, place, scanned)
+    found = _components_of(named, place, id_col, text_col, shingle, percent)
+    dropped = stored(found.where("not kept").select(F.col("_place").alias(place)), "minhash-dropped")
+    flagged = flag_keys(named, F.xxhash64(place), key_bitmap(dropped, F.xxhash64(place)), flag)
     columns = [quoted(c) for c in docs.columns]
-    return flagged.where(~F.col(flag)).select(*columns).unionByName(flagged.where(flag).join(dropped, at, "left_anti").select(*columns))
+    return flagged.where(~F.col(flag)).select(*columns).unionByName(flagged.where(flag).join(dropped, place, "left_anti").select(*columns))

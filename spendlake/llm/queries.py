@@ -28,7 +28,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, over sets of two-word shingles."""
-    found = minhash.near_components(_documents(spark, sf_dir), shingle=2, percent=80)
+    found = minhash.near_components(_documents(spark, sf_dir), shingle=2, percent=80, scanned=True)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -68,7 +68,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat 13 words of an earlier one, and what is left."""
-    rest = recompress.remove_repeats(_documents(spark, sf_dir))
+    rest = recompress.remove_repeats(_documents(spark, sf_dir), scanned=True)
     return rest.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

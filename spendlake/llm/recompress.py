@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlake.llm.alnum import slices
 from spendlake.llm.common import BITMAP_BITS, flag_keys, key_bitmap, placed, quoted, small_batches, stored
@@ -207,7 +208,8 @@ def _root_names(docs: DataFrame) -> DataFrame:
             )
         _HASHES.clear()  # the worker lives on in other stages
 
-    return docs.mapInArrow(run, f"_at long, _id {docs.schema['_id'].dataType.simpleString()}, n_words long, root binary")
+    more = [T.StructField("n_words", T.LongType()), T.StructField("root", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([docs.schema["_at"], docs.schema["_id"], *more]))
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -215,7 +217,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.asarray(batch.column("_at"))
+            at = batch.column("_at")
             for rows, _, words, part, begins in _blocks(batch.column("_text").to_pylist()):
                 found, doc = anchors(words, part)[begins], rows[part[begins]]
                 new = np.r_[True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]
@@ -224,11 +226,11 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 found, doc = found[order], doc[order]
                 new = np.r_[True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[new].view(np.int64)), pa.array(at[doc[new]])], names=["anchor", "_at"]
+                    [pa.array(found[new].view(np.int64)), at.take(pa.array(doc[new]))], names=["anchor", "_at"]
                 )
         _HASHES.clear()
 
-    return docs.select("_at", "_text").mapInArrow(run, "anchor long, _at long")
+    return docs.select("_at", "_text").mapInArrow(run, T.StructType([T.StructField("anchor", T.LongType()), docs.schema["_at"]]))
 
 
 def _bitmap_bytes(bitmap: DataFrame) -> bytes:
@@ -244,12 +246,11 @@ def _window_rows(docs: DataFrame, shared: bytes) -> DataFrame:
     """(window, _at, _id, pos) of the windows whose anchor may be in more than one text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(shared)
-    kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            at = np.asarray(batch.column("_at"))
+            at = batch.column("_at")
             for rows, bases, words, part, begins in _blocks(batch.column("_text").to_pylist()):
                 key, hit = anchors(words, part).view(np.int64), begins
                 for probe in PROBES:
@@ -263,14 +264,15 @@ def _window_rows(docs: DataFrame, shared: bytes) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(window_names(words)[hit].view(np.int64)), pa.array(at[row]), batch.column("_id").take(pa.array(row)),
+                        pa.array(window_names(words)[hit].view(np.int64)), at.take(pa.array(row)), batch.column("_id").take(pa.array(row)),
                         pa.array((hit - first[own] + bases[own]).astype(np.int32)),
                     ],
                     names=["window", "_at", "_id", "pos"],
                 )
         _HASHES.clear()
 
-    return docs.mapInArrow(run, f"window long, _at long, _id {kind}, pos int")
+    fields = [T.StructField("window", T.LongType()), docs.schema["_at"], docs.schema["_id"], T.StructField("pos", T.IntegerType())]
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -312,15 +314,19 @@ def _joined(words: Iterable[bytes]) -> tuple[str, int]:
     return b" ".join(own).decode(), len(own)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_words``, ``n_removed`` and ``kept_text``, the kept words joined by spaces."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanned: bool = False) -> DataFrame:
+    """One row per row of ``docs``: its id, ``n_words``, ``n_removed`` and ``kept_text``, the kept words joined by spaces.
+
+    ``scanned``: ``docs`` is a table as read from Parquet files (:func:`common.placed`).
+    """
     picked = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
-    rows = placed(picked, "_at")
+    rows = placed(picked, "_at", scanned)
     known, later = find_repeats(rows)
     later = stored(later, "repeat-starts")
     touched = later.select("_at").unionByName(known.where("whole").select("_at"))
     flagged = flag_keys(rows, F.xxhash64("_at"), key_bitmap(touched, F.xxhash64("_at")), "_touched")
-    kind = rows.schema["_id"].dataType.simpleString()
+    more = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())]
+    result = T.StructType([rows.schema["_id"], *(T.StructField(c, t) for c, t in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,5 +351,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hit = flagged.where("_touched").join(later, "_at", "left").join(whole, "_at", "left").select(
         "_id", "_text", "starts", F.coalesce("whole", F.lit(False)).alias("whole")
     )
-    done = calm.unionByName(hit).mapInArrow(run, f"_id {kind}, n_words long, n_removed long, kept_text string")
+    done = calm.unionByName(hit).mapInArrow(run, result)
     return done.withColumnRenamed("_id", id_col)

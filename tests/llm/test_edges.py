@@ -200,7 +200,7 @@ def regrouped(spark, tmp_path):
 
 def test_near_duplicates_when_jobs_split_the_file_differently(regrouped):
     docs, frame, split = regrouped
-    kept = minhash.deduplicate(frame)
+    kept = minhash.deduplicate(frame, scanned=True)
     split(True)
     assert frame.rdd.getNumPartitions() > 1
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
@@ -208,7 +208,7 @@ def test_near_duplicates_when_jobs_split_the_file_differently(regrouped):
 
 def test_repeats_when_jobs_split_the_file_differently(regrouped):
     docs, frame, split = regrouped
-    rest = recompress.remove_repeats(frame).select("doc_id", "n_words", "n_removed", "kept_text")
+    rest = recompress.remove_repeats(frame, scanned=True).select("doc_id", "n_words", "n_removed", "kept_text")
     split(True)
     assert Counter(tuple(r) for r in rest.collect()) == Counter(brute_repeats(docs, 13))
 

@@ -234,3 +234,52 @@ def test_anchors_do_not_depend_on_the_slices(texts, size):
     finally:
         recompress.TOGETHER, alnum.slices.__defaults__ = before, (alnum.SLICE,)
     assert got == want
+
+
+# Near-duplicates: links that the first centres miss
+
+
+def test_recall_of_links_in_hard_groups(spark, table):
+    """Chains, clouds around a text, and pairs behind shared boilerplate, against the links of all pairs."""
+    import random
+
+    from spendlake.llm import minhash
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = fresh(1)[0]
+        return out
+
+    texts = []
+    for _ in range(6):  # chains: each text a little further from the first
+        words = fresh(150)
+        for _ in range(40):
+            texts.append(words)
+            words = edited(words, 5)
+    for _ in range(4):  # clouds: pairs between 0.65 and 0.9
+        base = fresh(150)
+        texts += [edited(base, rng.randrange(3, 14)) for _ in range(100)]
+    boiler = fresh(120)
+    for _ in range(120):  # all share most of their words and are no links; every second one has a near copy
+        own = boiler + fresh(36)
+        texts += [own, edited(own, 5)] if rng.random() < 0.5 else [own]
+    rng.shuffle(texts)
+    sets = [frozenset(zip(t, t[1:])) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(a := sets[i] & sets[j]) >= 80 * (len(sets[i]) + len(sets[j]) - len(a))]
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in links:
+        label[max(root(i), root(j))] = min(root(i), root(j))
+    docs = table(*[(i, " ".join(t), "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_components(docs, shingle=2, percent=80, scanned=True).collect()}
+    assert not any(got[i] != got[j] and root(i) == root(j) for i, j in links), sum(got[i] != got[j] for i, j in links) / len(links)
+    assert all(got[i] == root(i) for i in got)
