@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.llm import exact, minhash, packing, pii, quality
+from spendlake.llm.common import has_files
 from spendlake.session import run_dir
 
 
@@ -25,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, over sets of five-word shingles at 0.8, the first stays."""
-    return minhash.deduplicate(docs, shingle=5, percent=80)
+    return minhash.deduplicate(docs, shingle=5, percent=80, scanned=has_files(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
