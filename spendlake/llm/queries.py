@@ -62,7 +62,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether it has more than 2048."""
-    counted = token_counts.count_tokens(_documents(spark, sf_dir), packing.default_tokenizer())
+    counted = token_counts.count_tokens(_documents(spark, sf_dir), packing.default_tokenizer(), scanned=True)
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 

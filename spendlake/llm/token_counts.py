@@ -13,7 +13,7 @@ Defined results:
 * special strings inside a text are one token each, as the library reads them by default;
 * texts of any length: postings are handed on whenever a bounded number has gathered.
 
-The input must give its rows in the same order when it is read again, as a stored table does.
+Rows are named by file and row number, so the two scans may split the files differently. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.llm import wordbpe
-from spendlake.llm.common import quoted, small_batches
+from spendlake.llm.common import placed, quoted, small_batches
 
 #: Postings a task gathers before it hands them on, and rows of a block.
 GATHERED, BLOCK_ROWS = 2_000_000, 1 << 16
@@ -52,14 +52,14 @@ class _Counts(dict):
 
 
 def postings(docs: DataFrame, tokenizer_path: str, destinations: int) -> DataFrame:
-    """Rows (to, base, tokens, sizes, rows, counts) for ``docs`` (_at, _text).
+    """Rows (to, file, base, tokens, sizes, rows, counts) for ``docs`` (_file, _row, _text).
 
-    ``tokens`` are the pre-tokens, one in a line; the next ``sizes[i]`` entries are of token i: row ``base + rows[j]`` has it
+    ``tokens`` are the pre-tokens, one in a line; the next ``sizes[i]`` entries are of token i: row ``base + rows[j]`` of the file has it
     ``counts[j]`` times. The numbers are packed.
     """
     small_batches(docs.sparkSession)
 
-    def flush(codes: _Codes, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], base: int) -> pa.RecordBatch:
+    def flush(codes: _Codes, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], file: int, base: int) -> pa.RecordBatch:
         tokens = np.asarray(list(codes), object)
         to = np.fromiter((zlib.crc32(t.encode()) % destinations for t in codes), np.int64, len(codes))
         code, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -73,38 +73,38 @@ def postings(docs: DataFrame, tokenizer_path: str, destinations: int) -> DataFra
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             part = slice(ends[a], ends[b])
             out.append((
-                int(to[own[a]]), base, "\n".join(tokens[own[a:b]]), sizes[a:b].astype("<u4").tobytes(),
+                int(to[own[a]]), file, base, "\n".join(tokens[own[a:b]]), sizes[a:b].astype("<u4").tobytes(),
                 at[part].astype("<u2").tobytes(), n[part].astype("<u4").tobytes(),
             ))
-        types = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["to", "base", "tokens", "sizes", "rows", "counts"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["to", "file", "base", "tokens", "sizes", "rows", "counts"]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = wordbpe.tokenizer(tokenizer_path).split
-        codes, found, many, base = _Codes(), [], 0, -1
+        codes, found, many, last, base = _Codes(), [], 0, 0, -1
         for batch in batches:
-            for at, text in zip(batch.column("_at").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            for file, at, text in zip(*(batch.column(c).to_pylist() for c in ("_file", "_row", "_text")), strict=True):
                 words = split(text) if text else []
                 if not words:
                     continue
-                if found and (many > GATHERED or at - base >= BLOCK_ROWS):
-                    yield flush(codes, found, base)
+                if found and (many > GATHERED or file != last or not 0 <= at - base < BLOCK_ROWS):
+                    yield flush(codes, found, last, base)
                     codes, found, many = _Codes(), [], 0
                 if not found:
-                    base = at
+                    last, base = file, at
                 code, n = np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), return_counts=True)
                 found.append((code, np.full(len(code), at - base), n))
                 many += len(code)
         if found:
-            yield flush(codes, found, base)
+            yield flush(codes, found, last, base)
 
-    schema = "to int, base long, tokens string, sizes binary, rows binary, counts binary"
-    return docs.select("_at", "_text").mapInArrow(gather, schema)
+    schema = "to int, file long, base long, tokens string, sizes binary, rows binary, counts binary"
+    return docs.select("_file", "_row", "_text").mapInArrow(gather, schema)
 
 
 def sums_of_postings(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(base, rows, sums), packed: for each row of postings, the tokens that it adds to the texts it speaks of."""
+    """(file, base, rows, sums), packed: for each row of postings, the tokens that it adds to the texts it speaks of."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _Counts(tokenizer_path)
@@ -121,23 +121,25 @@ def sums_of_postings(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
                 at = np.flatnonzero(sums)
                 out.append((at.astype("<u2").tobytes(), sums[at].astype("<u4").tobytes()))
             packed = [pa.array(list(c), pa.binary()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("base"), *packed], names=["base", "rows", "sums"])
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("base"), *packed], names=["file", "base", "rows", "sums"])
 
-    return dealt.mapInArrow(join, "base long, rows binary, sums binary")
+    return dealt.mapInArrow(join, "file long, base long, rows binary, sums binary")
 
 
 def added_up(sums: DataFrame) -> DataFrame:
-    """(_at, n): the tokens of each text. The sums of a block meet in one task, which holds one number for each text."""
+    """(_file, _row, n): the tokens of each text. The sums of a block meet in one task, which holds one number for each text."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, total = None, np.zeros(BLOCK_ROWS, np.int64)
 
         def done() -> pa.RecordBatch:
             at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(total[at])], names=["_at", "n"])
+            file, row = np.full(len(at), base[0]), base[1] + at
+            return pa.RecordBatch.from_arrays([pa.array(file), pa.array(row), pa.array(total[at])], names=["_file", "_row", "n"])
 
         for batch in batches:
-            for own, rows, n in zip(*(batch.column(c).to_pylist() for c in ("base", "rows", "sums")), strict=True):
+            for file, first, rows, n in zip(*(batch.column(c).to_pylist() for c in ("file", "base", "rows", "sums")), strict=True):
+                own = (file, first)
                 if own != base:
                     if base is not None:
                         yield done()
@@ -146,18 +148,22 @@ def added_up(sums: DataFrame) -> DataFrame:
         if base is not None:
             yield done()
 
-    return sums.repartition("base").sortWithinPartitions("base").mapInArrow(add, "_at long, n long")
+    return sums.repartition("file", "base").sortWithinPartitions("file", "base").mapInArrow(add, "_file long, _row long, n long")
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_bytes`` and ``n_tokens``."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_at"), quoted(id_col).alias("_id"), quoted(text_col).alias("_text")
-    )
+def count_tokens(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", scanned: bool = False
+) -> DataFrame:
+    """One row per row of ``docs``: its id, ``n_bytes`` and ``n_tokens``.
+
+    ``scanned``: ``docs`` is a table as read from Parquet files (:func:`common.placed`).
+    """
+    named = placed(docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")), "_at", scanned)
+    rows = named.select(F.col("_at.file").alias("_file"), F.col("_at.row").alias("_row"), "_id", "_text")
     destinations = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings(rows, tokenizer_path, destinations).repartitionById(destinations, F.col("to"))
     sums = added_up(sums_of_postings(dealt, tokenizer_path)).withColumnRenamed("n", "_n")
-    own = rows.select("_at", "_id", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return own.join(sums, "_at", "left").select(
+    own = rows.select("_file", "_row", "_id", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return own.join(sums, ["_file", "_row"], "left").select(
         F.col("_id").alias(id_col), "n_bytes", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_tokens")
     )

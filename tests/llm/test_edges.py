@@ -213,6 +213,17 @@ def test_repeats_when_jobs_split_the_file_differently(regrouped):
     assert Counter(tuple(r) for r in rest.collect()) == Counter(brute_repeats(docs, 13))
 
 
+def test_token_counts_when_jobs_split_the_file_differently(regrouped):
+    from tokenizers import Tokenizer
+
+    docs, frame, split = regrouped
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    counted = token_counts.count_tokens(frame, packing.default_tokenizer(), scanned=True)
+    split(True)
+    want = Counter((i, len(library.encode(t, add_special_tokens=False).ids)) for i, t in docs)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in counted.collect()) == want
+
+
 def test_rows_that_are_no_scan_are_numbered_once(spark, regrouped):
     docs, frame, split = regrouped
     for rows in (frame.unionByName(frame), frame.repartition(3), frame.where("doc_id % 2 = 0").select("text", "doc_id"), spark.read.parquet(*frame.inputFiles() * 2)):
