@@ -7,7 +7,9 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,15 @@ def placed(df: DataFrame, at: str, scanned: bool = False) -> DataFrame:
     return df.withColumn(at, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
+def parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some ``most`` bytes of text; a text is never cut."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    at = (np.cumsum(sizes) - sizes) // most
+    cuts = [*np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)]).tolist(), len(at)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """A column name that no column of ``taken`` has, in any letter case."""
     low = {c.lower() for c in taken}

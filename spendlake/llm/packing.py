@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlake.llm import wordbpe
-from spendlake.llm.common import quoted, small_batches, stored
+from spendlake.llm.common import parts, quoted, small_batches, stored
+
+#: Bytes of text whose pre-tokens are held at once.
+ENCODED_BYTES = 1 << 20
 
 #: One interval of the plan: pieces ``first <= number < last`` of a length; sequence = ``sequence + (number - first) // times``.
 Interval = tuple[int, int, int, int, int, int]  # length, first, last, sequence, times, offset
@@ -139,7 +142,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, task = wordbpe.pool(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "_text", ENCODED_BYTES)):
             ids, per_text = pool.encode(batch.column("_text").to_pylist())
             flat = np.insert(ids, np.cumsum(per_text), end_id).astype("<u4")
             size = per_text + 1
