@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -403,48 +404,103 @@ def _(t: Tables):
 
 # ── Plug-ins ──────────────────────────────────────────────────────────────
 
-class LineItemConnector(plugins.Connector):
-    """A connector over a Parquet file of line items: one slice reads one month."""
+class PayloadConnector(plugins.Connector):
+    """A connector over payload documents, a folder of JSON lines for each month: one slice reads its months' files, line by line."""
+
+    day_column = "charge_date"
+    ROWS = 5000
 
     def __init__(self, options: dict) -> None:
-        self.file = options["file"]
+        self.folder, self.complete = options["folder"], options["complete"]
+
+    def available(self):
+        from datetime import date
+
+        return date.fromisoformat(self.complete)
 
     def fetch(self, start, end, account):
-        import datetime
+        import json
+        from decimal import Decimal
+        from io import TextIOWrapper
 
         import pyarrow as pa
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
-
-        moments = [datetime.datetime(d.year, d.month, d.day) for d in (start, end)]
-        table = pq.read_table(
-            self.file, columns=["l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"],
-            filters=[("l_shipdate", ">=", moments[0]), ("l_shipdate", "<", moments[1])])
-        names = pa.array(["aws", "azure", "gcp"])
-        key = table["l_suppkey"]
-        provider = names.take(pc.subtract(key, pc.multiply(pc.divide(key, 3), 3)).combine_chunks())
-        out = pa.table({
-            "provider_name": provider,
-            "charge_date": table["l_shipdate"].cast("date32"),
-            "usage_quantity": table["l_quantity"],
-            "list_cost": pc.round(table["l_extendedprice"], 2).cast(pa.decimal128(18, 6)),
-        })
-        yield from out.to_batches()
-
-
-@query("p1_connector_source", """
+        from pyarrow import fs
+
+        layout = pa.schema([("provider_name", pa.string()), ("charge_date", pa.date32()), ("usage_quantity", pa.float64()),
+                            ("list_cost", pa.decimal128(18, 6))])
+
+        def batch(rows):
+            days = pa.array([r["date"] for r in rows]).cast(pa.date32())
+            costs = pa.array([Decimal(r["cost"]) for r in rows], pa.decimal128(18, 6))
+            return pa.record_batch([pa.array([r["provider"] for r in rows]), days, pa.array([r["usage"] for r in rows], pa.float64()), costs], schema=layout)
+
+        store, root = plugins._store(self.folder)
+        rows = []
+        for file in store.get_file_info(fs.FileSelector(f"{root}/month={start:%Y-%m}", allow_not_found=True)):
+            if not file.base_name.startswith("part-"):
+                continue
+            with TextIOWrapper(store.open_input_stream(file.path), encoding="utf-8") as lines:
+                for line in lines:
+                    row = json.loads(line)
+                    if start.isoformat() <= row["date"] < end.isoformat():
+                        rows.append(row)
+                    if len(rows) >= self.ROWS:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+
+def payload_folder(t: Tables) -> tuple[str, date, date]:
+    """The line items as payload documents by month, written by Spark; and their first day and the one after the last."""
+    path = run_dir(t.spark, "payloads")
+    day = F.to_date("l_shipdate")
+    provider = F.get(F.array(*[F.lit(p) for p in ("aws", "azure", "gcp")]), (F.col("l_suppkey") % 3).cast("int"))
+    document = F.to_json(F.struct(
+        provider.alias("provider"), day.cast("string").alias("date"), F.col("l_quantity").cast("double").alias("usage"),
+        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("cost")))
+    rows = t.table("lineitem").where("l_shipdate is not null")
+    rows.select(document.alias("value"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).write.partitionBy("month").text(path)
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    return path, first, last + timedelta(days=1)
+
+
+def _connector(t: Tables) -> str:
+    layout = "provider_name string, charge_date date, usage_quantity double, list_cost decimal(18,6)"
+    plugins.register_sources(t.spark, plugins.connector_source("payload_connector", PayloadConnector, layout))
+    return "payload_connector"
+
+
+def _by_month(rows):
+    return rows.groupBy("provider_name", F.trunc("charge_date", "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("usage_quantity").alias("usage"), dollars(F.sum("list_cost"), 2).alias("list_cost"))
+
+
+_P1_SQL = """
 SELECT CASE l_suppkey % 3 WHEN 0 THEN 'aws' WHEN 1 THEN 'azure' ELSE 'gcp' END AS provider_name, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
   count(*) AS rows, sum(l_quantity) AS usage, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS list_cost
-FROM lineitem WHERE l_shipdate < TIMESTAMP '2002-01-01' GROUP BY ALL""", billing=False)
+FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY ALL"""
+
+
+@query("p1_connector_source", _P1_SQL, billing=False)
 def _(t: Tables):
-    source = plugins.connector_source(
-        "lineitem_connector", LineItemConnector,
-        "provider_name string, charge_date date, usage_quantity double, list_cost decimal(18,6)")
-    plugins.register_sources(t.spark, source)
-    rows = t.spark.read.format("lineitem_connector").options(
-        file=f"{t.sf_dir}/lineitem.parquet", start="1995-01-01", end="2002-01-01").load()
-    return rows.groupBy("provider_name", F.trunc("charge_date", "month").alias("month")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("usage_quantity").alias("usage"), dollars(F.sum("list_cost"), 2).alias("list_cost"))
+    folder, first, end = payload_folder(t)
+    rows = t.spark.read.format(_connector(t)).options(
+        folder=folder, complete=end.isoformat(), start=first.isoformat(), end=end.isoformat()).load()
+    return _by_month(rows)
+
+
+@query("p1_connector_stream", _P1_SQL, billing=False)
+def _(t: Tables):
+    """Two runs of one stream: the second goes on where the first, with a source that was complete up to mid-1998 only, had ended."""
+    folder, first, end = payload_folder(t)
+    out = run_dir(t.spark, "connector-stream")
+    for complete in (min(date(1998, 6, 10), end), end):
+        rows = t.spark.readStream.format(_connector(t)).options(
+            folder=folder, complete=complete.isoformat(), start=first.isoformat()).load()
+        started = rows.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch_id={i}"))
+        _drain(jobs.start(started, f"{out}/checkpoint", once=True))
+    return _by_month(t.spark.read.parquet(f"{out}/rows"))
 
 
 plugins.detector("idle_machines")(
@@ -464,6 +520,20 @@ def _(t: Tables):
         F.count(F.lit(1)).alias("insights"))
 
 
+@query("p3_file_export", f"""
+SELECT provider_name, count(*) AS rows, {S('effective_cost')} AS cost, (SELECT count(*) FROM b) AS records FROM b GROUP BY ALL""")
+def _(t: Tables):
+    """Exported twice: readers see the files of the last export, as its manifest names them."""
+    path = run_dir(t.spark, "file-export")
+    rows = t.staged.select("provider_name", F.col("effective_cost").cast("string").alias("effective_cost"))
+    plugins.export_files(rows.limit(10), path, plugins.JsonLines())
+    manifest = plugins.export_files(rows, path, plugins.JsonLines())
+    back = t.spark.read.schema("provider_name string, effective_cost string").json(plugins.exported_files(path))
+    return back.groupBy("provider_name").agg(
+        F.count(F.lit(1)).alias("rows"), dollars(F.sum(F.col("effective_cost").cast("decimal(18,6)"))).alias("cost"),
+        F.lit(manifest["records"]).alias("records"))
+
+
 @query("p3_exporter", f"""
 SELECT provider_name, count(*) AS rows, {S('effective_cost')} AS cost, (SELECT count(*) FROM b) AS records_exported FROM b GROUP BY ALL""")
 def _(t: Tables):

@@ -624,3 +624,50 @@ def test_isolation_finds_planted_days_alike_in_any_partitions(spark):
         assert planted <= top
         assert sum(f for (key, _), (_, f) in one.items() if key == k) == 20
     assert not any(f for (key, _), (_, f) in one.items() if key == "flat")
+
+
+# ── Plug-ins: commit, abort and pushed filters ────────────────────────────
+
+class _BreaksOn(plugins.JsonLines):
+    def encode(self, batch) -> bytes:
+        if any(row["id"] == 777 for row in batch.to_pylist()):
+            raise ValueError("no room")
+        return super().encode(batch)
+
+
+def test_a_failed_export_leaves_nothing_and_the_manifest_counts(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "out")
+    with pytest.raises(Exception, match="no room"):
+        plugins.export_files(spark.range(1000).repartition(4), path, _BreaksOn())
+    assert plugins.exported_files(path) == [] and not any(files for _, _, files in os.walk(path))
+    manifest = plugins.export_files(spark.range(500).repartition(4), path, _BreaksOn())
+    assert manifest["records"] == 500 and manifest["bytes"] == sum(os.path.getsize(f) for f in plugins.exported_files(path))
+    with pytest.raises(Exception, match="no room"):
+        plugins.export_files(spark.range(1000), path, _BreaksOn())
+    assert spark.read.json(plugins.exported_files(path)).count() == 500
+
+
+class _Days(plugins.Connector):
+    day_column = "day"
+
+    def __init__(self, options) -> None:
+        self.log = options["log"]
+
+    def fetch(self, start, end, account):
+        import pyarrow as pa
+
+        with open(f"{self.log}/{start}_{end}", "w"):
+            pass
+        n = (end - start).days
+        yield pa.record_batch([pa.array([start.toordinal() + i - 719163 for i in range(n)], pa.int32()).cast(pa.date32())], names=["day"])
+
+
+def test_filters_on_the_day_narrow_what_a_connector_fetches(spark, tmp_path):
+    import os
+
+    plugins.register_sources(spark, plugins.connector_source("days_of_a_test", _Days, "day date"))
+    rows = spark.read.format("days_of_a_test").options(log=str(tmp_path), start="2024-01-01", end="2025-01-01").load()
+    assert rows.filter("day >= date'2024-03-05' and day < date'2024-04-02'").count() == 28
+    assert sorted(os.listdir(tmp_path)) == ["2024-03-05_2024-04-01", "2024-04-01_2024-04-03"]
