@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlake.operators.numbering import in_chunks
 from spendlake.functions.columns import as_date
 from spendlake.operators.spend import top_per
 
@@ -90,19 +91,9 @@ def event_json(source: str = "finops") -> Column:
 LOG_BATCH = {"splunk": 500, "datadog": 1000}
 
 
-def batch_ids(df: DataFrame, key: str, size: int, hex_digits: int = 2) -> DataFrame:
-    """Number rows into batches of at most ``size``, the same way on every run.
-
-    Rows are spread over 16 ** hex_digits buckets by a hash of their unique
-    key and numbered inside a bucket, so no window holds the whole table. Use
-    more digits for larger tables.
-    """
-    spread = df.withColumn("_bucket", F.substring(F.md5(F.col(key).cast("string")), 1, hex_digits))
-    numbered = Window.partitionBy("_bucket").orderBy(key)
-    position = F.row_number().over(numbered) - 1
-    return spread.withColumn(
-        "batch_id", F.concat_ws("-", "_bucket", F.floor(position / size).cast("string"))
-    ).drop("_bucket")
+def batch_ids(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Number rows into batches of ``size`` along their unique key, the same way on every run; only the last is smaller."""
+    return in_chunks(df, [key], size, "batch_id")
 
 
 def audit_log_payloads(events: DataFrame, dest: str, index: str = "finops_audit",
@@ -157,25 +148,16 @@ def _by_event_id(left: Column, right: Column) -> Column:
     return F.when(left["eventID"] < right["eventID"], -1).when(left["eventID"] > right["eventID"], 1).otherwise(0)
 
 
-def audit_cloudtrail(events: DataFrame, chunk: int = 1000, hex_digits: int = 2) -> DataFrame:
-    """Documents of at most ``chunk`` records each, by day.
-
-    A day may hold any number of events, so a day is cut into hash buckets and
-    each bucket into numbered chunks before records are collected.
-    """
-    rows = events.select(
-        F.to_date("timestamp").alias("day"), "event_id",
-        F.substring(F.md5("event_id"), 1, hex_digits).alias("bucket"),
-        cloudtrail_record().alias("record"),
-    )
-    numbered = Window.partitionBy("day", "bucket").orderBy("event_id")
+def audit_cloudtrail(events: DataFrame, chunk: int = 1000) -> DataFrame:
+    """Documents of ``chunk`` records each, by day; only a day's last is smaller. A day may hold any number of events."""
+    rows = events.select(F.to_date("timestamp").alias("day"), "event_id", cloudtrail_record().alias("record"))
     return (
-        rows.withColumn("part", F.floor((F.row_number().over(numbered) - 1) / chunk))
-        .groupBy("day", "bucket", "part")
+        in_chunks(rows, ["event_id"], chunk, "part", ["day"])
+        .groupBy("day", "part")
         .agg(F.array_sort(F.collect_list("record"), _by_event_id).alias("Records"))
         .select(
             F.date_format("day", "yyyy").alias("year"), F.date_format("day", "MM").alias("month"),
-            F.date_format("day", "dd").alias("day"), "bucket", "part", "Records")
+            F.date_format("day", "dd").alias("day"), "part", "Records")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendlake import plugins, schema
 from spendlake.functions import lookups
 from spendlake.functions.columns import dollars, sum_dollars
+from spendlake.operators.numbering import in_chunks
 from spendlake.operators import detectors, series, staging
 from spendlake.plans.catalog_detectors import LIMITS
 from spendlake.plans.catalog_series import FIT_CTE, series_cte, service_series
@@ -40,8 +41,12 @@ def _stored(df, t: Tables, name: str) -> str:
     return path
 
 
+#: Groups or rows of one response.
+GROUPS = 1000
+
+
 def aws_documents(t: Tables):
-    """One response per day and payer account."""
+    """Responses of at most ``GROUPS`` groups each, by day and payer account, as a paged export gives them."""
     amount = {n: F.struct(F.col(c).cast("string").alias("Amount"), F.lit(u).alias("Unit"))
               for n, c, u in (("BlendedCost", "cost", "USD"), ("UnblendedCost", "cost", "USD"), ("UsageQuantity", "usage", "Hrs"))}
     groups = raw_charges(t, "aws").groupBy(
@@ -49,7 +54,8 @@ def aws_documents(t: Tables):
     ).agg(F.sum("cost").alias("cost"), F.sum("usage_quantity").alias("usage"))
     group = F.struct(F.array("service", "sub_account_id", "region_id", "hint").alias("Keys"),
                      F.struct(*[v.alias(k) for k, v in amount.items()]).alias("Metrics"))
-    return groups.groupBy("day", "billing_account_id").agg(F.collect_list(group).alias("Groups")).select(
+    paged = in_chunks(groups, ["service", "sub_account_id", "region_id", "hint"], GROUPS, "page", ["day", "billing_account_id"])
+    return paged.groupBy("day", "billing_account_id", "page").agg(F.collect_list(group).alias("Groups")).select(
         F.array(F.struct(
             F.struct(F.date_format("day", "yyyy-MM-dd").alias("Start"),
                      F.date_format(F.date_add("day", 1), "yyyy-MM-dd").alias("End")).alias("TimePeriod"), "Groups",
@@ -107,7 +113,9 @@ def azure_rows(t: Tables):
         F.col("cost"), F.col("list_cost"), F.col("usage_quantity"), F.date_format("charge_period_start", "yyyyMMdd"),
         F.col("service"), F.col("region_id"), F.col("hint"), F.col("commitment_discount_id"), F.col("sub_account_id"),
         F.col("resource_type"))])
-    documents = raw_charges(t, "azure").groupBy(F.to_date("charge_period_start").alias("day"), "billing_account_id").agg(
+    charges = raw_charges(t, "azure").withColumn("day", F.to_date("charge_period_start")).drop("tags")
+    paged = in_chunks(charges, ["service", "region_id", "sub_account_id", "cost"], GROUPS, "page", ["day", "billing_account_id"])
+    documents = paged.groupBy("day", "billing_account_id", "page").agg(
         F.collect_list(cells).alias("rows")).select(
         F.array(*[F.struct(F.lit(n).alias("name")) for n in names]).alias("columns"), "rows")
     raw = payloads.read_payloads(t.spark, _stored(documents, t, "azure"), payloads.AZURE_SCHEMA)

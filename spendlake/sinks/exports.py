@@ -127,7 +127,7 @@ def write_audit_jsonl(events: DataFrame, path: str, append: bool = True, compres
 def write_audit_cloudtrail(events: DataFrame, path: str, chunk: int = 1000, compress: bool = True) -> None:
     """``Records`` documents below year/month/day folders."""
     (
-        audit_cloudtrail(events, chunk).drop("bucket", "part")
+        audit_cloudtrail(events, chunk).drop("part")
         .write.mode("append").partitionBy("year", "month", "day")
         .option("compression", "gzip" if compress else "none").json(path)
     )

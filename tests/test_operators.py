@@ -403,9 +403,22 @@ def test_export_has_33_columns(billing):
 
 
 def test_batches_are_bounded_and_whole(spark):
-    rows = audit.batch_ids(spark.range(5000).select(F.col("id").cast("string").alias("k")), "k", 7, 1)
-    sizes = [r["count"] for r in rows.groupBy("batch_id").count().collect()]
-    assert max(sizes) <= 7 and sum(sizes) == 5000
+    rows = audit.batch_ids(spark.range(5000).repartition(6).select(F.col("id").cast("string").alias("k")), "k", 7)
+    sizes = [r["count"] for r in rows.groupBy("batch_id").count().orderBy("batch_id").collect()]
+    assert sizes == [7] * 714 + [2]
+    edges = rows.groupBy("batch_id").agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("batch_id").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(edges, edges[1:]))
+
+
+def test_numbers_in_groups_hold_nulls_and_hot_groups(spark):
+    from spendlake.operators.numbering import numbered
+
+    df = spark.range(2000).repartition(7).selectExpr("case when id % 10 < 8 then 'hot' when id % 10 = 8 then null else 'b' end as g", "id % 50 as v", "id")
+    rows = numbered(df, ["v", "id"], "n", ["g"]).collect()
+    for g in ("hot", None, "b"):
+        own = sorted((r["n"], r["v"], r["id"]) for r in rows if r["g"] == g)
+        assert [n for n, _, _ in own] == list(range(len(own))) and [o[1:] for o in own] == sorted(o[1:] for o in own)
+    assert len(rows) == 2000 and numbered(df.filter("false"), ["v"], "n").count() == 0
 
 
 def test_metric_points(spark):
