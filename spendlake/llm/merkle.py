@@ -43,18 +43,18 @@ def digest(columns: Sequence[Column]) -> Column:
 
 
 def leaves(rows: DataFrame, columns: Sequence[str], id_col: str, group_col: str, carry: Sequence[Column] = ()) -> DataFrame:
-    """(tree, idx, id, node, ...): the digest of every row and its number in its group, and the columns of ``carry``."""
+    """(tree, idx, size, id, node, ...): the digest of every row, its number in its group and the group's size, and the columns of ``carry``."""
     group = quoted(group_col).cast("string")
     named = rows.select(
         F.coalesce(F.concat(F.lit("="), group), F.lit("-")).alias("tree"), quoted(id_col).alias("id"),
         digest([quoted(c) for c in columns]).alias("node"), F.monotonically_increasing_id().alias("salt"), *carry,
     )
     # Written first: the ranges are found by a pass of their own, which must not read and hash the texts again.
-    return numbered(stored(named, "merkle-digests"), [F.col("id").asc_nulls_first(), F.col("node"), F.col("salt")], "idx", "tree").drop("salt")
+    return numbered(stored(named, "merkle-digests"), [F.col("id").asc_nulls_first(), F.col("node"), F.col("salt")], "idx", "tree", "size").drop("salt")
 
 
 def _siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """``nodes`` (tree, idx, node) with the siblings before and behind each, joined to one text each."""
+    """``nodes`` (tree, idx, size, node) with the siblings before and behind each, joined to one text each."""
     slot = F.pmod("idx", F.lit(arity))
     out = nodes.withColumn("slot", slot)
     for offset in range(1, arity):
@@ -64,27 +64,26 @@ def _siblings(nodes: DataFrame, arity: int) -> DataFrame:
     # Offset o stands in slot (slot + o) mod arity: from arity - slot on before the node, in order; the others behind it.
     at = lambda o, before: F.when((F.col("slot") + o >= arity) == F.lit(before), F.col(f"_{o}"))
     joined = lambda before: F.concat_ws("", *[at(o, before) for o in range(1, arity)])
-    return out.select("tree", "idx", "slot", "node", joined(True).alias("before"), joined(False).alias("behind"))
+    return out.select("tree", "idx", "size", "slot", "node", joined(True).alias("before"), joined(False).alias("behind"))
 
 
 def levels(nodes: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
-    """The levels (tree, idx, slot, node, before, behind) of all trees over ``nodes`` (tree, idx, node), lowest first; and (tree,
-    height, root) of each tree. A tree that is done is in no higher level."""
+    """The levels (tree, idx, size, slot, node, before, behind) of all trees over ``nodes`` (tree, idx, size, node), lowest first; and
+    (tree, height, root) of each tree. A tree that is done is in no higher level. Each node knows the size of its level, so no join
+    is on the tree."""
     below: list[DataFrame] = []
     roots = None
     while True:
-        last = nodes.groupBy("tree").agg(F.max("idx").alias("_last"))
-        done = last.where("_last = 0").select("tree")
-        single = nodes.where("idx = 0").join(done, "tree").select("tree", F.lit(len(below)).alias("height"), F.col("node").alias("root"))
-        single = stored(single, "merkle-roots")
+        single = nodes.where("size = 1").select("tree", F.lit(len(below)).alias("height"), F.col("node").alias("root"))
         roots = single if roots is None else roots.unionByName(single)
-        more = nodes.join(done, "tree", "left_anti")
+        more = nodes.where("size > 1")
         if more.isEmpty():
             return below, roots
         met = stored(_siblings(more, arity), "merkle-level")
         below.append(met)
+        up = [F.expr(f"idx div {int(arity)}").alias("idx"), F.expr(f"(size + {int(arity) - 1}) div {int(arity)}").alias("size")]
         parent = F.sha2(F.concat("node", "behind"), 256)
-        nodes = stored(met.where("slot = 0").select("tree", F.expr(f"idx div {int(arity)}").alias("idx"), parent.alias("node")), "merkle-nodes")
+        nodes = stored(met.where("slot = 0").select("tree", *up, parent.alias("node")), "merkle-nodes")
 
 
 def _paths(below: list[DataFrame], top: DataFrame, arity: int) -> DataFrame:
@@ -121,11 +120,11 @@ def manifest(
     if arity < 2:
         raise ValueError("arity must be 2 at least")
     found = stored(leaves(rows, columns, id_col, group_col, carry), "merkle-leaves")
-    below, roots = levels(found.select("tree", "idx", "node"), arity)
+    below, roots = levels(found.select("tree", "idx", "size", "node"), arity)
     roots = stored(roots, "merkle-roots")
-    lots = numbered(roots, [F.col("tree")], "idx")
-    named = stored(lots.select(F.lit(TOP).alias("tree"), "idx", F.col("root").alias("node"), F.col("tree").alias("group"), "height"), "merkle-groups")
-    above, top = levels(named.select("tree", "idx", "node"), arity)
+    lots = numbered(roots, [F.col("tree")], "idx", total="size")
+    named = stored(lots.select(F.lit(TOP).alias("tree"), "idx", "size", F.col("root").alias("node"), F.col("tree").alias("group"), "height"), "merkle-groups")
+    above, top = levels(named.select("tree", "idx", "size", "node"), arity)
     ends = stored(top, "merkle-roots").select("tree", "height", F.array().cast("array<struct<before:string,behind:string>>").alias("path"), F.col("root").alias("subroot"))
     # From the root down to the roots of the groups, then on to the leaves.
     upper = _paths(above, ends, arity).select("idx", "path").join(named.select("idx", "group", "height", F.col("node").alias("subroot")), "idx")
@@ -133,5 +132,5 @@ def manifest(
     path = _paths(below, upper, arity)
     root = top.select("root").first()
     out = found.withColumnRenamed("node", "leaf").join(path, ["tree", "idx"])
-    kept = [c for c in found.columns if c not in ("tree", "idx", "id", "node")]
+    kept = [c for c in found.columns if c not in ("tree", "idx", "size", "id", "node")]
     return out.select("id", "tree", "leaf", "subroot", F.lit(root[0] if root else None).cast("string").alias("root"), "path", *kept)
