@@ -92,20 +92,22 @@ def scoped_budgets(b: DataFrame, budgets: DataFrame, as_of) -> DataFrame:
     )
 
 
-def monitor_thresholds(b: DataFrame, budgets: DataFrame, start=None, end=None) -> DataFrame:
-    """Days whose cost passes a budget's daily share: critical above it, warning above 80 % of it.
+def monitor_thresholds(daily: DataFrame, budgets: DataFrame, start=None, end=None) -> DataFrame:
+    """Days of the daily rollup (``rollups.daily_costs_ext``) whose cost passes a budget's daily share: critical above it, warning above 80 % of it.
 
     Budgets name a provider and a service; a NULL stands for all of them.
     """
     keys = [F.col("provider_name"), F.col("service_name")]
+    for test in ([F.col("day") >= F.lit(as_date(start))] if start is not None else []) + (
+            [F.col("day") <= F.lit(as_date(end))] if end is not None else []):
+        daily = daily.filter(test)
     daily = (
-        filter_billing(b, start, end).withColumn("day", day_of("charge_period_start"))
-        .groupingSets([["day", "provider_name", "service_name"], ["day", "provider_name"],
+        daily.groupingSets([["day", "provider_name", "service_name"], ["day", "provider_name"],
                        ["day", "service_name"], ["day"]], "day", *keys)
         .agg(
             F.when(F.grouping("provider_name") == 1, "*").otherwise(F.col("provider_name")).alias("provider"),
             F.when(F.grouping("service_name") == 1, "*").otherwise(F.col("service_name")).alias("service"),
-            sum_dollars("effective_cost").alias("daily_cost"),
+            sum_dollars("total_effective_cost").alias("daily_cost"),
         )
         .select("day", "provider", "service", "daily_cost")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -301,8 +302,10 @@ def rolling_month(b: DataFrame) -> DataFrame:
 
     The window runs over daily sums, so its partitions hold one row per day.
     """
-    daily = b.groupBy("provider_name", day_of("charge_period_start").alias("day")).agg(
-        F.sum("effective_cost").alias("cost"))
+    return _rolling(b.groupBy("provider_name", day_of("charge_period_start").alias("day")).agg(F.sum("effective_cost").alias("cost")))
+
+
+def _rolling(daily: DataFrame) -> DataFrame:
     number = F.datediff("day", F.lit("1970-01-01").cast("date"))
     last30 = Window.partitionBy("provider_name").orderBy(number).rangeBetween(-29, 0)
     return daily.select(
@@ -322,26 +325,26 @@ def savings_by_agent(insights: DataFrame) -> DataFrame:
     )
 
 
-def dashboard_widgets(b: DataFrame, top: int = 10, start=None, end=None) -> DataFrame:
-    """The dashboard's widgets in one long table: (widget, series, day, value).
+def dashboard_widgets(daily: DataFrame, top: int = 10, start=None, end=None) -> DataFrame:
+    """The dashboard's widgets in one long table: (widget, series, day, value), from the daily rollup (``rollups.daily_costs_ext``).
 
-    With a range, only its months are read, and those that the first days' rolling sums look back to.
+    With a range, only its days are used, and those that the first days' rolling sums look back to.
     """
-    first = None if start is None else as_date(start) - timedelta(days=29)
-    rolling = rolling_month(filter_billing(b, first, end))
-    if start is not None:
-        rolling = rolling.filter(F.col("day") >= F.lit(as_date(start)))
-    b = filter_billing(b, start, end)
+    def within(rows: DataFrame, first, last) -> DataFrame:
+        tests = ([F.col("day") >= F.lit(first)] if first is not None else []) + ([F.col("day") <= F.lit(last)] if last is not None else [])
+        return rows.filter(reduce(lambda x, y: x & y, tests)) if tests else rows
+
+    first, last = (None if d is None else as_date(d) for d in (start, end))
+    looked = within(daily, None if first is None else first - timedelta(days=29), last)
+    rolling = within(_rolling(looked.groupBy("provider_name", "day").agg(F.sum("total_effective_cost").alias("cost"))), first, last)
     monthly = rolling.select(F.lit("monthly_cost").alias("widget"), F.col("provider_name").alias("series"),
                              "day", F.col("rolling_30d").alias("value"))
     lines = rolling.select(F.lit("provider_line").alias("widget"), F.col("provider_name").alias("series"),
                            "day", F.col("cost").alias("value"))
     toplist = (
-        b.groupBy("service_name").agg(sum_dollars("effective_cost").alias("value"))
+        within(daily, first, last).groupBy("service_name").agg(sum_dollars("total_effective_cost").alias("value"))
         .orderBy(F.desc("value"), "service_name").limit(top)
         .select(F.lit("top_services").alias("widget"), F.col("service_name").alias("series"),
                 F.lit(None).cast("date").alias("day"), "value")
     )
     return monthly.unionByName(lines).unionByName(toplist)
-
-

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spendlake.operators import budgets, detectors, spend
 from spendlake.plans.analysis import find_insights
-from spendlake.plans.catalog_spend import DAYS, END, PCT, RECENT, S
+from spendlake.plans.catalog_spend import DAYS, END, PCT, RECENT, S, daily_rollup
 from spendlake.plans.registry import query
 from spendlake.sinks import metrics
 from spendlake.sources.driver_tables import Tables
@@ -384,7 +384,7 @@ def _(t: Tables):
         .unionByName(t.staged.agg(amount).select(
             F.lit("all").alias("name"), none.alias("provider"), none.alias("service"), "monthly_threshold"))
     )
-    return budgets.monitor_thresholds(t.staged, plans)
+    return budgets.monitor_thresholds(daily_rollup(t), plans)
 
 
 @query("s12_savings_points", f"""

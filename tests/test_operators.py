@@ -458,8 +458,7 @@ def test_date_ranges_prune_months(spark, billing, tmp_path):
     daily = [
         staging.retain(b, "2024-01-31", 1), exports.export_rows(b, "2024-01-01", "2024-01-31"),
         spend.overview_by_service(b, "2024-01-01", "2024-01-31"), spend.spike_annotations(b, "2024-01-01", "2024-01-31"),
-        spend.daily_cost_points(b, "2024-01-01"), spend.dashboard_widgets(b, start="2024-01-01", end="2024-01-31"),
-        budgets.monitor_thresholds(b, spark.createDataFrame([("x", "aws", None, 1.0)], "name string, provider string, service string, monthly_threshold double"), "2024-01-01", "2024-01-31"),
+        spend.daily_cost_points(b, "2024-01-01"),
         spend.recent(b, "2024-01-31", 30),
     ]
     for df in daily:
@@ -468,6 +467,21 @@ def test_date_ranges_prune_months(spark, billing, tmp_path):
         assert filters and all("charge_month" in f for f in filters), filters
 
 
+def test_dashboard_and_monitor_take_a_range_of_the_daily_rollup(spark):
+    from datetime import date, timedelta
+
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(60)]
+    daily = spark.createDataFrame([("aws", "VM", d, Decimal(i + 1)) for i, d in enumerate(days)],
+                                  "provider_name string, service_name string, day date, total_effective_cost decimal(18,6)")
+    rows = spend.dashboard_widgets(daily, start="2024-02-10", end="2024-02-12").collect()
+    rolling = {r["day"]: r["value"] for r in rows if r["widget"] == "monthly_cost"}
+    assert rolling == {days[i]: float(sum(range(i - 28, i + 2))) for i in (40, 41, 42)}
+    assert [r["value"] for r in rows if r["widget"] == "top_services"] == [41.0 + 42.0 + 43.0]
+    plan = spark.createDataFrame([("x", "aws", None, 1290.0)], "name string, provider string, service string, monthly_threshold double")
+    hit = budgets.monitor_thresholds(daily, plan, "2024-02-10", "2024-02-13").collect()
+    assert sorted((r["day"], r["level"]) for r in hit) == [(days[40], "warning"), (days[41], "warning"), (days[42], "warning"), (days[43], "critical")]
+
+
 def test_levels_of_any_width():
     assert series.z_value(0.95) == 1.96 and abs(series.z_value(0.5) - 0.6745) < 1e-4
     with pytest.raises(ValueError):
