@@ -270,14 +270,20 @@ SELECT billing_account_id AS BillingAccountId, strftime(billing_period_start, '%
   strftime(charge_period_end, '%Y-%m-%dT%H:%M:%S') AS ChargePeriodEnd, charge_description AS ChargeDescription,
   service_name AS ServiceName, region_id AS RegionId, provider_name AS Provider,
   CAST(list_cost AS DOUBLE) AS ListCost, CAST(effective_cost AS DOUBLE) AS EffectiveCost,
-  CAST(billed_cost AS DOUBLE) AS BilledCost, usage_quantity AS UsageQuantity, commitment_discount_id AS CommitmentDiscountId
+  CAST(billed_cost AS DOUBLE) AS BilledCost, usage_quantity AS UsageQuantity, commitment_discount_id AS CommitmentDiscountId,
+  billing_account_name AS BillingAccountName, strftime(billing_period_end, '%Y-%m-%dT%H:%M:%S') AS BillingPeriodEnd,
+  strftime(charge_period_start, '%Y-%m-%dT%H:%M:%S') AS ChargePeriodStart, charge_category AS ChargeCategory, service_category AS ServiceCategory,
+  resource_id AS ResourceId, resource_name AS ResourceName, resource_type AS ResourceType, provider_name AS InvoiceIssuerName,
+  commitment_discount_type AS CommitmentDiscountType, tag_team AS Team, tag_owner AS Owner
 FROM b WHERE billing_period_start >= TIMESTAMP '1995-01-01' AND billing_period_start < TIMESTAMP '2002-01-01'
 """)
 def _(t: Tables):
     rows = exports.typed_cells(exports.export_rows(t.staged, START, END))
     return rows.select("BillingAccountId", "BillingPeriodStart", "ChargePeriodEnd", "ChargeDescription", "ServiceName",
                        "RegionId", "Provider", "ListCost", "EffectiveCost", "BilledCost", "UsageQuantity",
-                       "CommitmentDiscountId")
+                       "CommitmentDiscountId", "BillingAccountName", "BillingPeriodEnd", "ChargePeriodStart", "ChargeCategory",
+                       "ServiceCategory", "ResourceId", "ResourceName", "ResourceType", "InvoiceIssuerName", "CommitmentDiscountType",
+                       F.get_json_object("Tags", "$.team").alias("Team"), F.get_json_object("Tags", "$.owner").alias("Owner"))
 
 
 @query("s9_export_files", f"""
