@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spendlake import schema
 from spendlake.functions import lookups
 from spendlake.functions.columns import (
-    blank_to_null, as_date, day_of, month_number, present, share_pct, tag,
+    blank_to_null, as_date, day_of, month_number, present, tag,
 )
 
 
