@@ -9,8 +9,8 @@
    bitmaps of the sets, rule out most edges that are no links; the rest is confirmed on the full sets.
 4. *Further rounds.* Where confirmed links leave a bucket in several components, it goes on in two ways: with a new centre among
    the members that did not join the last one, against all members of other components; and these members are dealt anew by the bucket and
-   a further band of their own, and each new bucket gives a star. Rounds go on until one adds no link. The rows of a round
-   follow the members that are left.
+   a further band of their own, another one in each round, and each new bucket gives a star. Rounds go on until one adds no link. A
+   round adds one row at most for each row of a first bucket that is left.
 5. *Components* of the confirmed links.
 
 With 32 bands of 5 bins a pair at the threshold of 0.8 shares no band with a chance of 3 in a million, a pair at 0.9 with
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlake.llm.common import flag_keys, fresh, key_bitmap, placed, quoted, small_batches, stored
+from spendlake.llm.common import flag_keys, fresh, frugal, key_bitmap, placed, quoted, small_batches, stored
 from spendlake.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -165,7 +165,7 @@ def _sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         _HASHES.clear()  # the worker lives on in other stages
 
     more = [("n", T.LongType()), ("set_key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("bitmap", T.BinaryType())]
-    return docs.mapInArrow(run, T.StructType([docs.schema["_place"], docs.schema["_id"], *(T.StructField(c, t) for c, t in more)]))
+    return docs.mapInArrow(frugal(run), T.StructType([docs.schema["_place"], docs.schema["_id"], *(T.StructField(c, t) for c, t in more)]))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_place"), pa.array(sets, pa.binary())], names=["_place", "shingles"])
         _HASHES.clear()
 
-    sets = near.select("_place", "_text").mapInArrow(run, T.StructType([docs.schema["_place"], T.StructField("shingles", T.BinaryType())]))
+    sets = near.select("_place", "_text").mapInArrow(frugal(run), T.StructType([docs.schema["_place"], T.StructField("shingles", T.BinaryType())]))
     return sets.join(wanted, "_place").select("_at", "shingles")
 
 
@@ -199,7 +199,7 @@ def _kept_edges(rows: DataFrame, test: Callable[[dict], bool]) -> DataFrame:
             kept = batch.filter(pa.array([test(r) for r in batch.to_pylist()], pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("u"), kept.column("v")], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(frugal(run), "u long, v long")
 
 
 def _bitmaps_allow(percent: int) -> Callable[[dict], bool]:
@@ -237,16 +237,18 @@ def _stars(buckets: DataFrame, salt: int, percent: int) -> tuple[DataFrame, Data
     return edges.distinct(), split
 
 
-def _dealt_anew(split: DataFrame, labels: DataFrame, bands: DataFrame) -> DataFrame:
-    """The buckets of the next round, from those of the last: themselves, and their rest by a further band. Buckets of two are done."""
+def _dealt_anew(split: DataFrame, labels: DataFrame, bands: DataFrame, salt: int) -> DataFrame:
+    """The buckets of the next round, from those of the last: themselves, and the rest of each first bucket by a further band, one row for
+    each of its rows. Buckets of two are done."""
     known = split.where("k > 2").drop("label").join(labels.withColumnRenamed("v", "_at"), "_at", "left").join(
         labels.select(F.col("v").alias("c"), F.col("label").alias("of_c")), "c", "left"
     )
     label, of_c = F.coalesce("label", "_at"), F.coalesce("of_c", "c")
     known = known.select("key", "i", "_at", "n", label.alias("label"), (label != of_c).alias("rest"))
-    rest = known.where("rest").join(bands, "_at")
-    further = rest.select("key", "i", "_at", "n", "label", F.posexplode("bands").alias("j", "b")).where("j > i").select(
-        F.xxhash64("key", "b").alias("key"), F.col("j").alias("i"), "_at", "n", "label", F.lit(True).alias("rest")
+    rest = known.where("rest and i >= 0").join(bands, "_at")
+    band = F.pmod(F.col("i") + 1 + 11 * salt, F.size("bands"))  # another one in each round
+    further = rest.where(band != F.col("i")).select(
+        F.xxhash64("key", band, F.get("bands", band)).alias("key"), F.lit(-1).alias("i"), "_at", "n", "label", F.lit(True).alias("rest")
     )
     return stored(known.unionByName(further), "minhash-dealt")
 
@@ -295,7 +297,7 @@ def _components_of(
             break
         # A component stands for its links so far.
         labels = stored(components(labels.select(F.col("v").alias("u"), F.col("label").alias("v")).unionByName(links)), "minhash-labels")
-        buckets = _dealt_anew(split, labels, members.select("_at", "bands"))
+        buckets = _dealt_anew(split, labels, members.select("_at", "bands"), salt)
         salt += 1
 
     labelled = members.select("_at", "_id").join(labels.withColumnRenamed("v", "_at"), "_at", "left").select(

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlake.llm import wordbpe
-from spendlake.llm.common import parts, quoted, small_batches, stored
+from spendlake.llm.common import frugal, parts, quoted, small_batches, stored
 
 #: Bytes of text whose pre-tokens are held at once.
 ENCODED_BYTES = 1 << 20
@@ -167,9 +167,8 @@ def pieces(
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat.view(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
-        pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(cut, T.StructType(fields))
+    return rows.mapInArrow(frugal(cut), T.StructType(fields))
 
 
 def place_pieces(cut: DataFrame, capacity: int) -> DataFrame:
@@ -191,7 +190,7 @@ def place_pieces(cut: DataFrame, capacity: int) -> DataFrame:
             found = find_places(intervals, np.asarray(batch.column("length")), np.asarray(batch.column("_number")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, found)], names=[*names, "sequence_id", "offset"])
 
-    return kept.mapInArrow(places, T.StructType(fields))
+    return kept.mapInArrow(frugal(places), T.StructType(fields))
 
 
 def pack(

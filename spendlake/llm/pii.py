@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import map_batches, quoted, small_batches, stored
+from spendlake.llm.common import frugal, map_batches, quoted, small_batches, stored
 
 #: Kinds of spans in the order of reports; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -337,4 +337,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             texts = pa.array([mask(t, model) for t in batch.column(where).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == where else c for i, c in enumerate(batch.columns)], names=names)
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, frugal(run), docs.schema)

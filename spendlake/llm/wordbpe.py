@@ -22,7 +22,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 #: Bytes of pre-tokens and ids that a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 40 << 20
+REMEMBERED = 24 << 20
 #: Bytes that a remembered pre-token takes besides its characters and ids.
 OVERHEAD = 180
 
