@@ -46,6 +46,8 @@ EXPORT_COLUMNS = {
     "Tags": "tags",
 }
 FORMATS = {"csv", "parquet", "jsonl"}
+#: Rows of one packed text file, which one task reads.
+FILE_ROWS = 250_000
 
 
 def export_rows(b: DataFrame, start, end, accounts=None, providers=None, services=None, regions=None,
@@ -79,16 +81,21 @@ def typed_cells(rows: DataFrame) -> DataFrame:
 
 
 def export_focus(b: DataFrame, fmt: str, path: str, start, end, accounts=None, providers=None,
-                 services=None, regions=None, limit: int | None = None) -> None:
+                 services=None, regions=None, limit: int | None = None, compress: bool = True) -> None:
+    """Write the export's rows as files. The text formats are packed by gzip unless told otherwise."""
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}")
     rows = export_rows(b, start, end, accounts, providers, services, regions, limit)
     if fmt == "parquet":
         rows.write.mode("overwrite").option("compression", "snappy").parquet(path)
-    elif fmt == "csv":
-        typed_cells(rows).write.mode("overwrite").option("header", True).csv(path)
+        return
+    writer = typed_cells(rows).write.mode("overwrite").option("compression", "gzip" if compress else "none")
+    if compress:
+        writer = writer.option("maxRecordsPerFile", FILE_ROWS)
+    if fmt == "csv":
+        writer.option("header", True).csv(path)
     else:
-        typed_cells(rows).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        writer.option("ignoreNullFields", False).json(path)
 
 
 def bi_semantic_view(b: DataFrame) -> DataFrame:
