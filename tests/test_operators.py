@@ -698,3 +698,25 @@ def test_filters_on_the_day_narrow_what_a_connector_fetches(spark, tmp_path):
     rows = spark.read.format("days_of_a_test").options(log=str(tmp_path), start="2024-01-01", end="2025-01-01").load()
     assert rows.filter("day >= date'2024-03-05' and day < date'2024-04-02'").count() == 28
     assert sorted(os.listdir(tmp_path)) == ["2024-03-05_2024-04-01", "2024-04-01_2024-04-03"]
+
+
+def test_text_files_of_exports_and_payloads_are_packed(spark, small):
+    from spendlake.plans import catalog_sources
+    from spendlake.session import run_dir
+    from spendlake.sources.driver_tables import Tables
+
+    t = Tables(spark, small)
+    for fmt in ("csv", "jsonl"):
+        path = run_dir(spark, "export")
+        exports.export_focus(t.staged, fmt, path, "1990-01-01", "2010-01-01")
+        read = (lambda p: spark.read.option("header", True).csv(p)) if fmt == "csv" else spark.read.json
+        assert all(f.endswith(".gz") for f in read(path).inputFiles()) and read(path).count() == t.staged.count()
+    assert all(f.endswith(".json.gz") for f in catalog_sources.gcp_rows(t).inputFiles())
+
+
+def test_messages_are_decoded_once_for_both_kinds(spark, small):
+    from spendlake.plans.catalog import QUERIES
+    from spendlake.sources.driver_tables import Tables
+
+    plan = QUERIES["s6_decode_billing"](Tables(spark, small))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
