@@ -309,12 +309,20 @@ def lag_features(series: DataFrame) -> DataFrame:
     }).dropna(subset=["lag_1", "lag_7", "lag_14", "rolling_mean_7", "rolling_std_7"])
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows in the shared folder, computed once."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def gbt_forecast(series: DataFrame, trees: int = 500, depth: int = 5, rate: float = 0.05,
                  seed: int = 42, horizon: int = 30) -> DataFrame:
     """Boosted trees over the series and its lag features, one model for all, trained by MLlib.
 
     One prediction for each row with complete lags, and for ``horizon`` days after each series, where ``y`` is null. A day
-    ahead is predicted from the last values and the predictions before it.
+    ahead is predicted from the last values and the predictions before it. The series and its features are written once: the trainer reads
+    its rows again in each pass, and a pass over what they come from would move that input each time.
     """
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -322,9 +330,10 @@ def gbt_forecast(series: DataFrame, trees: int = 500, depth: int = 5, rate: floa
     spark = series.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:  # the trainer cuts its lineage there
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    series = _written(series, "gbt-series")
     index = StringIndexer(inputCol="key", outputCol="series", stringOrderType="alphabetAsc", handleInvalid="keep").fit(series)
     vector = VectorAssembler(inputCols=["series", *LAG_FEATURES], outputCol="features")
-    rows = vector.transform(index.transform(lag_features(series)))
+    rows = vector.transform(index.transform(_written(lag_features(series), "gbt-features")))
     model = GBTRegressor(
         featuresCol="features", labelCol="y", predictionCol="predicted", maxIter=trees, maxDepth=depth,
         stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=max(32, len(index.labels) + 1),
@@ -343,9 +352,7 @@ def gbt_forecast(series: DataFrame, trees: int = 500, depth: int = 5, rate: floa
         told = F.array("predicted")
         made = model.transform(vector.transform(index.transform(day))).select(
             "key", "ds", F.concat(F.slice("past", 2, 13), told).alias("past"), F.concat("made", told).alias("made"))
-        path = run_dir(spark, "gbt-day")  # a row per series, so that no plan holds more than one day
-        made.write.parquet(path)
-        state = spark.read.schema(made.schema).parquet(path)
+        state = _written(made, "gbt-day")  # a row per series, so that no plan holds more than one day
     ahead = state.select("key", F.col("ds").alias("_last"), F.posexplode("made").alias("_i", "predicted")).select(
         "key", F.date_add("_last", F.col("_i") + 1 - horizon).alias("ds"), F.lit(None).cast("double").alias("y"), "predicted")
     return model.transform(rows).select("key", "ds", "y", "predicted").unionByName(ahead)

@@ -521,6 +521,14 @@ def test_trees_know_the_series_and_forecast_ahead(spark):
     assert sum(abs(r.y - r.predicted) for r in fitted) < naive
 
 
+
+def test_boosted_trees_read_their_input_once(spark, tmp_path):
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=i), 100.0 + i % 7) for i in range(40)]
+    spark.createDataFrame(rows, "key string, ds date, y double").write.parquet(f"{tmp_path}/series")
+    made = series.gbt_forecast(spark.read.parquet(f"{tmp_path}/series"), trees=2, horizon=2)
+    assert made.count() == 40 - 14 + 2
+    assert not [f for f in made.inputFiles() if str(tmp_path) in f]
+
 def test_the_registered_trees_are_of_full_size(monkeypatch):
     import inspect
 
