@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spendlake import plugins, schema
 from spendlake.operators import audit, budgets, detectors, kubernetes, recommend, rollups, series, spend, staging
+from spendlake.plans import analysis
 from spendlake.sinks import exports, metrics
 from spendlake.sources import billing_table, messages, payloads
 
@@ -189,6 +190,23 @@ def test_idle_vm(billing):
     assert row.title == "Potentially idle EC2: i-1" and row.projected_annual_savings == 1440.0
 
 
+def test_dear_resources_lose_no_violation(billing):
+    """A resource under several tags, with a credit, is kept for its whole cost; a cheap one moves no names."""
+    rows = [{"resource_id": "two", "tags": {"team": t}, "effective_cost": Decimal(c)} for t, c in (("a", "60"), ("b", "55"), ("b", "-20"))]
+    b = billing(*rows, {"resource_id": "dear", "tags": {}, "effective_cost": Decimal("100.00006")}, {"resource_id": "cheap", "effective_cost": Decimal("9")})
+    kept = detectors.dear_resources(b, "2024-01-15", 30, 100)
+    assert kept.columns == b.columns and {r.resource_id for r in kept.collect()} == {"two", "dear"} and kept.count() == 4
+    plain, fewer = (detectors.tag_violations(rows, "2024-01-15", min_cost=100).select("resource_id", "monthly_cost").collect() for rows in (b, kept))
+    assert plain == fewer == [("dear", 100.0001)]
+
+
+def test_every_insight_reads_the_billing_once(spark, billing, tmp_path):
+    billing({}, {"resource_id": "j", "tags": {}}).write.parquet(f"{tmp_path}/billing")
+    found = analysis.every_insight(staging.stage_billing(spark.read.parquet(f"{tmp_path}/billing")), "2024-01-15")
+    assert found.count() > 0
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+
+
 def test_tag_violation_of_untagged_and_compliant(billing):
     full = {"team": "a", "environment": "prod", "project": "p", "owner": "o"}
     b = staging.stage_billing(billing({"tags": {}, "effective_cost": Decimal("200")}, {"resource_id": "ok", "tags": full},
