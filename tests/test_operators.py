@@ -190,6 +190,12 @@ def test_idle_vm(billing):
     assert row.title == "Potentially idle EC2: i-1" and row.projected_annual_savings == 1440.0
 
 
+def test_stored_rows_are_sorted_by_columns(billing):
+    plan = billing_table.laid_out(billing({}))._jdf.queryExecution().optimizedPlan().toString()
+    (sort,) = [line for line in plan.splitlines() if "Sort [" in line]
+    assert "_place" in sort and "xxhash64" not in sort
+
+
 def test_dear_resources_lose_no_violation(billing):
     """A resource under several tags, with a credit, is kept for its whole cost; a cheap one moves no names."""
     rows = [{"resource_id": "two", "tags": {"team": t}, "effective_cost": Decimal(c)} for t, c in (("a", "60"), ("b", "55"), ("b", "-20"))]
