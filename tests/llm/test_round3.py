@@ -283,3 +283,29 @@ def test_recall_of_links_in_hard_groups(spark, table):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_components(docs, shingle=2, percent=80, scanned=True).collect()}
     assert not any(got[i] != got[j] and root(i) == root(j) for i, j in links), sum(got[i] != got[j] for i, j in links) / len(links)
     assert all(got[i] == root(i) for i in got)
+
+
+def test_candidates_of_a_large_group_of_near_copies(spark, table, monkeypatch):
+    """A member of a large group meets a few centres, not one in each of its buckets, and the group is not dealt around once it is linked."""
+    import random
+
+    from spendlake.llm import minhash
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(500):
+        words = list(base)
+        for j in rng.sample(range(200), 3):
+            words[j] = f"v{i}x{j}"
+        texts.append(" ".join(words))
+    compared, joined = [], minhash._with_both
+
+    def counted(edges, values, columns):
+        compared.append(edges.count())
+        return joined(edges, values, columns)
+
+    monkeypatch.setattr(minhash, "_with_both", counted)
+    got = minhash.near_components(table(*[(i, t, "s") for i, t in enumerate(texts)]), shingle=2, percent=80, scanned=True).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert compared[0] <= 12 * len(texts), compared
