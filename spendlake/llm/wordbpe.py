@@ -15,8 +15,8 @@ import numpy as np
 #: Characters for which Python's lower case and classes equal the library's: no control separators, no superscripts, no
 #: dotted capital I, nothing that composes.
 _UNCOMMON = re.compile("[^\x00-\x1b\x20-©«-±´-¸»¿-įı-ž]")
-#: The pattern of the tokenizer file for common characters. Fixed by the file.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The pattern of the tokenizer file for common characters in lower case, whose letters are ranges. Fixed by the file.
+_WORDS = re.compile(r"[a-zµß-öø-ž]+|'(?:[stmd]|re|ve|ll)|[0-9]|(?:[^\w\s]|_)+")
 #: The two parts that the file must have for the fast pattern to hold.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -73,7 +73,9 @@ class WordTokenizer:
         """The ids of one pre-token."""
         if token in self.special:
             return [self.special[token]]
-        return [t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self._shown))]
+        if not (token.isascii() and token.isprintable()) or " " in token:  # else each byte stands for itself
+            token = token.encode().decode("latin-1").translate(self._shown)
+        return [t.id for t in self.model.tokenize(token)]
 
 
 class IdPool(dict):

@@ -309,3 +309,18 @@ def test_candidates_of_a_large_group_of_near_copies(spark, table, monkeypatch):
     got = minhash.near_components(table(*[(i, t, "s") for i, t in enumerate(texts)]), shingle=2, percent=80, scanned=True).collect()
     assert {r["component_id"] for r in got} == {0}
     assert compared[0] <= 12 * len(texts), compared
+
+
+# Pre-tokens: the ranges of the fast pattern
+
+
+def test_fast_pattern_has_the_classes_of_the_general_one():
+    from spendlake.llm import packing, wordbpe
+
+    common = [c for c in map(chr, range(0xD800)) if not wordbpe._UNCOMMON.search(c)]
+    general = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    texts = [a.join(["x'", "ll", "7", "_", " "]) + a for a in common] + ["".join(common), "don't we'll 'd'sx 'rest o'ts"]
+    own = wordbpe.tokenizer(packing.default_tokenizer())
+    for text in texts:
+        assert wordbpe._WORDS.findall(text.lower()) == general.findall(text.lower()), text
+        assert [i for t in own.split(text) for i in own.ids(t)] == own.library.encode(text, add_special_tokens=False).ids, text
