@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlake.llm.alnum import slices
+from spendlake.llm.alnum import SLICE, slices
 from spendlake.llm.common import BITMAP_BITS, flag_keys, key_bitmap, placed, quoted, small_batches, stored
-from spendlake.llm.minhash import WordHashes, mixed
+from spendlake.llm.minhash import mixed
 
 WINDOW = 13
 #: Rounds of pairs: three give symbols of up to eight words.
@@ -51,26 +51,57 @@ PROBES = (0, 28)
 #: Words that are rewritten in one array.
 TOGETHER = 400_000
 
-_HASHES = WordHashes()
+#: Bytes of a word that is hashed by sums along its slice; a longer one is hashed alone.
+SHORT_WORD = 64
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 #: White space, as it separates words, as spaces.
 _BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+#: What stands for each byte in a word's hash.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
+def raw_slices(text: str | None) -> Iterator[bytes]:
+    """A text with its white space as spaces, a bounded number of bytes at a time; no word is cut."""
+    yield from slices((text or "").encode().translate(_BLANKS))
 
 
 def word_slices(text: str | None) -> Iterator[list[bytes]]:
     """The words of a text, a bounded number of bytes at a time."""
-    for piece in slices((text or "").encode().translate(_BLANKS)):
+    for piece in raw_slices(text):
         yield piece.split()
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """The 64-bit hash of each word of a slice, from sums of scaled bytes; a word has the same hash wherever it stands."""
+    raw = raw.rstrip(b" ")
+    if len(raw) > 2 * SLICE:  # a slice is as long as this for its last word alone
+        cut = raw.rfind(b" ") + 1
+        return np.append(word_hashes(raw[:cut]), np.uint64(xxhash.xxh3_64_intdigest(raw[cut:])))
+    data = np.frombuffer(raw, np.uint8)
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = data == 32
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    a, b = edge[::2], edge[1::2]
+    scale, back = _scales(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * scale[:-1], out=sums[1:])
+    size = b - a
+    out = mixed((sums[b] - sums[a]) * back[a] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > SHORT_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[a[i] : b[i]])
+    return out
+
+
 def whole_name(text: str | None) -> tuple[int, bytes]:
     """How many words a text has, and the name of all of them."""
     n, name = 0, xxhash.xxh3_128()
-    for piece in word_slices(text):
-        n += len(piece)
-        name.update(_HASHES.of(piece).tobytes())
+    for words in word_slices(text):
+        n += len(words)
+        if words:
+            name.update(b" ".join(words) + b" ")
     return n, name.digest()
 
 
@@ -124,18 +155,27 @@ def _symbols(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 def _passages(words: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function that names the words from ``low`` on, ``many`` of them each, from sums of scaled words."""
-    at = np.arange(len(words) + 1, dtype=np.uint64)
-    scale, back = _powers(_ODD, at), _powers(np.uint64(pow(int(_ODD), -1, 1 << 64)), at)
+    scale, back = _scales(len(words) + 1)
     sums = np.r_[np.uint64(0), np.cumsum(words * scale[:-1], dtype=np.uint64)]
     return lambda low, many: mixed((sums[low + many] - sums[low]) * back[low] + many.astype(np.uint64))
 
 
-def _powers(base: np.uint64, at: np.ndarray) -> np.ndarray:
-    out = np.full(len(at), base)
+def _powers(base: int, many: int) -> np.ndarray:
+    out = np.full(many, np.uint64(base))
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+_SCALES: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _scales(many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of a scale and of its inverse, remembered by the worker up to the bytes of two slices."""
+    if len(_SCALES[0]) < many:
+        _SCALES[:] = [_powers(base, many) for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64))]
+    return _SCALES[0][:many], _SCALES[1][:many]
+
+
 def anchors(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The anchor of the window that begins at each word, for words of several texts behind each other.
 
@@ -179,8 +219,8 @@ def _blocks(texts: list[str | None]) -> Iterator[_Block]:
 
     for i, text in enumerate(texts):
         base, carried = 0, np.zeros(0, np.uint64)
-        for piece in word_slices(text):
-            words = np.concatenate([carried, _HASHES.of(piece)])
+        for piece in raw_slices(text):
+            words = np.concatenate([carried, word_hashes(piece)])
             if len(words) >= WINDOW:
                 rows.append(i)
                 bases.append(base)
@@ -206,7 +246,6 @@ def _root_names(docs: DataFrame) -> DataFrame:
                 [batch.column("_at"), batch.column("_id"), pa.array([n for n, _ in names], pa.int64()), roots],
                 names=["_at", "_id", "n_words", "root"],
             )
-        _HASHES.clear()  # the worker lives on in other stages
 
     more = [T.StructField("n_words", T.LongType()), T.StructField("root", T.BinaryType())]
     return docs.mapInArrow(run, T.StructType([docs.schema["_at"], docs.schema["_id"], *more]))
@@ -228,7 +267,6 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[new].view(np.int64)), at.take(pa.array(doc[new]))], names=["anchor", "_at"]
                 )
-        _HASHES.clear()
 
     return docs.select("_at", "_text").mapInArrow(run, T.StructType([T.StructField("anchor", T.LongType()), docs.schema["_at"]]))
 
@@ -269,7 +307,6 @@ def _window_rows(docs: DataFrame, shared: bytes) -> DataFrame:
                     ],
                     names=["window", "_at", "_id", "pos"],
                 )
-        _HASHES.clear()
 
     fields = [T.StructField("window", T.LongType()), docs.schema["_at"], docs.schema["_id"], T.StructField("pos", T.IntegerType())]
     return docs.mapInArrow(run, T.StructType(fields))

@@ -324,3 +324,22 @@ def test_fast_pattern_has_the_classes_of_the_general_one():
     for text in texts:
         assert wordbpe._WORDS.findall(text.lower()) == general.findall(text.lower()), text
         assert [i for t in own.split(text) for i in own.ids(t)] == own.library.encode(text, add_special_tokens=False).ids, text
+
+
+# Words of the repeats
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    from spendlake.llm import recompress
+
+    def thue_morse(swap, n=2048):
+        return bytes(b"ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+    words = [b"a", b"b", b"ab", b"ba", "é漢".encode(), b"x" * 64, b"x" * 65, thue_morse(0), thue_morse(1), b"\x00", b"\x00\x00", b"a", b"w" * (3 << 20)]
+    got = recompress.word_hashes(b"  " + b" ".join(words))
+    assert [recompress.word_hashes(w).tolist() for w in words] == [[h] for h in got.tolist()]
+    assert len(set(got.tolist())) == len(set(words))
+    assert not len(recompress.word_hashes(b"")) and not len(recompress.word_hashes(b"   "))
+    many = [f"w{i}".encode() for i in range(200_000)]
+    assert len(np.unique(recompress.word_hashes(b" ".join(many)))) == len(many)
+    assert recompress.whole_name(" a\tb ") == recompress.whole_name("a b") != recompress.whole_name("ab")
