@@ -311,6 +311,33 @@ def test_candidates_of_a_large_group_of_near_copies(spark, table, monkeypatch):
     assert compared[0] <= 12 * len(texts), compared
 
 
+def test_further_rounds_take_no_more_rows_than_the_first(spark, table, monkeypatch):
+    """The buckets of a large group whose members are in several components are not multiplied."""
+    import random
+
+    from spendlake.llm import minhash
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for j in rng.sample(range(150), rng.randrange(4, 16)):
+            words[j] = f"v{i}x{j}"
+        texts.append(" ".join(words))
+    rows, stored = [], minhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if "key" in out.columns:
+            rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    assert minhash.near_components(table(*[(i, t, "s") for i, t in enumerate(texts)]), shingle=2, percent=80, scanned=True).count() == 300
+    assert len(rows) > 2 and all(n <= rows[0][1] for _, n in rows), rows
+
+
 # Pre-tokens: the ranges of the fast pattern
 
 
