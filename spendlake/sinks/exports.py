@@ -86,6 +86,8 @@ def export_focus(b: DataFrame, fmt: str, path: str, start, end, accounts=None, p
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}")
     rows = export_rows(b, start, end, accounts, providers, services, regions, limit)
+    if limit is None:  # rows of a day are alike and pack well: each task sorts its own
+        rows = rows.sortWithinPartitions("ChargePeriodStart", "ResourceId")
     if fmt == "parquet":
         rows.write.mode("overwrite").option("compression", "snappy").parquet(path)
         return

@@ -752,3 +752,19 @@ def test_messages_are_decoded_once_for_both_kinds(spark, small):
 
     plan = QUERIES["s6_decode_billing"](Tables(spark, small))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_exported_files_are_sorted_by_day(spark, small, tmp_path):
+    from spendlake.sinks import exports
+    from spendlake.sources.driver_tables import Tables
+
+    b = Tables(spark, small).staged
+    exports.export_focus(b, "csv", str(tmp_path / "csv"), "1990-01-01", "2010-12-31")
+    rows = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert rows.count() == exports.export_rows(b, "1990-01-01", "2010-12-31").count()
+    day = F.col("ChargePeriodStart")
+    at = rows.select(F.input_file_name().alias("f"), day.alias("day")).withColumn("n", F.monotonically_increasing_id())
+    from pyspark.sql import Window
+
+    before = F.lag("day").over(Window.partitionBy("f").orderBy("n"))
+    assert at.withColumn("before", before).filter("before > day").count() == 0
